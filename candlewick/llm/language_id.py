@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from candlewick.llm.common import bounded_sample, crc_mod, table
 from candlewick.llm.textvec import Texts, blocks, mix
@@ -135,33 +136,31 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, min_share: float = MI
     return Filter(langs, lang, got.column("gram").to_numpy().astype(np.int64))
 
 
-def predict(docs: DataFrame, model: Filter, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` with lang_pred and score of every whole text.
+def predict(docs: DataFrame, model: Filter) -> DataFrame:
+    """(row, lang_pred, score) of every whole text; ``row`` is the input row as a struct, so no names clash.
 
     ``und`` with score 0 for a text that is null or has no letter. A text whose
     n-grams no language holds gets score 0 and the first language by name, as do ties.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [docs.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array([*model.langs, "und"], object)
         for batch in batches:
-            for block in blocks(batch, "_text"):
-                share = model.shares(Texts(block.column("_text")))
+            for block in blocks(batch):
+                share = model.shares(Texts(block.column("text")))
                 best = share.argmax(0) if model.langs else np.zeros(block.num_rows, np.int64)
                 score = share.max(0) if model.langs else np.zeros(block.num_rows)
-                known = has_letter(block.column("_text").to_pylist()) & bool(model.langs)
+                known = has_letter(block.column("text").to_pylist()) & bool(model.langs)
                 yield pa.RecordBatch.from_arrays(
-                    [*(block.column(c) for c in keep), pa.array(names[np.where(known, best, len(names) - 1)], pa.string()), pa.array(np.where(known, score, 0.0))],
-                    names=[*keep, "lang_pred", "score"],
+                    [block.column("row"), pa.array(names[np.where(known, best, len(names) - 1)], pa.string()), pa.array(np.where(known, score, 0.0))],
+                    names=["row", "lang_pred", "score"],
                 )
 
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
-    schema = StructType([*(StructField(f.name, f.dataType, True) for f in fields), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    schema = StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def held_in(docs: DataFrame) -> DataFrame:
@@ -171,5 +170,5 @@ def held_in(docs: DataFrame) -> DataFrame:
 def op3_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; rows whose crc32(doc_id) mod 3 is 1 are held out of the fitting."""
     docs = table(spark, sf_dir, "documents")
-    out = predict(docs, fit(held_in(docs)), ["doc_id"])
+    out = predict(docs.select("doc_id", "text"), fit(held_in(docs))).select("row.doc_id", "lang_pred", "score")
     return out.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -141,22 +141,22 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> np.ndarray:
     return model
 
 
-def score(docs: DataFrame, model: np.ndarray, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` with the score of every whole text; a null text scores as an empty one."""
+def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
+    """(row, score) of every whole text; ``row`` is the input row as a struct. A null text scores as an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for block in blocks(batch, "_text"):
-                texts = Texts(block.column("_text"))
+            for block in blocks(batch):
+                texts = Texts(block.column("text"))
                 bucket, doc = features(texts)
                 total = np.bincount(doc, weights=model[bucket], minlength=texts.n)
                 z = total / np.maximum(1, np.bincount(doc, minlength=texts.n)) + model[-1]
-                yield pa.RecordBatch.from_arrays([*(block.column(c) for c in keep), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([block.column("row"), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], names=["row", "score"])
 
-    schema = StructType([*(StructField(c, docs.schema[c].dataType, True) for c in keep), StructField("score", DoubleType())])
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -168,5 +168,6 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; rows whose crc32(doc_id) mod 5 is 0 are held out of the fitting."""
     docs = table(spark, sf_dir, "documents")
-    out = score(docs, fit(training_rows(docs, table(spark, sf_dir, "labels"))), ["doc_id"])
+    model = fit(training_rows(docs, table(spark, sf_dir, "labels")))
+    out = score(docs.select("doc_id", "text"), model).select("row.doc_id", "score")
     return out.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from candlewick.llm.language_id import op3_language_bitmask
+from candlewick.llm.near_dedup import op9_superminhash_dedup
+from candlewick.llm.ngram_perplexity import op1_ngram_perplexity
 from candlewick.llm.quality_classifier import op7_subword_quality
 
 QUERIES: dict = {
+    "op1_ngram_perplexity": op1_ngram_perplexity,
     "op3_language_bitmask": op3_language_bitmask,
     "op7_subword_quality": op7_subword_quality,
+    "op9_superminhash_dedup": op9_superminhash_dedup,
 }
 
 ORACLES: dict = {}
