@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from candlewick.llm.best_fit_packing import op6_best_fit_packing
+from candlewick.llm.knn_join import op5_voronoi_knn
 from candlewick.llm.language_id import op3_language_bitmask
 from candlewick.llm.near_dedup import op9_superminhash_dedup
 from candlewick.llm.ngram_perplexity import op1_ngram_perplexity
@@ -10,6 +12,8 @@ from candlewick.llm.quality_classifier import op7_subword_quality
 QUERIES: dict = {
     "op1_ngram_perplexity": op1_ngram_perplexity,
     "op3_language_bitmask": op3_language_bitmask,
+    "op5_voronoi_knn": op5_voronoi_knn,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_subword_quality": op7_subword_quality,
     "op9_superminhash_dedup": op9_superminhash_dedup,
 }
