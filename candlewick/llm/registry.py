@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from candlewick.llm import quote_linking, token_rollups
 from candlewick.llm.best_fit_packing import op6_best_fit_packing
 from candlewick.llm.knn_join import op5_voronoi_knn
 from candlewick.llm.language_id import op3_language_bitmask
@@ -15,7 +16,12 @@ QUERIES: dict = {
     "op5_voronoi_knn": op5_voronoi_knn,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_subword_quality": op7_subword_quality,
+    "op8_quote_linking": quote_linking.op8_quote_linking,
     "op9_superminhash_dedup": op9_superminhash_dedup,
+    "op10_token_rollups": token_rollups.op10_token_rollups,
 }
 
-ORACLES: dict = {}
+ORACLES: dict = {
+    "op8_quote_linking": quote_linking.ORACLE,
+    "op10_token_rollups": token_rollups.ORACLE,
+}
