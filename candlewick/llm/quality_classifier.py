@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from candlewick.llm.common import bounded_sample, crc_mod, table
+from candlewick.llm.common import bounded_sample, crc_mod, ship, table
 from candlewick.llm.textvec import BYTE_CODE, SPACE, Texts, blocks, mix, span_hash
 
 BUCKETS = 1 << 17
@@ -105,16 +105,21 @@ def sgd(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, epochs: in
     return np.append(vectors @ (out[:, 1] - out[:, 0]), bias[1] - bias[0])
 
 
-def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> np.ndarray:
-    """Learn from (text, quality); rows with a null label teach nothing.
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> np.ndarray:
+    """Learn from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality) marks.
 
-    The sample has about ``train_docs`` rows of each label. Its texts become bags
-    of buckets on the executors and one task trains on the bags.
+    Labels other than 0 and 1, nulls included, teach nothing. About
+    ``train_docs`` ids of each label are drawn before any text is read; that
+    bounds the list of ids, which is broadcast, so the texts of the rest are
+    never shuffled. The drawn texts become bags of buckets on the executors and
+    one task trains on the bags.
     """
-    rows = labelled.where(F.col("quality").isin(0, 1)).select("text", F.col("quality").cast("int").alias("quality"))
-    sample = bounded_sample(rows, "quality", train_docs, F.col("text"))
-    weight = {r[0]: r[1] for r in rows.groupBy("quality").count().collect()}
+    ship(docs.sparkSession)
+    marked = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    weight = {r[0]: r[1] for r in marked.groupBy("quality").count().collect()}
     prior = np.log(weight.get(1, 0) + 1) - np.log(weight.get(0, 0) + 1)
+    drawn_ids = bounded_sample(marked, "quality", train_docs, F.col("doc_id"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(drawn_ids), "doc_id").select("text", "quality")
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,6 +148,7 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> np.ndarray:
 
 def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
     """(row, score) of every whole text; ``row`` is the input row as a struct. A null text scores as an empty one."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,15 +165,13 @@ def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, quality) of the labelled documents that are not held out."""
-    known = labels.where(~F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(True))).select("doc_id", "quality")
-    return docs.select("doc_id", "text").join(known, "doc_id").select("text", "quality")
+def held_in(labels: DataFrame) -> DataFrame:
+    return labels.where(~F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(True)))
 
 
 def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; rows whose crc32(doc_id) mod 5 is 0 are held out of the fitting."""
     docs = table(spark, sf_dir, "documents")
-    model = fit(training_rows(docs, table(spark, sf_dir, "labels")))
+    model = fit(docs, held_in(table(spark, sf_dir, "labels")))
     out = score(docs.select("doc_id", "text"), model).select("row.doc_id", "score")
     return out.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
