@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import table
+from candlewick.llm.common import ship, table
 
 LENGTHS = (512, 1024, 2048, 4096)
 #: What a sequence costs, in tokens: its length, a fixed part, and attention, which doubles the cost at this length.
@@ -104,6 +104,7 @@ def words(column: str = "text") -> Column:
 
 def packed(docs: DataFrame, id_col: str = "doc_id", tokens: Column | None = None, lengths: tuple[int, ...] = LENGTHS, window: int = WINDOW) -> DataFrame:
     """(id, piece, start, n_tokens, bin_id, bin_offset, bin_length, bin_used), a row per piece."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), (words() if tokens is None else tokens).cast("long").alias("n"))
     most = max(lengths)
     kind = rows.schema["id"].dataType.simpleString()

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import cut, table
+from candlewick.llm.common import cut, ship, table
 from candlewick.llm.textvec import BYTE_CODE, Texts, blocks, powers
 
 SPAN = 16
@@ -193,6 +193,7 @@ def encoded(docs: DataFrame, file: str, id_col: str = "doc_id") -> DataFrame:
 
     ``file`` is a tokenizer of the tokenizers library that every executor can open.
     """
+    ship(docs.sparkSession)
     counts = docs.select("text").mapInArrow(count_chunks, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n"))
     spark = docs.sparkSession
 

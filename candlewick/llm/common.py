@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.session import cut, shared_dir, table
+from candlewick.session import cut, shared_dir, ship, table
 
-__all__ = ["bounded_sample", "crc_mod", "cut", "shared_dir", "table"]
+__all__ = ["bounded_sample", "crc_mod", "cut", "shared_dir", "ship", "table"]
 
 
 def crc_mod(column: str, by: int) -> Column:

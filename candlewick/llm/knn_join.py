@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import cut, table
+from candlewick.llm.common import cut, ship, table
 
 SCALE = 1024
 PIVOTS = 64
@@ -76,6 +76,7 @@ def best(score: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[li
 
 def knn_join(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, id, score): each query's k best of all other rows; ``queries`` is a condition on ``id``."""
+    ship(vectors.sparkSession)
     rows = quantised(vectors, id_col, vector_col)
     sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
     spark = vectors.sparkSession

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from candlewick.llm.common import bounded_sample, crc_mod, table
+from candlewick.llm.common import bounded_sample, crc_mod, ship, table
 from candlewick.llm.textvec import Texts, blocks, mix
 
 SLOTS = 1 << 20
@@ -124,6 +124,7 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, min_share: float = MI
     Rows with a null text or language teach nothing. With no rows at all the
     filter knows no language.
     """
+    ship(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     rows = bounded_sample(rows, "lang", train_docs, F.col("text"))
     counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -142,6 +143,7 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
     ``und`` with score 0 for a text that is null or has no letter. A text whose
     n-grams no language holds gets score 0 and the first language by name, as do ties.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from candlewick.llm import best_fit_packing, language_id, near_dedup, quality_classifier
 from candlewick.llm.common import shared_dir, table
-from candlewick.session import ship
 
 #: Lowest share of a text's n-grams that its language must hold.
 LEAST_LANGUAGE = 0.1
@@ -21,27 +20,23 @@ LEAST_LANGUAGE = 0.1
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter and those that no known language holds."""
-    ship(spark)
     found = language_id.predict(docs, language_id.fit(docs))
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the quality classifier, fitted on the labelled ones, rejects."""
-    ship(spark)
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
     return quality_classifier.score(docs, model).where(F.col("score") >= quality_classifier.THRESHOLD).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group that five-word shingles link at 0.8 or more."""
-    ship(spark)
     return near_dedup.one_of_each(docs, "doc_id", words=5, percent=80)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of the remaining documents."""
-    ship(spark)
     return best_fit_packing.packed(docs).withColumnRenamed("id", "doc_id")
 
 
