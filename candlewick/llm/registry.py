@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlewick.llm import quote_linking, token_rollups
+from candlewick.llm import chunk_bpe, quote_linking, token_rollups, warc
 from candlewick.llm.best_fit_packing import op6_best_fit_packing
 from candlewick.llm.knn_join import op5_voronoi_knn
 from candlewick.llm.language_id import op3_language_bitmask
@@ -12,7 +12,9 @@ from candlewick.llm.quality_classifier import op7_subword_quality
 
 QUERIES: dict = {
     "op1_ngram_perplexity": op1_ngram_perplexity,
+    "op2_warc_chain": warc.op2_warc_chain,
     "op3_language_bitmask": op3_language_bitmask,
+    "op4_chunk_bpe": chunk_bpe.op4_chunk_bpe,
     "op5_voronoi_knn": op5_voronoi_knn,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_subword_quality": op7_subword_quality,
@@ -22,6 +24,7 @@ QUERIES: dict = {
 }
 
 ORACLES: dict = {
+    "op2_warc_chain": warc.ORACLE,
     "op8_quote_linking": quote_linking.ORACLE,
     "op10_token_rollups": token_rollups.ORACLE,
 }
