@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from candlewick.plans.oracles import ORACLES
+from candlewick.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
