@@ -7,14 +7,19 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from candlewick.functions.expressions import untagged
 
 
-@F.pandas_udf("string")
-def unescaped(texts: pd.Series) -> pd.Series:
+def unescaped(text: Column) -> Column:
     """Every named and numeric entity of HTML."""
-    return texts.map(lambda t: None if t is None else html.unescape(t))
+
+    @F.pandas_udf(StringType())
+    def each(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else html.unescape(t))
+
+    return each(text)
 
 
 def clean_text_full(text: Column) -> Column:
