@@ -61,6 +61,8 @@ class Encoder:
         self.kind = np.dtype("<u2" if len(self.tokens) <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
         self.plain = self.library.decoder is None
+        if not getattr(self.library.model, "end_of_word_suffix", None):
+            raise ValueError("only tokenizers whose words end at white space are supported: they have an end-of-word suffix")
 
     def exact(self, texts: list[str]) -> list[list[int]]:
         """The library's own ids."""
@@ -191,11 +193,13 @@ PIECE = "row long, n_tokens long, ids_sha256 string, decoded_sha256 string, at i
 def encoded(docs: DataFrame, file: str, id_col: str = "doc_id") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row of ``docs`` (id column and text).
 
-    ``file`` is a tokenizer of the tokenizers library that every executor can open.
+    ``file`` is a tokenizer of the tokenizers library that every executor can
+    open, with an end-of-word suffix: white space separates its words and is no part of a token.
     """
     ship(docs.sparkSession)
     counts = docs.select("text").mapInArrow(count_chunks, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n"))
     spark = docs.sparkSession
+    Encoder(file)  # refuses other tokenizers before any task starts
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
