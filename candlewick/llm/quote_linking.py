@@ -114,7 +114,9 @@ def conversations(messages: DataFrame) -> DataFrame:
     lines = F.split("text", "\n", -1)
     level = lambda line: F.length(F.regexp_replace(F.regexp_extract(line, MARKS, 1), "[^>]", ""))
     levels = F.transform(lines, level)
-    changes = F.size(F.filter(F.transform(levels, lambda x, i: (x > 0) & ((i == 0) | (F.get(levels, i - 1) != x))), lambda x: x))
+    # passages: runs of one level above 0 in the list of levels, e.g. ",1,1,0,2," has two
+    listed = F.concat(F.lit(","), F.array_join(F.transform(lines, lambda line: level(line).cast("string")), ","), F.lit(","))
+    changes = F.regexp_count(F.regexp_replace(listed, r"(,\d+)\1*(?=,)", "$1"), F.lit(",[1-9]"))
     # sha2 of the row tells messages apart without numbering them
     named = messages.select("conv_id", "turn", "role", "text").withColumn("mid", F.sha2(F.to_json(F.struct("conv_id", "turn", "role", "text")), 256))
     told = threads(linked(named.where(F.col("conv_id").isNotNull())))
