@@ -33,7 +33,7 @@ def expected(rows, least=0):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("split", ["128m", "1500", "333"])
+@pytest.mark.parametrize("split", ["128m", "1500", "900"])
 def test_warc_round_trip(spark, tmp_path, split):
     r = random.Random(5)
     rows = [(1, "http://a/\r\nb", "é\nü"), (2, None, None), (3, "u", ""), (4, "u", "é\nü"), (None, "u", "é\nü"), (5, "u", FAKE * 3), (6, "u", "x\n" + FAKE[:40]), (7, "u", "WARC/1.1\r\n" * 20), (8, "u", FAKE), (1, "u", "é\nü"), (9, "u", "\r\n\r\n" + FAKE + "\n")]
@@ -71,16 +71,17 @@ def naive_pack(sizes, lengths):
                 got[s] += 1
         return length - room
 
-    for i in order:
+    for now, i in enumerate(order):
         s = sizes[i]
         open_ = [(b[0] - b[1], n) for n, b in enumerate(bins) if b[0] - b[1] >= s]
         if open_:
-            n = max(n for room, n in open_ if room == min(open_)[0])
+            n = max((n for room, n in open_ if room == min(open_)[0]), key=lambda n: bins[n][2])  # ties: the bin changed last
         else:
             n = len(bins)
-            bins.append([min((x for x in lengths if x >= s), key=lambda x: (best_fit_packing.cost(x) / fill(x, s), -x)), 0])
+            bins.append([min((x for x in lengths if x >= s), key=lambda x: (best_fit_packing.cost(x) / fill(x, s), -x)), 0, 0])
         left[s] -= 1
         bins[n][1] += s
+        bins[n][2] = now
         where[i] = n
     return [min(x for x in lengths if x >= b[1]) for b in bins], Counter(bins[where[i]][1] for i in where)
 
@@ -109,7 +110,7 @@ def test_packed_documents(spark):
     assert best_fit_packing.packed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     many = spark.range(2500).selectExpr("id as doc_id", "repeat('w ', int(id % 50)) as text").coalesce(1)
     windows = best_fit_packing.packed(many, window=700).toPandas()
-    assert len(windows) == 2500 and windows.dropna().groupby("bin_id").apply(lambda g: g.n_tokens.sum() <= g.bin_length.iloc[0]).all()
+    assert len(windows) == 2500 and (windows.groupby("bin_id").n_tokens.sum() <= windows.groupby("bin_id").bin_length.first()).all()
 
 
 @pytest.mark.parametrize(("n", "scale", "block"), [(300, 1.0, 64), (120, 1e5, 8192), (8, 1.0, 3)])
@@ -119,7 +120,7 @@ def test_knn_against_brute_force(spark, n, scale, block):
     v[::7] = v[0]
     rows = [(int(i), [float(x) for x in v[i]], "x") for i in range(n)] + [(1000, None, "x"), (1001, [1.0, None] + [0.0] * 4, "x"), (1002, [float("nan")] * 6, "x"), (1003, [float("inf")] * 6, "x"), (None, [1.0] * 6, "x"), (1004, [], "x")]
     got = knn_join.knn_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string"), F.col("id") % 5 == 0, k=10, pivots=7, block=block).collect()
-    ints = np.floor(v * 1024).astype(object)
+    ints = np.floor(v * 1024).astype(np.int64).astype(object)
     want = []
     for q in range(0, n, 5):
         top = sorted((-int(ints[q] @ ints[i]), i) for i in range(n) if i != q)[:10]
