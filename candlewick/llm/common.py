@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.session import cut, shared_dir, ship, table
 
-__all__ = ["bounded_sample", "crc_mod", "cut", "shared_dir", "ship", "table"]
+__all__ = ["bounded_sample", "crc_mod", "cut", "few", "release", "shared_dir", "ship", "table"]
 
 
 def crc_mod(column: str, by: int) -> Column:
@@ -28,3 +30,23 @@ def bounded_sample(rows: DataFrame, by: str, most: int, key: Column) -> DataFram
         share = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, most / n))).otherwise(share)
     place = F.pmod(F.xxhash64(key), F.lit(1 << 20)) / float(1 << 20)
     return rows.where(place < share)
+
+
+#: Rows of a few dozen bytes that may be sent to all tasks.
+SENT = 200_000
+
+
+def few(df: DataFrame, weight: Column | None = None, most: int = SENT) -> DataFrame:
+    """``df`` with a broadcast hint if its rows (or the sum of ``weight``) are at most ``most``, else as it is."""
+    n = df.agg(F.count("*") if weight is None else F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= most else df
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints of frames that nobody holds any more.
+
+    It does so when the driver collects garbage, which a driver with memory to
+    spare may not do for the length of a loop that writes some in every round.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

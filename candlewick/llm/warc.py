@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import cut, shared_dir, ship, table
+from candlewick.llm.common import cut, few, shared_dir, ship, table
 
 MAGIC = b"WARC/1."
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: A header has at most so many lines of so many bytes; what is longer is no header.
+#: A header has at most so many lines and bytes; what is longer is no header. Byte ranges must be larger than a header.
 HEADER_LINES, HEADER_BYTES = 64, 65_536
 #: Byte ranges whose starting points are sent to the tasks at once; more are read in turns.
 RANGES = 100_000
@@ -64,7 +64,8 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html").cast("long"))
     first = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first, ["digest", "size"], "left").withColumn("again", F.coalesce(F.col("page_id") > F.col("first"), F.lit(False)))
+    # payloads stay where they are unless very many of them repeat
+    rows = rows.join(few(cut(first)), ["digest", "size"], "left").withColumn("again", F.coalesce(F.col("page_id") > F.col("first"), F.lit(False)))
     eol = "\r\n"
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(eol))).otherwise("")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{eol}Content-Type: text/html; charset=utf-8{eol}Content-Length: "), F.col("size").cast("string"), F.lit(eol + eol))
