@@ -5,8 +5,8 @@
    Documents with equal sets form a class; only classes go on.
 2. Classes that share a band value form a bucket. A bucket never lists its
    pairs: each round names up to ``pivots`` members per bucket and joins every
-   member to those, confirms the pairs on the full sets, merges the classes
-   that are linked, and drops the pivots, which have then met everybody. A
+   member to those, drops pairs whose sizes or signatures rule the link out,
+   confirms the rest on the full sets, merges the classes that are linked, and drops the pivots, which have then met everybody. A
    bucket is done once its members are one component or fewer than two are left,
    so rounds go on until every pair of a bucket is either confirmed, refuted, or
    already connected. Nothing is capped.
@@ -25,19 +25,25 @@ becomes a component's name unless all of its documents have none.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import cut, table
+from candlewick.llm.common import cut, few, release, ship, table
 from candlewick.llm.components import components
 from candlewick.llm.textvec import BYTE_CODE, Texts, blocks, mix, span_hash
 
-PLACES = 96
-ROWS = 4
-PIVOTS = (1, 8, 32)
+ROWS = 5
+PLACES = 32 * ROWS
+#: Places of a signature that go with a class to its buckets, for a first estimate.
+MARKS = 120
+PIVOTS = (1, 64, 256, 1024)
+#: How far below the percentage asked for a share of equal marks may lie and still go to confirmation:
+#: at least 4 standard deviations of the estimate (0.0365 at 80 percent, 0.0326 at 85).
+MARGIN = 0.155
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -145,10 +151,18 @@ def classes_of(docs: DataFrame, id_col: str, words: int, places: int) -> DataFra
     return docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"id {kind}, text_key long, key binary, n long, bands array<long>")
 
 
-def sets_of(docs: DataFrame, id_col: str, wanted: DataFrame, words: int) -> DataFrame:
-    """(key, elements) for the classes in ``wanted`` (id, text_key, key), one text of each."""
+def alike(a: str, b: str, percent: int) -> Column:
+    """Whether two signatures' marks leave a link possible."""
+    return F.size(F.array_intersect(a, b)) >= int((percent / 100 - MARGIN) * MARKS)
+
+
+def sets_of(docs: DataFrame, id_col: str, wanted: DataFrame, words: int, places: int) -> DataFrame:
+    """(key, elements, marks) for the classes in ``wanted`` (id, text_key, key), from one text of each.
+
+    A mark is a place of the signature and 16 bits of its value.
+    """
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("text_key"), "text")
-    own = own.join(wanted.toDF("_id", "_text_key", "key"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text_key"))).select("key", "text")
+    own = own.join(few(wanted.toDF("_id", "_text_key", "key")), F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text_key"))).select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,18 +171,48 @@ def sets_of(docs: DataFrame, id_col: str, wanted: DataFrame, words: int) -> Data
                 key, of = shingles(texts, words)
                 size, names = set_keys(key, of, texts.n)
                 at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                sig = superminhash(key, of, texts.n, places)[:, :MARKS]
+                marks = (mix(sig) >> np.uint64(48)).astype(np.int32) | (np.arange(sig.shape[1], dtype=np.int32) << 16)[None, :]
                 same = pa.array([a == b for a, b in zip(names, block.column("key").to_pylist(), strict=True)], pa.bool_())
-                rows = pa.RecordBatch.from_arrays([block.column("key"), pa.ListArray.from_arrays(at, key.astype(np.int64))], names=["key", "elements"])
-                yield rows.filter(same)
+                lists = [pa.ListArray.from_arrays(at, key.astype(np.int64)), pa.ListArray.from_arrays(np.arange(texts.n + 1, dtype=np.int32) * sig.shape[1], marks.reshape(-1))]
+                yield pa.RecordBatch.from_arrays([block.column("key"), *lists], names=["key", "elements", "marks"]).filter(same)
 
-    return own.mapInArrow(run, "key binary, elements array<long>").dropDuplicates(["key"])
+    return own.mapInArrow(run, "key binary, elements array<long>, marks array<int>").dropDuplicates(["key"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select(*pairs.columns)
+    """The pairs (p, m) whose full sets have 100 * intersection >= percent * union.
+
+    Only the sets that the pairs name are moved. The sets of the pivots p, few
+    in most rounds, are sent to the pairs if they are small; else both sides are shuffled.
+    """
+    named = few(pairs.select(F.col("p").alias("key")).union(pairs.select("m")).distinct())
+    own = sets.select("key", "elements").join(named, "key", "left_semi")
+    pivots = own.join(few(pairs.select(F.col("p").alias("key")).distinct()), "key", "left_semi").toDF("p", "sp")
+    both = pairs.join(own.toDF("m", "sm"), "m").join(few(pivots, F.size("sp"), 4_000_000), "p")
+    common = F.size(F.array_intersect("sp", "sm"))
+    return both.where(100 * common >= percent * (F.size("sp") + F.size("sm") - common)).select(*pairs.columns)
+
+
+def rarest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The classes of ``members`` in new buckets, one for each of their rarest elements.
+
+    Of two sets that share ``percent`` of their union, each holds one of the
+    other's size - ceil(percent * size) + 1 rarest elements, whichever way
+    rarity is counted as long as both use the same order. A passage that
+    many texts share puts them into one band bucket, but is seldom among their
+    rarest elements, so these buckets separate what the bands could not.
+    """
+    left = cut(members.groupBy("key").agg(F.first("n").alias("n"), F.first("comp").alias("comp")))
+    own = sets.join(few(left.select("key")), "key", "left_semi").select("key", F.explode("elements").alias("bucket"))
+    often = own.groupBy("bucket").agg(F.count("*").alias("often")).where("often > 1")
+    ranked = own.join(often, "bucket").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("often", "bucket"))).alias("shared"))
+    # elements that only one class has are rarer still and come first; they fill places but make no bucket
+    ranked = ranked.join(left, "key")
+    places = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))
+    first = F.when(places > 0, F.slice("shared", F.lit(1), F.greatest(places, F.lit(1)).cast("int")))
+    spread = ranked.select("key", "n", "comp", F.explode(first).alias("one")).select("key", "n", "comp", F.col("one.bucket").alias("bucket"))
+    return cut(spread.join(sets.select("key", "marks"), "key").select("bucket", "key", "n", "comp", "marks"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", words: int = 5, percent: int = 80, places: int = PLACES) -> DataFrame:
@@ -178,48 +222,51 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", words: int = 5, percent
     ``percent`` of the union; ``leads`` marks the row that stands for its
     component: that id, and of its texts the one with the smallest text_key
     (xxhash64). A pair with similarity s shares a band with probability
-    1 - (1 - s**4)**(places/4): all but 3 in a million at 0.8 and 96 places.
+    1 - (1 - s**5)**(places/5): all but 3 in a million at 0.8 and 160 places.
     """
+    ship(docs.sparkSession)
     rows = cut(classes_of(docs, id_col, words, places))
     one = rows.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "text_key")).alias("of"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     one = cut(one)
-    spread = one.select("key", "n", F.explode("bands").alias("bucket"))
+    spread = one.select("key", F.explode("bands").alias("bucket"))
     busy = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = cut(spread.join(busy, "bucket").select("bucket", "key", "n", F.col("key").alias("comp")))
+    crowded = spread.join(busy, "bucket")
+    members = cut(crowded.join(one.select("key", "n"), "key").select("bucket", "key", "n", F.col("key").alias("comp")))
     taking_part = members.select("key").distinct()
-    sets = cut(sets_of(docs, id_col, one.join(taking_part, "key", "left_semi").select("of.id", "of.text_key", "key"), words))
-    merged = None  # (node, comp) of classes that have a link
+    sets = cut(sets_of(docs, id_col, one.join(taking_part, "key", "left_semi").select("of.id", "of.text_key", "key"), words, places))
     turn = 0
+    links = []
     while True:
         mixed = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        members = cut(members.join(mixed, "bucket").select("bucket", "key", "n", "comp"))
+        members = cut(members.join(mixed, "bucket"))
         if members.isEmpty():
             break
+        if turn == 1:
+            members = rarest(members, sets, percent)
         width = PIVOTS[min(turn, len(PIVOTS) - 1)]
         turn += 1
-        pivots = cut(members.groupBy("bucket", F.pmod(F.hash("key"), F.lit(width)).alias("slot")).agg(F.min(F.struct("key", "n", "comp")).alias("p")).select("bucket", F.col("p.key").alias("pk"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc")))
-        met = members.join(pivots, "bucket").where((F.col("pc") != F.col("comp")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")))
-        first = F.col("pk") < F.col("key")
-        pairs = met.select(
-            F.when(first, F.col("pk")).otherwise(F.col("key")).alias("a"),
-            F.when(first, F.col("key")).otherwise(F.col("pk")).alias("b"),
-            F.when(first, F.col("pc")).otherwise(F.col("comp")).alias("ca"),
-            F.when(first, F.col("comp")).otherwise(F.col("pc")).alias("cb"),
-        ).distinct()
-        links = confirmed(cut(pairs), sets, percent)
-        renamed = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-        members = members.join(pivots.select("bucket", F.col("pk").alias("key")), ["bucket", "key"], "left_anti")
-        members = members.join(renamed.toDF("comp", "to"), "comp", "left").select("bucket", "key", "n", F.coalesce("to", "comp").alias("comp"))
-        if merged is None:
-            merged = renamed
-        else:
-            before = merged.join(renamed.toDF("comp", "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-            merged = before.union(renamed.join(before.select("node"), "node", "left_anti"))
-        merged = cut(merged)
-    if merged is None:
+        extra = [c for c in ("marks",) if c in members.columns]
+        pivots = members.groupBy("bucket", F.pmod(F.hash("key"), F.lit(width)).alias("slot")).agg(F.min(F.struct("key", "n", "comp", *extra)).alias("p"))
+        met = members.join(pivots.select("bucket", "p"), "bucket").where((F.col("p.comp") != F.col("comp")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")))
+        if extra:
+            met = met.where(alike("marks", "p.marks", percent))
+        pairs = met.select(F.col("p.key").alias("p"), F.col("key").alias("m"), F.col("p.comp").alias("cp"), F.col("comp").alias("cm")).distinct()
+        if not extra:
+            marks = sets.select("key", "marks")
+            pairs = pairs.join(marks.toDF("p", "mp"), "p").join(marks.toDF("m", "mm"), "m").where(alike("mp", "mm", percent)).select("p", "m", "cp", "cm")
+        found = cut(confirmed(cut(pairs), sets, percent))
+        links.append(found.select(F.col("p").alias("a"), F.col("m").alias("b")))
+        # one step towards the components is enough to spare later rounds most pairs
+        smaller = found.select(F.greatest("cp", "cm").alias("comp"), F.least("cp", "cm").alias("to")).groupBy("comp").agg(F.min("to").alias("to"))
+        twice = smaller.join(smaller.toDF("to", "top"), "to", "left").select("comp", F.coalesce("top", "to").alias("to"))
+        members = members.join(pivots.select("bucket", F.col("p.key").alias("key")), ["bucket", "key"], "left_anti")
+        members = members.join(few(cut(twice)), "comp", "left").select("bucket", "key", "n", F.coalesce("to", "comp").alias("comp"), *extra)
+        pairs = met = None
+        release(docs.sparkSession)
+    if not links:
         found = one.select("key", F.col("of").alias("lead"))
     else:
-        own = one.select("key", "of").join(merged.withColumnRenamed("node", "key"), "key", "left")
+        own = one.select("key", "of").join(components(reduce(DataFrame.union, links)).withColumnRenamed("node", "key"), "key", "left")
         lowest = own.where("comp is not null").groupBy("comp").agg(F.min("of").alias("lead"))
         found = own.join(lowest, "comp", "left").select("key", F.coalesce("lead", "of").alias("lead"))
     out = rows.select("id", "text_key", "key", "n").join(found, "key", "left")
@@ -247,7 +294,24 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", words: int = 5, percent
 def op9_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of ``documents``: three-word shingles, 85 percent.
 
-    64 places: a pair at exactly 85 percent shares a band but for 7 in a million.
+    24 bands of 5 places: a pair at exactly 85 percent shares a band but for 1 in a million.
     """
-    out = near_groups(table(spark, sf_dir, "documents"), "doc_id", 3, 85, 64)
+    out = near_groups(table(spark, sf_dir, "documents"), "doc_id", 3, 85, 24 * ROWS)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS e FROM w),
+x AS (SELECT doc_id, len(e) AS n, unnest(e) AS one FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.one = b.one AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+g AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT r.doc_id, g.b FROM r JOIN g ON r.other = g.a),
+c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY 1)
+SELECT s.doc_id, len(e)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlewick.llm import chunk_bpe, quote_linking, token_rollups, warc
+from candlewick.llm import chunk_bpe, knn_join, near_dedup, quote_linking, token_rollups, warc
 from candlewick.llm.best_fit_packing import op6_best_fit_packing
 from candlewick.llm.knn_join import op5_voronoi_knn
 from candlewick.llm.language_id import op3_language_bitmask
@@ -25,6 +25,8 @@ QUERIES: dict = {
 
 ORACLES: dict = {
     "op2_warc_chain": warc.ORACLE,
+    "op5_voronoi_knn": knn_join.ORACLE,
     "op8_quote_linking": quote_linking.ORACLE,
+    "op9_superminhash_dedup": near_dedup.ORACLE,
     "op10_token_rollups": token_rollups.ORACLE,
 }
