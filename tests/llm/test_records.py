@@ -197,6 +197,14 @@ def test_quotes(spark):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+def test_short_quotes(spark):
+    rows = [(1, 0, "Shall we?"), (1, 1, "Yes"), (1, 2, "No"), (1, 3, "> Yes\nGood"), (1, 4, ">No\n\nPity"), (1, 5, "> はい\nnobody said so"), (1, 6, "> Good\n> ok\nfine"), (1, 7, ">\n> \nempty")]
+    rows += [(2, 0, "好"), (2, 1, "> 好\n行"), (2, 2, "> 行\n吗"), (2, 3, "so\nbe it"), (2, 4, "> so\na line quoted alone"), (2, 5, "> so\n> never said\nno")]
+    out = quote_linking.conversations(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string"))
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["thread"], r["depth"]) for r in out.collect() if r["reply_to"] is not None}
+    assert got == {(1, 3): (1, 1, 1), (1, 4): (2, 2, 1), (1, 6): (3, 1, 2), (2, 1): (0, 0, 1), (2, 2): (1, 0, 2), (2, 4): (3, 3, 1)}
+
+
 def test_rollups(spark, tmp_path):
     kind = "source string, lang string, tokenizer_version string, tokens long"
     rows = lambda *r: spark.createDataFrame(list(r), kind)
