@@ -8,8 +8,10 @@ Reading never takes a file as a whole; Spark deals out its byte ranges.
 
 1. Each task goes through the lines of its range. A line that begins with the
    magic ``WARC/1.`` is a candidate, whether it starts a record or lies in a payload.
-   The candidate's header gives the offset of its successor. Tasks emit candidates with their
-   successors, after following those that lie in the same range.
+   The candidate's header, which ends at its blank line and nowhere else, gives the offset of its
+   successor. Tasks emit candidates with their successors, after following those that lie in the
+   same range. Of a header that its range cuts off they emit the length it has named so far, and
+   every range what its leading lines add to such a header, over as many ranges as it takes.
 2. The ranges' sizes, added up along each file, make the offsets absolute. From
    offset 0 of every file pointer jumping finds what is reachable: in round i a
    reached candidate reaches the one 2**i successors on. Magic in payloads is never
@@ -39,8 +41,6 @@ from candlewick.llm.common import cut, few, shared_dir, ship, table
 MAGIC = b"WARC/1."
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: A header has at most so many lines and bytes; what is longer is no header. Byte ranges must be larger than a header.
-HEADER_LINES, HEADER_BYTES = 64, 65_536
 #: Byte ranges whose starting points are sent to the tasks at once; more are read in turns.
 RANGES = 100_000
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -94,6 +94,11 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
     records(pages, least).write.option("lineSep", "\n").text(path)
 
 
+def digits(value: str) -> bool:
+    """Whether a header's content length is one."""
+    return value.isascii() and value.isdigit() and len(value) < 19
+
+
 def header(lines: list[bytes]) -> dict[str, str] | None:
     """Fields of a record header (names in lower case), or None if it is none."""
     out = {}
@@ -102,7 +107,7 @@ def header(lines: list[bytes]) -> dict[str, str] | None:
         if not colon:
             return None
         out[name.strip().lower()] = value.strip()
-    return out if out.get("content-length", "").isdigit() else None
+    return out if digits(out.get("content-length", "")) else None
 
 
 def payload_row(record: bytes) -> tuple:
@@ -148,65 +153,88 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, Itera
         yield f, b, lines(f, b)
 
 
-CANDIDATE = "file long, block long, kind string, at long, leaves long, last long, lines binary"
+CANDIDATE = "file long, block long, kind string, at long, leaves long, last long, length long, names boolean"
+
+
+def _named(line: bytes) -> tuple[bool, int | None]:
+    """Whether a header line names the content length, and the length (None: not a number)."""
+    name, _, value = line.partition(b":")
+    if name.decode("utf-8", "replace").strip().lower() != "content-length":
+        return False, None
+    text = value.decode("utf-8", "replace").strip()
+    return True, int(text) if digits(text) else None
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per range: its size; its candidates (``at``) with the offset at which their chain leaves the
     range (``leaves``) and the chain's last record (``last``), all from the start of the range; the
-    headers that its end cuts off; and the lines that may complete those of the range before."""
+    candidates whose headers its end cuts off, with the ``length`` named so far; and what the leading lines
+    mean to a header of the range before: it ends (at ``leaves``), goes on or is none, and whether they
+    name the length (``names``).
+
+    All open headers see the same lines, so they differ only in whether a length was named since they began.
+    """
     for file, block, lines in _ranges(batches):
         rows: list[tuple] = []
-        pos, first, heading = 0, [], True
-        open_: list[tuple[int, list[bytes], int]] = []
+        pos, leading, names, named, ends = 0, "goes on", False, None, None
+        known: list[int] = []
+        unknown: list[int] = []
+        length = 0
         found: list[tuple[int, int]] = []
         for one in lines:
-            if heading and len(first) < HEADER_LINES and sum(map(len, first)) < HEADER_BYTES:
-                first.append(one)
-                heading = one != b"\r"
             end = pos + len(one) + 1
-            if open_:
-                going = []
-                for at, head, size in open_:
-                    if one == b"\r":
-                        fields = header(head)
-                        if fields is not None:
-                            found.append((at, end + int(fields["content-length"]) + 4))
-                    elif len(head) < HEADER_LINES and size + len(one) <= HEADER_BYTES and b":" in one:
-                        head.append(one)
-                        going.append((at, head, size + len(one)))
-                open_ = going
+            if leading == "goes on" or known or unknown:
+                if one == b"\r":
+                    found += [(at, end + length + 4) for at in known]
+                    known, unknown = [], []
+                    if leading == "goes on":
+                        leading, ends = "ends", end
+                elif b":" not in one:
+                    known, unknown = [], []
+                    if leading == "goes on":
+                        leading = "none"
+                else:
+                    here, value = _named(one)
+                    if here:
+                        known, unknown = (known, unknown) if value is not None else (unknown, known)
+                        known.extend(unknown)
+                        known, unknown, length = (known, [], value) if value is not None else ([], known, 0)
+                        if leading == "goes on":
+                            names, named = True, value
             if one.startswith(MAGIC) and len(one) < 16:
-                open_.append((pos, [one], len(one)))
+                unknown.append(pos)
             pos = end
         follows = {at: (after, at) for at, after in found}
-        cut_off = {at for at, _, _ in open_}
+        cut_off = {*known, *unknown}
         for at in sorted(follows, reverse=True):  # the later ones are known already
             after, _ = follows[at]
             if after in follows:
                 follows[at] = follows[after]
             elif after in cut_off:
                 follows[at] = (after, at)
-        rows += [("size", pos, None, None, None), ("first", None, None, None, b"\n".join(first) if not heading else None)]
-        rows += [("record", at, leaves, last, None) for at, (leaves, last) in follows.items()]
-        rows += [("cut", at, pos, at, b"\n".join(head)) for at, head, _ in open_]
-        kind, at, leaves, last, text = zip(*rows, strict=True)
+        rows += [("size", pos, None, None, None, None), (leading, None, ends, None, named, names)]
+        rows += [("record", at, leaves, last, None, None) for at, (leaves, last) in follows.items()]
+        rows += [("cut", at, pos, at, length, None) for at in known] + [("cut", at, pos, at, None, None) for at in unknown]
+        kind, at, leaves, last, size, name = zip(*rows, strict=True)
         n = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([file] * n), pa.array([block] * n), pa.array(kind), pa.array(at, pa.int64()), pa.array(leaves, pa.int64()), pa.array(last, pa.int64()), pa.array(text, pa.binary())], names=[f.split()[0] for f in CANDIDATE.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array([file] * n), pa.array([block] * n), pa.array(kind), *(pa.array(c, pa.int64()) for c in (at, leaves, last, size)), pa.array(name, pa.bool_())], names=[f.split()[0] for f in CANDIDATE.split(", ")])
+
 
+def _completed(cuts: DataFrame, leading: DataFrame) -> DataFrame:
+    """(file, block, start, leaves, last) of the candidates whose headers run into later ranges.
 
-def _completed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates whose header runs into the next range."""
-    for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            head, rest = r["lines"], r["next"]
-            lines = [*head.split(b"\n"), *rest.split(b"\n")]
-            fields = header(lines[:-1])
-            if fields is not None:
-                rows.append((r["file"], r["block"], r["start"], r["ends"] + len(rest) + 1 + int(fields["content-length"]) + 4, r["start"]))
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["file", "block", "start", "leaves", "last"])
+    ``leading`` has (file, block, base, kind, leaves, length, names) of every range. A header ends where the
+    first later range that does not just go on says so; of several lengths the last one named counts.
+    """
+    along = Window.partitionBy("file").orderBy("block")
+    later = along.rowsBetween(1, Window.unboundedFollowing)
+    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = F.last(F.when(F.col("names"), F.struct("block", "length")), ignorenulls=True).over(so_far)
+    stops = leading.withColumn("told", told).withColumn("stop", F.when(F.col("kind") != "goes on", F.struct("kind", (F.col("base") + F.col("leaves")).alias("ends"), "told")))
+    stops = stops.select("file", "block", F.first("stop", ignorenulls=True).over(later).alias("stop"))
+    out = cuts.join(stops, ["file", "block"]).where("stop.kind = 'ends'")
+    size = F.when(F.col("stop.told.block") > F.col("block"), F.col("stop.told.length")).otherwise(F.col("length"))
+    return out.select("file", "block", "start", (F.col("stop.ends") + size + 4).alias("leaves"), F.col("start").alias("last")).where("leaves is not null")
 
 
 def chains(spark: SparkSession, path: str) -> DataFrame:
@@ -215,12 +243,12 @@ def chains(spark: SparkSession, path: str) -> DataFrame:
     seen = cut(_lines(spark, path).mapInArrow(_candidates, CANDIDATE))
     along = Window.partitionBy("file").orderBy("block")
     sizes = seen.where("kind = 'size'").select("file", "block", F.col("at").alias("size"))
-    bases = cut(sizes.select("file", "block", "size", (F.sum("size").over(along) - F.col("size")).alias("base")).withColumn("next", F.lead("block").over(along)))
+    bases = cut(sizes.select("file", "block", "size", (F.sum("size").over(along) - F.col("size")).alias("base")))
     placed = seen.where("kind in ('record', 'cut')").join(bases, ["file", "block"])
     whole = placed.where("kind = 'record'").select("file", "block", (F.col("base") + F.col("at")).alias("start"), (F.col("base") + F.col("leaves")).alias("leaves"), (F.col("base") + F.col("last")).alias("last"))
-    rest = seen.where("kind = 'first' and lines is not null").select("file", F.col("block").alias("next"), F.col("lines").alias("more"))
-    split = placed.where("kind = 'cut'").join(rest, ["file", "next"]).select("file", "block", (F.col("base") + F.col("at")).alias("start"), (F.col("base") + F.col("leaves")).alias("ends"), "lines", F.col("more").alias("next"))
-    whole = cut(whole.unionByName(split.mapInArrow(_completed, "file long, block long, start long, leaves long, last long")))
+    split = placed.where("kind = 'cut'").select("file", "block", (F.col("base") + F.col("at")).alias("start"), "length")
+    leading = seen.where("kind in ('ends', 'goes on', 'none')").join(bases, ["file", "block"]).select("file", "block", "base", "kind", "leaves", "length", "names")
+    whole = cut(whole.unionByName(_completed(split, leading)))
     reached = cut(whole.where("start = 0").select("file", "start"))
     jump = whole.select("file", "start", F.col("leaves").alias("to"))
     while True:

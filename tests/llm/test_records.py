@@ -58,6 +58,39 @@ def test_warc_threshold_empty_and_broken(spark, tmp_path):
     assert [r["page_id"] for r in warc.read(spark, str(tmp_path / "c")).collect()] == [1]
 
 
+@pytest.mark.parametrize("split", ["128m", "5000"])
+def test_warc_long_headers(spark, tmp_path, split):
+    long = (1, "data:text/html," + "é:" * 50_000, "long")
+    short = [(2, "u", "two"), (3, "u", FAKE)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for at in range(3):
+            rows = short[:at] + [long] + short[at:]
+            path = str(tmp_path / str(at))
+            warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+            assert sorted((tuple(r) for r in warc.resolved(warc.read(spark, path)).collect()), key=str) == expected(rows)
+        # many lines over several ranges; the length is named first, last, in the middle, or twice, of which the last counts
+        filler = [f"X-{i}: {'y' * 90}" for i in range(200)]
+        wanted, text = [], ""
+        for i, at in enumerate([(0,), (200,), (100,), (0, 150), (200, 0)]):
+            lines = filler[:]
+            for k, a in enumerate(sorted(at, reverse=True)):
+                lines.insert(a, f"Content-Length: {10 if k == 0 else 999}")
+            text += "\r\n".join(["WARC/1.1", "WARC-Type: response", f"WARC-Page-ID: {i}", *lines, "", "0123456789", "", ""])
+            wanted.append((i, 10))
+        fake = "WARC/1.1\r\nContent-Length: 99999999999999999999\r\n" + "A: b\r\n" * 3000
+        text += f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Page-ID: 9\r\nContent-Length: {len(fake)}\r\n\r\n{fake}\r\n\r\n"
+        wanted.append((9, len(fake)))
+        (tmp_path / "many").mkdir()
+        (tmp_path / "many" / "one.warc").write_text(text, newline="")
+        assert sorted((r["page_id"], r["payload_bytes"]) for r in warc.read(spark, str(tmp_path / "many")).collect()) == wanted
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def naive_pack(sizes, lengths):
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     left = Counter(sizes)
