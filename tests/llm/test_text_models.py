@@ -101,6 +101,16 @@ def test_bands_reject_what_is_unlike_the_language(spark):
     assert not got[999] and sum(got.values()) >= 118
 
 
+def test_documents_of_small_languages(spark):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(3000)]
+    text = lambda: " ".join(rng.choice(words, 60))
+    rows = [(i, text(), "en") for i in range(300)] + [(1000 + i, text(), f"rare{i}") for i in range(6)] + [(1006, text(), None), (1007, text(), "*")]
+    rows += [(2000, " ".join("".join(map(chr, rng.integers(33, 126, 9))) for _ in range(60)), "junk")]
+    got = {r["doc_id"]: r["kept"] for r in ngram_perplexity.rule(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[1000 + i] for i in range(8)) and not got[2000]
+
+
 def test_language(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     got = language_id.op3_language_bitmask(spark, "/root/testdata/sf0.01").join(docs, "doc_id")
