@@ -101,6 +101,19 @@ def test_bands_reject_what_is_unlike_the_language(spark):
     assert not got[999] and sum(got.values()) >= 118
 
 
+def test_each_side_has_its_own_limit():
+    x = np.concatenate([-np.arange(1, 101) / 1000, [0.0], np.arange(1, 101) / 100])
+    low, high = ngram_perplexity.band(x, np.ones(len(x), np.int64))
+    assert -0.25 < low < -0.2 and 2.8 < high < 3.2
+
+
+def test_junk_of_the_labels_is_rejected(spark):
+    path = "/root/testdata/sf0.01"
+    got = ngram_perplexity.op1_ngram_perplexity(spark, path).where("not base_failed").join(table(spark, path, "labels"), "doc_id")
+    share = {r["quality"]: r["kept"] for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()}
+    assert share[0] < 0.5 and share[1] > 0.95
+
+
 def test_documents_of_small_languages(spark):
     rng = np.random.default_rng(4)
     words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(3000)]
