@@ -4,12 +4,16 @@
    128-bit key of that set, a SuperMinHash signature and the signature's bands.
    Documents with equal sets form a class; only classes go on.
 2. Classes that share a band value form a bucket. A bucket never lists its
-   pairs: each round names up to ``pivots`` members per bucket and joins every
-   member to those, drops pairs whose sizes or signatures rule the link out,
-   confirms the rest on the full sets, merges the classes that are linked, and drops the pivots, which have then met everybody. A
-   bucket is done once its members are one component or fewer than two are left,
-   so rounds go on until every pair of a bucket is either confirmed, refuted, or
-   already connected. Nothing is capped.
+   pairs. Its most popular class is its pivot; every member is compared with the
+   pivot on the full sets, and links are merged. What a bucket holds of several
+   components is compared by its members' differences from the pivot: in a group
+   of near copies those are short and seldom shared, so elements that few
+   members have in common name the few pairs that can still be linked, and
+   counts refute the rest without listing them. Members too far from their
+   pivot get a second one, then are compared by their own rarest elements.
+   Whatever these lists of rare elements hold is met by pivots in rounds until
+   every pair is confirmed, refuted or already connected. Nothing is capped, and
+   only the bands can miss a link.
 3. Components are found by contraction (``components``).
 
 SuperMinHash: an element's values for the M places are j + r_j in the order of a
@@ -38,12 +42,10 @@ from candlewick.llm.textvec import BYTE_CODE, Texts, blocks, mix, span_hash
 
 ROWS = 5
 PLACES = 32 * ROWS
-#: Places of a signature that go with a class to its buckets, for a first estimate.
-MARKS = 120
-PIVOTS = (1, 64, 256, 1024)
-#: How far below the percentage asked for a share of equal marks may lie and still go to confirmation:
-#: at least 4 standard deviations of the estimate (0.0365 at 80 percent, 0.0326 at 85).
-MARGIN = 0.155
+#: Pivots that a band's bucket gets, one a turn, before its members are compared by their own rarest elements.
+TURNS = 2
+#: Pivots of a list of rare elements by round.
+PIVOTS = (64, 256, 1024)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -151,16 +153,8 @@ def classes_of(docs: DataFrame, id_col: str, words: int, places: int) -> DataFra
     return docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"id {kind}, text_key long, key binary, n long, bands array<long>")
 
 
-def alike(a: str, b: str, percent: int) -> Column:
-    """Whether two signatures' marks leave a link possible."""
-    return F.size(F.array_intersect(a, b)) >= int((percent / 100 - MARGIN) * MARKS)
-
-
-def sets_of(docs: DataFrame, id_col: str, wanted: DataFrame, words: int, places: int) -> DataFrame:
-    """(key, elements, marks) for the classes in ``wanted`` (id, text_key, key), from one text of each.
-
-    A mark is a place of the signature and 16 bits of its value.
-    """
+def sets_of(docs: DataFrame, id_col: str, wanted: DataFrame, words: int) -> DataFrame:
+    """(key, elements) for the classes in ``wanted`` (id, text_key, key), from one text of each."""
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("text_key"), "text")
     own = own.join(few(wanted.toDF("_id", "_text_key", "key")), F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text_key"))).select("key", "text")
 
@@ -171,48 +165,86 @@ def sets_of(docs: DataFrame, id_col: str, wanted: DataFrame, words: int, places:
                 key, of = shingles(texts, words)
                 size, names = set_keys(key, of, texts.n)
                 at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                sig = superminhash(key, of, texts.n, places)[:, :MARKS]
-                marks = (mix(sig) >> np.uint64(48)).astype(np.int32) | (np.arange(sig.shape[1], dtype=np.int32) << 16)[None, :]
                 same = pa.array([a == b for a, b in zip(names, block.column("key").to_pylist(), strict=True)], pa.bool_())
-                lists = [pa.ListArray.from_arrays(at, key.astype(np.int64)), pa.ListArray.from_arrays(np.arange(texts.n + 1, dtype=np.int32) * sig.shape[1], marks.reshape(-1))]
-                yield pa.RecordBatch.from_arrays([block.column("key"), *lists], names=["key", "elements", "marks"]).filter(same)
+                yield pa.RecordBatch.from_arrays([block.column("key"), pa.ListArray.from_arrays(at, key.astype(np.int64))], names=["key", "elements"]).filter(same)
 
-    return own.mapInArrow(run, "key binary, elements array<long>, marks array<int>").dropDuplicates(["key"])
+    found = cut(own.mapInArrow(run, "key binary, elements array<long>"))
+    # only rows repeated in full, id and text, give a class's set twice
+    twice = not found.groupBy("key").count().where("count > 1").isEmpty()
+    return cut(found.dropDuplicates(["key"])) if twice else found
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (p, m) whose full sets have 100 * intersection >= percent * union.
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (p, m and more) with the elements of both, ``sp`` and ``sm``.
 
     Only the sets that the pairs name are moved. The sets of the pivots p, few
     in most rounds, are sent to the pairs if they are small; else both sides are shuffled.
     """
-    named = few(pairs.select(F.col("p").alias("key")).union(pairs.select("m")).distinct())
-    own = sets.select("key", "elements").join(named, "key", "left_semi")
-    pivots = own.join(few(pairs.select(F.col("p").alias("key")).distinct()), "key", "left_semi").toDF("p", "sp")
-    both = pairs.join(own.toDF("m", "sm"), "m").join(few(pivots, F.size("sp"), 4_000_000), "p")
+    own = sets.join(few(pairs.select(F.col("m").alias("key")).distinct()), "key", "left_semi").toDF("m", "sm")
+    pivots = sets.join(few(pairs.select(F.col("p").alias("key")).distinct()), "key", "left_semi").toDF("p", "sp")
+    return pairs.join(own, "m").join(few(pivots, F.size("sp"), 2_000_000), "p")
+
+
+def linked(d: Column | str, n: Column, percent: int) -> Column:
+    """Whether ``d`` elements in one set only, of ``n`` in both sets together, leave 100 * intersection >= percent * union."""
+    return (100 + percent) * (F.col(d) if isinstance(d, str) else d) <= (100 - percent) * n
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (p, m) whose full sets are linked."""
     common = F.size(F.array_intersect("sp", "sm"))
-    return both.where(100 * common >= percent * (F.size("sp") + F.size("sm") - common)).select(*pairs.columns)
+    return with_sets(pairs, sets).where(100 * common >= percent * (F.size("sp") + F.size("sm") - common)).select(*pairs.columns)
 
 
-def rarest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The classes of ``members`` in new buckets, one for each of their rarest elements.
+def relabelled(labels: DataFrame | None, ends: DataFrame) -> DataFrame | None:
+    """Labels (node, comp) after the links ``ends`` (a, b) between components; a node without a row is its own component."""
+    ends = cut(ends.where("a <> b").distinct())
+    if ends.isEmpty():
+        return labels
+    new = components(ends)
+    if labels is None:
+        return new
+    moved = labels.join(new.toDF("comp", "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return cut(moved.union(new.join(labels, "node", "left_anti").select("node", "comp")))
 
-    Of two sets that share ``percent`` of their union, each holds one of the
-    other's size - ceil(percent * size) + 1 rarest elements, whichever way
-    rarity is counted as long as both use the same order. A passage that
-    many texts share puts them into one band bucket, but is seldom among their
-    rarest elements, so these buckets separate what the bands could not.
+
+def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``members`` with the component of their key."""
+    if labels is None:
+        return members.withColumn("comp", F.col("key"))
+    return members.join(few(labels.toDF("key", "_comp")), "key", "left").withColumn("comp", F.coalesce("_comp", "key")).drop("_comp")
+
+
+def reach(members: DataFrame, by: str, percent: int) -> DataFrame:
+    """``members`` that may still be linked to another component of their group ``by``.
+
+    ``d`` counts a member's elements and ``f`` = 2 * (those that nobody else has) - d.
+    What two members share is at most d - (f + d) / 2 of either, so a link needs
+    f of the one plus d of the other to be within the difference that a link allows.
+    Three minima a group, pre-aggregated, tell who meets that with nobody.
+    """
+    f, d = ((100 + percent) * F.col(c) - (100 - percent) * F.col("n") for c in "fd")
+    group = members.groupBy(by).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(f).alias("least_f"), F.min(d).alias("least_d")).where("lo <> hi")
+    return members.join(group, by).where((d + F.col("least_f") <= 0) & (f + F.col("least_d") <= 0)).select(*members.columns)
+
+
+def postings(members: DataFrame, percent: int) -> DataFrame:
+    """(bucket, key, n, d, f) of ``members`` (space, key, n, comp, d, least, elements), one row per rare element.
+
+    A space compares its members by the difference of their elements from the
+    space's pivot, or by the elements themselves (no pivot): both leave what two
+    members differ in unchanged. ``least`` elements at least are common to a
+    member and whatever it links to, so of two linked members each holds one of
+    the other's d - least + 1 rarest, by any order of rarity that both use.
+    Elements that nobody else in the space has are rarest; they fill places and make no bucket.
     """
-    left = cut(members.groupBy("key").agg(F.first("n").alias("n"), F.first("comp").alias("comp")))
-    own = sets.join(few(left.select("key")), "key", "left_semi").select("key", F.explode("elements").alias("bucket"))
+    own = members.select("space", "key", F.explode("elements").alias("e")).select("space", "key", F.xxhash64("space", "e").alias("bucket"))
     often = own.groupBy("bucket").agg(F.count("*").alias("often")).where("often > 1")
-    ranked = own.join(often, "bucket").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("often", "bucket"))).alias("shared"))
-    # elements that only one class has are rarer still and come first; they fill places but make no bucket
-    ranked = ranked.join(left, "key")
-    places = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))
+    ranked = own.join(often, "bucket").groupBy("space", "key").agg(F.sort_array(F.collect_list(F.struct("often", "bucket"))).alias("shared"))
+    ranked = cut(ranked.join(members.drop("elements"), ["space", "key"]).withColumn("f", F.col("d") - 2 * F.size("shared")))
+    places = F.col("d") - F.col("least") + 1 - (F.col("d") - F.size("shared"))
     first = F.when(places > 0, F.slice("shared", F.lit(1), F.greatest(places, F.lit(1)).cast("int")))
-    spread = ranked.select("key", "n", "comp", F.explode(first).alias("one")).select("key", "n", "comp", F.col("one.bucket").alias("bucket"))
-    return cut(spread.join(sets.select("key", "marks"), "key").select("bucket", "key", "n", "comp", "marks"))
+    return reach(ranked, "space", percent).select("key", "n", "d", "f", F.explode(first).alias("one")).select(F.col("one.bucket").alias("bucket"), "key", "n", "d", "f")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", words: int = 5, percent: int = 80, places: int = PLACES) -> DataFrame:
@@ -222,53 +254,72 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", words: int = 5, percent
     ``percent`` of the union; ``leads`` marks the row that stands for its
     component: that id, and of its texts the one with the smallest text_key
     (xxhash64). A pair with similarity s shares a band with probability
-    1 - (1 - s**5)**(places/5): all but 3 in a million at 0.8 and 160 places.
-    The estimate from ``MARKS`` marks drops another 17 in a million there (marks
-    taken as independent), 20 together; at 0.85 and 120 places 3.4 and 0.8, 4.2 together.
+    1 - (1 - s**5)**(places/5): all but 3 in a million at 0.8 and 160 places, and
+    but 3.4 in a million at 0.85 and 120 places. Every later step is exact.
     """
     ship(docs.sparkSession)
     rows = cut(classes_of(docs, id_col, words, places))
     one = rows.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "text_key")).alias("of"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     one = cut(one)
-    spread = one.select("key", F.explode("bands").alias("bucket"))
-    busy = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    crowded = spread.join(busy, "bucket")
-    members = cut(crowded.join(one.select("key", "n"), "key").select("bucket", "key", "n", F.col("key").alias("comp")))
-    taking_part = members.select("key").distinct()
-    sets = cut(sets_of(docs, id_col, one.join(taking_part, "key", "left_semi").select("of.id", "of.text_key", "key"), words, places))
+    spread = one.select("key", "n", F.explode("bands").alias("bucket"))
+    crowded = cut(spread.join(spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"))
+    weight = crowded.groupBy("key").agg(F.sum("size").alias("weight"))
+    members = cut(crowded.join(weight, "key").select("bucket", "key", "n", "weight"))
+    sets = sets_of(docs, id_col, one.join(weight, "key", "left_semi").select("of.id", "of.text_key", "key"), words)
+    labels, dealt = None, []
+    for _ in range(TURNS):
+        # one pivot a bucket, the class that meets the most others, so that a group's buckets share theirs
+        pivots = members.groupBy("bucket").agg(F.max(F.struct("weight", "key", "n")).alias("p"))
+        seated = cut(members.join(pivots, "bucket").where("p.key <> key").select("bucket", "key", "n", "weight", F.col("p.key").alias("p"), F.col("p.n").alias("np")))
+        if seated.isEmpty():
+            break
+        pairs = cut(seated.select("p", "np", F.col("key").alias("m"), "n").distinct())
+        met = cut(with_sets(pairs, sets).select("p", F.col("m").alias("key"), (F.col("n") + F.col("np") - 2 * F.size(F.array_intersect("sp", "sm"))).cast("long").alias("d"), linked(F.col("n") + F.col("np") - 2 * F.size(F.array_intersect("sp", "sm")), F.col("n") + F.col("np"), percent).alias("hit")))
+        hits = met.where("hit").select(F.col("p").alias("a"), F.col("key").alias("b"))
+        labels = relabelled(labels, labelled(labelled(hits.withColumnRenamed("a", "key"), labels).select(F.col("comp").alias("a"), F.col("b").alias("key")), labels).select("a", F.col("comp").alias("b")))
+        seated = labelled(seated, labels)
+        mixed = seated.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+        seated = cut(seated.join(mixed, "bucket").join(met, ["p", "key"]))
+        # who is near its pivot is compared there, who is not stays in the bucket, who is between does both: of two linked members
+        # one is nearer than it stays, or both stay, since differences from the pivot differ by no more than a link allows
+        near = seated.where((100 + percent) * F.col("d") <= (300 - percent) * F.col("n")).select("p", "np", "key", "n", "comp", "d", "hit").distinct()
+        members = cut(seated.where((100 + percent) * F.col("d") > (3 * percent - 100) * F.col("n")).select("bucket", "key", "n", "weight"))
+        sizes = (100 - percent) * (F.col("n") + F.col("np"))
+        apart = F.greatest(F.lit(1), F.ceil(((100 + percent) * F.col("d") - sizes) / 200))
+        close = F.floor(((100 + percent) * F.col("d") + (100 - percent) * (F.col("np") - F.col("n"))) / (2 * (100 + percent))) + 1
+        both = with_sets(cut(near).withColumnRenamed("key", "m"), sets)
+        space = both.select(
+            F.col("p").alias("space"), F.col("m").alias("key"), "n", "comp", "d",
+            F.when(F.col("hit"), close).otherwise(apart).alias("least"),
+            F.concat(F.array_except("sm", "sp"), F.array_except("sp", "sm")).alias("elements"),
+        )
+        dealt.append(cut(postings(cut(space), percent)))
+        release(docs.sparkSession)
+    left = labelled(members.groupBy("key").agg(F.first("n").alias("n")), labels)
+    own = sets.join(few(left), "key").select(F.lit(b"").alias("space"), "key", "n", "comp", F.col("n").alias("d"), F.ceil(F.col("n") * percent / 100).alias("least"), "elements")
+    dealt.append(postings(own, percent))
+    members = cut(reduce(DataFrame.union, dealt))
     turn = 0
-    links = []
     while True:
-        mixed = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        members = cut(members.join(mixed, "bucket"))
+        members = cut(reach(labelled(members.select("bucket", "key", "n", "d", "f"), labels), "bucket", percent))
         if members.isEmpty():
             break
-        if turn == 1:
-            members = rarest(members, sets, percent)
         width = PIVOTS[min(turn, len(PIVOTS) - 1)]
         turn += 1
-        extra = [c for c in ("marks",) if c in members.columns]
-        pivots = members.groupBy("bucket", F.pmod(F.hash("key"), F.lit(width)).alias("slot")).agg(F.min(F.struct("key", "n", "comp", *extra)).alias("p"))
-        met = members.join(pivots.select("bucket", "p"), "bucket").where((F.col("p.comp") != F.col("comp")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")))
-        if extra:
-            met = met.where(alike("marks", "p.marks", percent))
+        pivots = members.groupBy("bucket", F.pmod(F.hash("key"), F.lit(width)).alias("slot")).agg(F.min(F.struct("key", "n", "comp", "d", "f")).alias("p"))
+        may = (F.col("p.comp") != F.col("comp")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n"))
+        may = may & linked(F.col("f") + F.col("p.d"), F.col("n") + F.col("p.n"), percent) & linked(F.col("d") + F.col("p.f"), F.col("n") + F.col("p.n"), percent)
+        met = members.join(pivots.select("bucket", "p"), "bucket").where(may)
         pairs = met.select(F.col("p.key").alias("p"), F.col("key").alias("m"), F.col("p.comp").alias("cp"), F.col("comp").alias("cm")).distinct()
-        if not extra:
-            marks = sets.select("key", "marks")
-            pairs = pairs.join(marks.toDF("p", "mp"), "p").join(marks.toDF("m", "mm"), "m").where(alike("mp", "mm", percent)).select("p", "m", "cp", "cm")
-        found = cut(confirmed(cut(pairs), sets, percent))
-        links.append(found.select(F.col("p").alias("a"), F.col("m").alias("b")))
-        # one step towards the components is enough to spare later rounds most pairs
-        smaller = found.select(F.greatest("cp", "cm").alias("comp"), F.least("cp", "cm").alias("to")).groupBy("comp").agg(F.min("to").alias("to"))
-        twice = smaller.join(smaller.toDF("to", "top"), "to", "left").select("comp", F.coalesce("top", "to").alias("to"))
+        found = confirmed(cut(pairs), sets, percent).select(F.col("cp").alias("a"), F.col("cm").alias("b"))
+        labels = relabelled(labels, found)
         members = members.join(pivots.select("bucket", F.col("p.key").alias("key")), ["bucket", "key"], "left_anti")
-        members = members.join(few(cut(twice)), "comp", "left").select("bucket", "key", "n", F.coalesce("to", "comp").alias("comp"), *extra)
-        pairs = met = None
+        pairs = met = found = None
         release(docs.sparkSession)
-    if not links:
+    if labels is None:
         found = one.select("key", F.col("of").alias("lead"))
     else:
-        own = one.select("key", "of").join(components(reduce(DataFrame.union, links)).withColumnRenamed("node", "key"), "key", "left")
+        own = one.select("key", "of").join(labels.withColumnRenamed("node", "key"), "key", "left")
         lowest = own.where("comp is not null").groupBy("comp").agg(F.min("of").alias("lead"))
         found = own.join(lowest, "comp", "left").select("key", F.coalesce("lead", "of").alias("lead"))
     out = rows.select("id", "text_key", "key", "n").join(found, "key", "left")
