@@ -10,7 +10,8 @@ and the language with the largest corrected share decides.
 A language's profile is every n-gram that makes up at least ``min_share`` of its
 training n-grams, hence at most 1 / min_share n-grams: the filter's load, and so
 its error, does not depend on the size of the corpus. The filter is an array of
-``SLOTS`` masks, whose size is fixed, which is why it may be broadcast.
+``SLOTS`` masks, whose size is fixed, which is why it may be broadcast. A repeated row gets the same answer
+each time it comes; texts of any length are read whole, in blocks.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ labelled rows (``TRAIN_DOCS`` of each label); scoring covers every whole text.
 
 The score of an average is the average of scores, so the trained model is folded
 into one number per bucket before it is sent to the tasks: BUCKETS floats,
-whatever the corpus.
+whatever the corpus. A repeated row gets the same score each time it comes, and a
+labelled document that comes twice teaches twice; texts of any length are read whole, in blocks.
 """
 
 from __future__ import annotations
