@@ -1,42 +1,47 @@
 """Exact top-k inner-product search as a Voronoi kNN join.
 
-1. A bounded number of pivots is drawn by hash from the vectors, and every
-   vector joins the cell of its nearest pivot (its distance to it is kept).
-2. One aggregate summarises each cell: number of vectors, radius, longest
-   vector, and the same for the queries in it. The summaries are ``pivots``
-   rows, whatever the data.
+1. Pivots are drawn by hash from the vectors, about the fourth part of the
+   square root of their number and from 64 to 2048 of each length, and every vector joins
+   the cell of its nearest pivot (its distance to it is kept).
+2. One aggregate summarises each cell: number of ids, radius, longest
+   vector, and the same for the queries in it. The summaries are one row a
+   pivot, whatever the data.
 3. Bounds from the summaries: with q in a cell of pivot p and radius r and x in
    a cell of pivot s and radius t, the product q.x lies within
    p.s +- (r |s| + t |p| + r t), and never above |q| |x|. The cells with the
-   largest lower bounds that hold k + 1 vectors together bound the k-th best
+   largest lower bounds that hold k + 1 ids together bound the k-th best
    score of every query of a cell from below; a data cell whose upper bound is
    lower than that is never sent.
 4. First pass: each query is solved against the data nearest to it, its own
    cell, which gives its true k-th best so far. Second pass: the query is sent
    only to those remaining cells whose upper bound, now for this query alone
    (q.s + t |q| and |q| times the cell's longest vector), still reaches it.
-5. A large cell is dealt into blocks of at most ``BLOCK`` vectors, and the
-   queries sent to it into blocks as well, so no task holds a whole hot cell.
+5. A large cell is dealt into blocks of about ``BLOCK`` vectors, and the
+   queries sent to it into lots, so no task holds a whole hot cell. Data of a cell
+   is copied once for each lot that asks for it and not at all if none does.
    Each block is solved by one matrix product; the best k of all blocks of a
-   query are merged by pre-aggregated top-k lists.
+   query are merged by ranks that Spark limits before the shuffle.
 
 Scores are integer products of components floor(1024 x); products are exact in
 float64 as long as |q| |x| < 2**53, and are computed in int64 otherwise. Ties go to the
-smaller id. Vectors that are null, or hold null or non-finite components, or
-whose length differs from the most common one, take no part.
+smaller id. Vectors that are null, or hold null or non-finite components, and rows
+without an id take no part; vectors of different lengths are not compared.
+Rows repeated in full, id and vector, count once. Rows of one id with different
+vectors are candidates and queries of their own: such an id has k ranks for each of
+its vectors. No row with the query's id is among its candidates.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlewick.llm.common import cut, ship, table
 
 SCALE = 1024
-PIVOTS = 64
+PIVOTS = (64, 2048)
 BLOCK = 8192
 """Vectors or queries in a block; a block of each is multiplied at once."""
 
@@ -74,99 +79,115 @@ def best(score: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[li
     return out
 
 
-def knn_join(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+def _lengths(column: pd.Series):
+    """(length, positions) for each length of the vectors of a column."""
+    size = column.map(len).to_numpy()
+    for dim in np.unique(size):
+        yield int(dim), np.flatnonzero(size == dim)
+
+
+def knn_join(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, id, score): each query's k best of all other rows; ``queries`` is a condition on ``id``."""
     ship(vectors.sparkSession)
-    rows = quantised(vectors, id_col, vector_col)
-    sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
     spark = vectors.sparkSession
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score long")
-    dim = sizes[0]["dim"]
-    rows = rows.where(F.size("v") == dim)
-    # the same pivots in every run: smallest hashes of distinct vectors
-    drawn = rows.select("v", F.xxhash64("v").alias("h")).groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(pivots).collect()
-    centres = np.array([r["v"] for r in drawn], np.float64)
+    nothing = spark.createDataFrame([], "query_id long, rank int, id long, score long")
+    rows = quantised(vectors, id_col, vector_col).withColumn("own", F.xxhash64("id", "v"))
+    wanted = pivots or int(min(PIVOTS[1], max(PIVOTS[0], rows.count() ** 0.5 / 4)))
+    # the same pivots in every run: of each length and each remainder of the hash the vector with the smallest hash
+    hashed = rows.select("v", F.size("v").alias("dim"), F.xxhash64("v").alias("h"))
+    drawn = hashed.groupBy("dim", F.pmod("h", F.lit(wanted)).alias("slot")).agg(F.min_by("v", "h").alias("v")).orderBy("dim", "slot").collect()
+    if not drawn:
+        return nothing
+    dims = np.array([r["dim"] for r in drawn])
+    # length -> numbers of its cells, their pivots
+    centres = {int(d): (np.flatnonzero(dims == d), np.array([r["v"] for r in drawn if r["dim"] == d], np.float64)) for d in np.unique(dims)}
     shared = spark.sparkContext.broadcast(centres)
 
     def assign(batches):
-        c = shared.value
         for pdf in batches:
-            if not len(pdf):
-                continue
-            v = _matrix(pdf["v"]).astype(np.float64)
-            d = np.maximum(0, (v * v).sum(1)[:, None] - 2 * v @ c.T + (c * c).sum(1)[None, :])
-            cell = d.argmin(1)
-            yield pdf.assign(cell=cell.astype(np.int32), away=np.sqrt(d[np.arange(len(v)), cell]) + 1e-6 * np.sqrt((v * v).sum(1)) + 1e-3, norm=np.sqrt((v * v).sum(1)) * (1 + 1e-9))
-
-    dealt = cut(rows.mapInPandas(assign, "id long, v array<long>, cell int, away double, norm double").withColumn("asks", queries))
-    summary = dealt.groupBy("cell").agg(
+            for dim, at in _lengths(pdf["v"]):
+                cells, c = shared.value[dim]
+                part = pdf.iloc[at]
+                v = _matrix(part["v"]).astype(np.float64)
+                d = np.maximum(0, (v * v).sum(1)[:, None] - 2 * v @ c.T + (c * c).sum(1)[None, :])
+                cell = d.argmin(1)
+                norm = np.sqrt((v * v).sum(1))
+                yield part.assign(cell=cells[cell].astype(np.int32), away=np.sqrt(d[np.arange(len(v)), cell]) + 1e-6 * norm + 1e-3, norm=norm * (1 + 1e-9))
+
+    dealt = cut(rows.mapInPandas(assign, "id long, v array<long>, own long, cell int, away double, norm double").withColumn("asks", queries))
+    per_id = dealt.groupBy("cell", "id").agg(F.max("away").alias("away"), F.max("norm").alias("norm"), F.first("asks").alias("asks"))
+    summary = per_id.groupBy("cell").agg(
         F.count("*").alias("n"), F.max("away").alias("radius"), F.max("norm").alias("norm"),
         F.count_if("asks").alias("nq"), F.max(F.when(F.col("asks"), F.col("away"))).alias("q_radius"), F.max(F.when(F.col("asks"), F.col("norm"))).alias("q_norm"),
-    ).toPandas().sort_values("cell").reset_index(drop=True)
-    cells = summary["cell"].to_numpy()
-    centre, radius, norm, n = centres[cells], summary["radius"].to_numpy(), summary["norm"].to_numpy(), summary["n"].to_numpy()
-    length = np.sqrt((centre * centre).sum(1))
-    needed: list[tuple[int, int]] = []  # (query cell, data cell) that bounds do not rule out
-    for i in np.flatnonzero(summary["nq"].to_numpy() > 0):
-        r = summary["q_radius"][i]
-        slack = r * length + radius * length[i] + r * radius
-        middle = centre @ centre[i]
-        lower, upper = middle - slack, np.minimum(middle + slack, summary["q_norm"][i] * norm)
-        order = np.argsort(-lower)
-        enough = np.searchsorted(np.cumsum(n[order]), k + 1)
-        least = lower[order[enough]] if enough < len(order) else -np.inf
-        needed += [(int(cells[i]), int(cells[j])) for j in np.flatnonzero(upper >= least)]
-    blocks = {int(c): int(-(-m // block)) for c, m in zip(cells, n, strict=True)}
-    block_of = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
-    place = F.pmod(F.xxhash64("id"), block_of[F.col("cell")]).cast("int")
-    data = dealt.select("cell", place.alias("part"), "id", "v")
-    asked = dealt.where("asks").select("id", "v", "cell", "norm")
-    q_blocks = int(-(-int(summary["nq"].sum()) // block))
-
-    def send(where: DataFrame) -> DataFrame:
-        """One row per query and block of the cell ``to``."""
-        each = where.withColumn("part", F.explode(F.sequence(F.lit(0), block_of[F.col("to")] - 1)))
-        return each.select(F.col("to").alias("cell"), "part", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("lot"), F.col("id").alias("query_id"), F.col("v").alias("q"))
+    ).toPandas().set_index("cell").reindex(np.arange(len(dims)))
+    if not summary["nq"].sum():
+        return nothing
+    counted = summary["n"].fillna(0).to_numpy()
+    geometry = {}  # length -> cells, pivots, radii, longest vectors, and which data cells each query cell may need
+    for dim, (cells, centre) in centres.items():
+        there = counted[cells] > 0
+        cells, centre = cells[there], centre[there]
+        own = summary.loc[cells]
+        radius, norm, n = own["radius"].to_numpy(), own["norm"].to_numpy(), own["n"].to_numpy()
+        length = np.sqrt((centre * centre).sum(1))
+        needed = np.zeros((len(cells), len(cells)), bool)
+        for i in np.flatnonzero(own["nq"].to_numpy() > 0):
+            r = own["q_radius"].iloc[i]
+            slack = r * length + radius * length[i] + r * radius
+            middle = centre @ centre[i]
+            lower, upper = middle - slack, np.minimum(middle + slack, own["q_norm"].iloc[i] * norm)
+            order = np.argsort(-lower)
+            enough = np.searchsorted(np.cumsum(n[order]), k + 1)
+            needed[i] = upper >= (lower[order[enough]] if enough < len(order) else -np.inf)
+        geometry[dim] = (cells, centre, radius, norm, needed)
+    asked = dealt.where("asks").select("id", "v", "own", "cell", "norm").dropDuplicates(["id", "own"])
+    shape = "query_id long, own long, score long, id long"
 
     def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
-            return pd.DataFrame({"query_id": [], "score": [], "id": []})
-        ids = x["id"].to_numpy()
-        tops = best(products(_matrix(q["q"]), _matrix(x["v"])), ids, q["query_id"].to_numpy(), k)
-        flat = [(a, s, i) for a, top in zip(q["query_id"], tops, strict=True) for s, i in top]
-        return pd.DataFrame(flat, columns=["query_id", "score", "id"])
+            return pd.DataFrame({"query_id": [], "own": [], "score": [], "id": []})
+        x = x.drop_duplicates(["id", "own"])
+        tops = best(products(_matrix(q["q"]), _matrix(x["v"])), x["id"].to_numpy(), q["query_id"].to_numpy(), k)
+        flat = [(a, o, s, i) for a, o, top in zip(q["query_id"], q["asker"], tops, strict=True) for s, i in top]
+        return pd.DataFrame(flat, columns=["query_id", "own", "score", "id"])
 
     def solved(sent: DataFrame) -> DataFrame:
-        lots = data.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))) if q_blocks > 1 else data.withColumn("lot", F.lit(0))
-        return sent.groupBy("cell", "part", "lot").cogroup(lots.groupBy("cell", "part", "lot")).applyInPandas(solve, "query_id long, score long, id long")
-
-    if q_blocks == 0:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score long")
-    near = cut(solved(send(asked.withColumn("to", F.col("cell")))))
-    reached = near.groupBy("query_id").agg(F.count("*").alias("m"), F.sort_array(F.collect_list("score"), asc=False).alias("s")).select(
-        F.col("query_id").alias("id"), F.when(F.col("m") >= k, F.col("s")[k - 1]).alias("reached"))
-    geometry = spark.sparkContext.broadcast((cells, centre, radius, norm, pd.DataFrame(needed, columns=["cell", "to"]).groupby("cell")["to"].agg(set).to_dict()))
+        """Each query (id, v, own, to) against the cell ``to``."""
+        asking = sent.groupBy("to").count().collect()  # a row a cell
+        lots = {r["to"]: (int(-(-counted[r["to"]] // block)), int(-(-r["count"] // block))) for r in asking}
+        if not lots:
+            return spark.createDataFrame([], shape)
+        plan = F.broadcast(spark.createDataFrame([(int(c), b, n) for c, (b, n) in lots.items()], "cell int, blocks int, lots int"))
+        part, lot = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("own"), F.col("lots")).cast("int")
+        q = sent.withColumnRenamed("to", "cell").join(plan, "cell").withColumn("lot", lot).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        x = dealt.select("cell", "id", "own", "v").join(plan, "cell").withColumn("part", part).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+        q, x = q.select("cell", "part", "lot", F.col("id").alias("query_id"), F.col("own").alias("asker"), F.col("v").alias("q")), x.select("cell", "part", "lot", "id", "own", "v")
+        return q.groupBy("cell", "part", "lot").cogroup(x.groupBy("cell", "part", "lot")).applyInPandas(solve, shape)
+
+    ranked = Window.partitionBy("query_id", "own").orderBy(F.desc("score"), "id")
+    top = lambda hits: hits.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    near = cut(top(solved(asked.select("id", "v", "own", F.col("cell").alias("to")))))
+    reached = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), "own", F.col("score").alias("reached"))
+    sent_to = spark.sparkContext.broadcast(geometry)
 
     def route(batches):
-        cells, centre, radius, norm, allowed = geometry.value
         for pdf in batches:
-            if not len(pdf):
-                continue
-            q = _matrix(pdf["v"]).astype(np.float64)
-            own = pdf["norm"].to_numpy()[:, None]
-            upper = np.minimum(q @ centre.T + radius[None, :] * own, own * norm[None, :]) * 1.0 + 1.0
-            floor = pdf["reached"].fillna(-np.inf).to_numpy(np.float64)[:, None]
-            go = (upper >= floor) & (cells[None, :] != pdf["cell"].to_numpy()[:, None])
-            go &= np.array([[c in allowed[h] for c in cells] for h in pdf["cell"]])
-            at, to = np.nonzero(go)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[at], "v": pdf["v"].to_numpy()[at], "to": cells[to]})
-
-    routed = asked.join(reached, "id", "left").mapInPandas(route, "id long, v array<long>, to int")
-    far = solved(send(routed))
-    found = near.unionByName(far).groupBy("query_id", F.pmod(F.xxhash64("id"), F.lit(16)).alias("salt")).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("top"))
-    merged = found.select("query_id", F.slice("top", 1, k).alias("top")).groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
-    return merged.select("query_id", F.posexplode("top").alias("pos", "hit")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.id").alias("id"), (-F.col("hit.s")).alias("score"))
+            for dim, rows_at in _lengths(pdf["v"]):
+                cells, centre, radius, norm, needed = sent_to.value[dim]
+                part = pdf.iloc[rows_at]
+                q = _matrix(part["v"]).astype(np.float64)
+                length = part["norm"].to_numpy()[:, None]
+                upper = np.minimum(q @ centre.T + radius[None, :] * length, length * norm[None, :]) + 1.0
+                floor = part["reached"].fillna(-np.inf).to_numpy(np.float64)[:, None]
+                mine = np.searchsorted(cells, part["cell"].to_numpy())
+                go = (upper >= floor) & needed[mine]
+                go[np.arange(len(mine)), mine] = False
+                at, to = np.nonzero(go)
+                yield pd.DataFrame({"id": part["id"].to_numpy()[at], "v": part["v"].to_numpy()[at], "own": part["own"].to_numpy()[at], "to": cells[to].astype(np.int32)})
+
+    routed = asked.join(reached, ["id", "own"], "left").mapInPandas(route, "id long, v array<long>, own long, to int")
+    found = top(near.drop("rank").unionByName(solved(routed)))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
 
 
 def op5_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
