@@ -13,9 +13,14 @@ passage; a message's own words are its lines at level 0.
    a passage, a match of a whole passage (of any length) before one of a line (of
    ``LEAST`` characters or more). A message answers the
    message that its outermost quoted passages link to, the latest if there are several.
+   Inner levels tell more: what a message quotes at one level answered what it quotes at
+   the next, if that is earlier, which links messages that quote nothing themselves.
 4. Pointer jumping over the answers gives every message the message its thread
-   starts with and its depth in it; ordering by (conv_id, thread, depth, turn)
-   is the reply order, and the text returned has no quotes.
+   starts with and its depth in it.
+5. Pointer jumping over the round trip of each thread (down to the first answer,
+   on to the next answer to the same message, back up) numbers its messages in
+   reply order: each one is followed by its answers, in order of turns, each with all of its
+   own. (conv_id, thread, position) is that order, and the text returned has no quotes.
 
 No quotes, no link: such a message starts a thread of its own, as does one whose
 quotes nobody wrote, or whose conv_id or turn is null. Null text counts as
@@ -30,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlewick.llm.common import cut, table
+from candlewick.plans.windows import before
 
 MARKS = r"^[ \t]*((?:>[ \t]*)+)"
 #: Shortest normalised line that links apart from its passage, in characters; whole passages link at any length.
@@ -90,8 +96,12 @@ def linked(messages: DataFrame) -> DataFrame:
     carried = events.groupBy("conv_id", "hash", "block").agg(F.max("said").alias("last")).withColumn("before", F.max("last").over(earlier)).drop("last")
     found = events.withColumn("near", F.max("said").over(inside)).where("level is not null").join(carried, ["conv_id", "hash", "block"])
     found = found.select("conv_id", F.col("at").alias("turn"), "level", "grain", F.coalesce("near", "before").alias("said")).where("said is not null")
-    best = found.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), -F.col("grain"), F.col("said"))).alias("best"))
-    return best.select("conv_id", "turn", F.col("best.said").alias("reply_to"))
+    per_level = cut(found.groupBy("conv_id", "turn", "level").agg(F.max(F.struct(-F.col("grain"), F.col("said"))).alias("best")).select("conv_id", "turn", "level", "best.said"))
+    best = per_level.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), F.col("said"))).alias("best")).select("conv_id", "turn", F.lit(1).alias("own"), "best.said")
+    inner = per_level.select("conv_id", "turn", (F.col("level") - 1).alias("level"), F.col("said").alias("before"))
+    told = per_level.join(inner, ["conv_id", "turn", "level"]).where("before < said").select("conv_id", F.col("said").alias("turn"), F.lit(0).alias("own"), F.col("before").alias("said"))
+    both = best.unionByName(told).groupBy("conv_id", "turn").agg(F.max(F.struct("own", "said")).alias("best"))
+    return both.select("conv_id", "turn", F.col("best.said").alias("reply_to"))
 
 
 def threads(replies: DataFrame) -> DataFrame:
@@ -106,8 +116,34 @@ def threads(replies: DataFrame) -> DataFrame:
             return state
 
 
+def reply_order(told: DataFrame) -> DataFrame:
+    """(conv_id, turn, position) of the messages of each thread of ``told``, from 0 on, each before its answers and these before the next answer to what it answers."""
+    nodes = told.select("conv_id", "turn", F.col("reply_to").alias("parent"), "thread")
+    nodes = nodes.unionByName(told.select("conv_id", F.col("thread").alias("turn"), F.lit(None).cast(told.schema["reply_to"].dataType).alias("parent"), "thread").distinct())
+    answers = nodes.where("parent is not null")
+    first = answers.groupBy("conv_id", F.col("parent").alias("turn")).agg(F.min("turn").alias("child"))
+    back = -F.col("turn")
+    after = before(answers.withColumn("back", back), ["conv_id", "parent"], F.floor(F.col("back") / TURNS), ["back"], F.col("back"), "following")
+    after = after.select("conv_id", "turn", (-F.col("following")).alias("sibling"))
+    nodes = nodes.join(first, ["conv_id", "turn"], "left").join(after, ["conv_id", "turn"], "left")
+    # a message is entered and left; each step names the one that follows it and counts the entries from itself on
+    step = lambda turn, leaves: F.struct(turn.cast("long").alias("turn"), F.lit(leaves).alias("leaves"))
+    onward = F.when(F.col("sibling").isNotNull(), step(F.col("sibling"), False)).when(F.col("parent").isNotNull(), step(F.col("parent"), True))
+    ways = F.array(
+        F.struct(step(F.col("turn"), False).alias("at"), F.when(F.col("child").isNotNull(), step(F.col("child"), False)).otherwise(step(F.col("turn"), True)).alias("next"), F.lit(1).cast("long").alias("count")),
+        F.struct(step(F.col("turn"), True).alias("at"), onward.alias("next"), F.lit(0).cast("long").alias("count")),
+    )
+    state = cut(nodes.select("conv_id", "thread", F.explode(ways).alias("s")).select("conv_id", "thread", "s.*"))
+    while not state.where("next is not null").isEmpty():
+        ahead = state.select("conv_id", F.col("at").alias("next"), F.col("next").alias("beyond"), F.col("count").alias("more"))
+        state = cut(state.join(ahead, ["conv_id", "next"], "left").select("conv_id", "thread", "at", F.col("beyond").alias("next"), (F.col("count") + F.coalesce("more", F.lit(0))).alias("count")))
+    entered = state.where("not at.leaves").select("conv_id", "thread", F.col("at.turn").alias("turn"), "count")
+    whole = entered.where("turn = thread").select("conv_id", "thread", F.col("count").alias("size"))
+    return entered.join(whole, ["conv_id", "thread"]).select("conv_id", "turn", (F.col("size") - F.col("count")).alias("position"))
+
+
 def conversations(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, n_quotes, max_level, reply_to, thread, depth) of every message.
+    """(conv_id, turn, role, text, n_quotes, max_level, reply_to, thread, depth, position) of every message.
 
     ``messages`` has conv_id, turn, role and text.
     """
@@ -129,8 +165,9 @@ def conversations(messages: DataFrame) -> DataFrame:
         F.when(quoting, changes).otherwise(0).cast("int").alias("n_quotes"),
         F.when(quoting, F.array_max(levels)).otherwise(0).cast("int").alias("max_level"),
     )
-    out = out.join(told, ["conv_id", "turn"], "left")
-    return out.withColumn("thread", F.coalesce("thread", "turn")).withColumn("depth", F.coalesce("depth", F.lit(0)).cast("long"))
+    out = out.join(told, ["conv_id", "turn"], "left").join(reply_order(told), ["conv_id", "turn"], "left")
+    numbers = {name: F.coalesce(name, F.lit(0)).cast("long") for name in ("depth", "position")}
+    return out.withColumn("thread", F.coalesce("thread", "turn")).withColumns(numbers)
 
 
 def op8_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,19 +200,25 @@ a AS (
   SELECT conv_id, turn, level, 1, trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*((?:>[ \t]*)+)', '')), '[\s>]+', ' ', 'g'), ' ') FROM r WHERE level > 0),
 f AS (
   SELECT a.conv_id, a.turn, a.level, a.grain, max(n.turn) AS said
-  FROM a JOIN n ON a.conv_id = n.conv_id AND a.h = n.h AND n.turn < a.turn WHERE length(a.h) >= 4 GROUP BY ALL),
-k AS (SELECT conv_id, turn, arg_max(said, (-level, -grain, said)) AS reply_to FROM f GROUP BY ALL),
+  FROM a JOIN n ON a.conv_id = n.conv_id AND a.h = n.h AND n.turn < a.turn WHERE length(a.h) >= CASE a.grain WHEN 0 THEN 1 ELSE 4 END GROUP BY ALL),
+v AS (SELECT conv_id, turn, level, arg_max(said, (-grain, said)) AS said FROM f GROUP BY ALL),
+b AS (
+  SELECT conv_id, turn, 1 AS own, arg_max(said, (-level, said)) AS said FROM v GROUP BY ALL
+  UNION ALL
+  SELECT a.conv_id, a.said, 0, b.said FROM v a JOIN v b ON a.conv_id = b.conv_id AND a.turn = b.turn AND b.level = a.level + 1 AND b.said < a.said),
+k AS (SELECT conv_id, turn, arg_max(said, (own, said)) AS reply_to FROM b GROUP BY ALL),
 t AS (
-  SELECT conv_id, turn, reply_to, reply_to AS thread, 1 AS depth FROM k
+  SELECT conv_id, turn, reply_to, reply_to AS thread, 1 AS depth, [reply_to, turn] AS path FROM k
   UNION ALL
-  SELECT t.conv_id, t.turn, t.reply_to, k.reply_to, t.depth + 1 FROM t JOIN k ON t.conv_id = k.conv_id AND t.thread = k.turn),
-u AS (SELECT conv_id, turn, any_value(reply_to) AS reply_to, arg_max(thread, depth) AS thread, max(depth) AS depth FROM t GROUP BY ALL),
+  SELECT t.conv_id, t.turn, t.reply_to, k.reply_to, t.depth + 1, [k.reply_to] || t.path FROM t JOIN k ON t.conv_id = k.conv_id AND t.thread = k.turn),
+u AS (SELECT conv_id, turn, any_value(reply_to) AS reply_to, arg_max(thread, depth) AS thread, max(depth) AS depth, arg_max(path, depth) AS path FROM t GROUP BY ALL),
+z AS (SELECT *, row_number() OVER (PARTITION BY conv_id, thread ORDER BY path) AS position FROM u),
 c AS (SELECT mid, count(DISTINCT run) FILTER (WHERE level > 0) AS n_quotes, max(level) AS max_level FROM r GROUP BY ALL)
 SELECT m.conv_id, m.turn, m.role,
        CASE WHEN own.quotes THEN trim(coalesce(own.rest, ''), ' ') ELSE m.text END AS text,
        c.n_quotes::INT AS n_quotes, c.max_level::INT AS max_level, u.reply_to,
-       coalesce(u.thread, m.turn) AS thread, coalesce(u.depth, 0)::BIGINT AS depth
+       coalesce(u.thread, m.turn) AS thread, coalesce(u.depth, 0)::BIGINT AS depth, coalesce(u.position, 0)::BIGINT AS position
 FROM m JOIN own ON own.mid = md5(concat_ws('~', m.turn, m.role, m.text)) AND own.conv_id = m.conv_id AND own.turn = m.turn
 JOIN (SELECT DISTINCT * FROM c) c USING (mid)
-LEFT JOIN u ON u.conv_id = m.conv_id AND u.turn = m.turn
+LEFT JOIN z u ON u.conv_id = m.conv_id AND u.turn = m.turn
 """
