@@ -10,10 +10,13 @@ about their order.
 Batches are idempotent. Each is written under its id, overwriting what a failed
 attempt may have left, and counts once the commit log names it; committing an id
 that the log names does nothing, and a batch without a log entry is not read.
-``compact`` folds all committed batches into one that takes over their ids.
+``compact`` folds all committed batches into one that takes over their ids: it writes the
+fold aside and then adds one file of entries that replace the older ones, so
+wherever it stops, the log names either all the batches or their fold.
 
 Null source, language or version is a group of its own. A null count is 0. Groups
-whose documents and tokens have both come to 0 are not reported.
+whose documents and tokens have both come to 0 are not reported. A doc_id that
+comes again is another document: events carry no ids, only counts.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from candlewick.llm.common import cut, shared_dir, table
 
 GROUP = ("source", "lang", "tokenizer_version")
+_ENTRY = "batch string, data string, fold long"
 _DELTA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
 
@@ -52,29 +56,31 @@ class Rollup:
 
     def create(self) -> Rollup:
         """Start an empty store: a commit log without entries."""
-        self.spark.createDataFrame([], "batch string, data string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log")
+        self.spark.createDataFrame([], _ENTRY).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log")
         return self
 
-    def log(self) -> list[tuple[str, str]]:
-        """(batch, folder of its data) in the order of the ids; one row per committed batch."""
-        rows = self.spark.read.schema("batch string, data string").parquet(f"{self.path}/log").distinct().collect()
-        return sorted((r["batch"], r["data"]) for r in rows)
+    def log(self) -> DataFrame:
+        """(batch, data): the folder that now holds each committed batch."""
+        entries = self.spark.read.schema(_ENTRY).parquet(f"{self.path}/log")
+        return entries.groupBy("batch").agg(F.max_by("data", "fold").alias("data"))
 
     def commit(self, batch: str, events: DataFrame) -> bool:
         """Store a batch; False if it was committed before."""
-        if any(batch == b for b, _ in self.log()):
+        if not self.log().where(F.col("batch") == batch).isEmpty():
             return False
         summed = events.groupBy(*GROUP).agg(F.sum("n_docs").cast("long").alias("n_docs"), F.sum("n_tokens").cast("long").alias("n_tokens"))
         summed.write.mode("overwrite").parquet(f"{self.path}/batches/{batch}")
-        self._record([(batch, f"batches/{batch}")], "append")
+        self._record(self.spark.createDataFrame([(batch, f"batches/{batch}", 0)], _ENTRY))
         return True
 
-    def _record(self, entries: list[tuple[str, str]], mode: str) -> None:
-        self.spark.createDataFrame(entries, "batch string, data string").coalesce(1).write.mode(mode).parquet(f"{self.path}/log")
+    def _record(self, entries: DataFrame) -> None:
+        """Add entries as one file, which is there as a whole or not at all."""
+        entries.coalesce(1).write.mode("append").parquet(f"{self.path}/log")
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer_version, n_docs, n_tokens) over all committed batches."""
-        folders = sorted({data for _, data in self.log()})
+        # as many folders as batches since the last compaction
+        folders = sorted(r["data"] for r in self.log().select("data").distinct().collect())
         if not folders:
             return self.spark.createDataFrame([], _DELTA)
         rows = self.spark.read.schema(_DELTA).parquet(*(f"{self.path}/{x}" for x in folders))
@@ -82,19 +88,16 @@ class Rollup:
         return out.where("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> None:
-        """Fold the committed batches into one folder, which their ids then point to."""
-        ids = [b for b, _ in self.log()]
-        if ids:
+        """Fold the committed batches into one folder, which their ids then point to; one writer at a time."""
+        last = self.spark.read.schema(_ENTRY).parquet(f"{self.path}/log").agg(F.max("fold")).first()[0]
+        if last is not None:
             folder = f"folded/{uuid.uuid4().hex}"
             self.totals().write.parquet(f"{self.path}/{folder}")
-            kept = cut(self.spark.createDataFrame([(b, folder) for b in ids], "batch string, data string"))
-            kept.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log")
+            self._record(self.log().select("batch", F.lit(folder).alias("data"), F.lit(last + 1).cast("long").alias("fold")))
 
 
 WORDS = r"[^\x20\x09-\x0D]+"
 PIECES = r"\p{L}+|\p{N}|[^\x20\x09-\x0D\p{L}\p{N}]"
-#: Languages whose documents have been counted again with the second tokenizer version.
-RECOUNTED = ("de", "en")
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -104,11 +107,13 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after loading ``documents``, taking exact copies out and recounting two languages.
+    """Totals after loading ``documents``, taking exact copies out and recounting.
 
     Three batches: every document with its words; deletes of the documents whose
-    text a smaller doc_id has; revisions of the remaining documents in
-    RECOUNTED from words to pieces. The second and third are delivered twice.
+    text a smaller doc_id has; revisions of those remaining documents whose count the second
+    tokenizer version changes, from words to pieces. The second and third are delivered twice.
+    Null and empty texts are one text with 0 tokens; a document without an id is no
+    copy; of rows that repeat the smallest id of a text all remain. Texts of any length count whole.
     """
     docs = cut(counted(table(spark, sf_dir, "documents")))
     first = docs.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
@@ -116,7 +121,7 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = cut(judged.select("source", "lang", "words", "pieces", "copy"))
     by_words = judged.withColumn("tokenizer_version", F.lit("words-1")).withColumn("tokens", F.col("words"))
     by_pieces = judged.withColumn("tokenizer_version", F.lit("pieces-2")).withColumn("tokens", F.col("pieces"))
-    again = (~F.col("copy")) & F.col("lang").isin(*RECOUNTED)
+    again = (~F.col("copy")) & (F.col("words") != F.col("pieces"))
     store = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}").create()
     store.commit("load", insert(by_words))
     for _ in range(2):
@@ -130,13 +135,13 @@ WITH d AS (
   SELECT source, lang,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
          len(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}|[^\x20\x09-\x0D\p{L}\p{N}]')) AS pieces,
-         row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) > 1 AS copy
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS copy
   FROM documents),
 e AS (
   SELECT source, lang, 'words-1' AS tokenizer_version, words AS tokens FROM d
-  WHERE NOT copy AND (lang IS NULL OR lang NOT IN ('de', 'en'))
+  WHERE NOT copy AND words = pieces
   UNION ALL
-  SELECT source, lang, 'pieces-2', pieces FROM d WHERE NOT copy AND lang IN ('de', 'en'))
+  SELECT source, lang, 'pieces-2', pieces FROM d WHERE NOT copy AND words <> pieces)
 SELECT source, lang, tokenizer_version, count(*)::BIGINT AS n_docs, sum(tokens)::BIGINT AS n_tokens
 FROM e GROUP BY ALL
 """

@@ -161,6 +161,20 @@ def test_knn_against_brute_force(spark, n, scale, block):
     assert sorted(tuple(r) for r in got) == want
 
 
+def test_knn_repeated_ids_and_lengths(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in rng.normal(size=4 if i % 3 else 7)]) for i in range(120)]
+    rows += rows[:40] + [(i, [float(x) for x in rng.normal(size=4)]) for i in (0, 5, 5, 6, 200)] + [(7, [1.0])]
+    got = knn_join.knn_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), F.col("id") % 5 == 0, k=4, pivots=5, block=16).collect()
+    one = sorted({(i, tuple(int(np.floor(x * 1024)) for x in v)) for i, v in rows})
+    want = []
+    for q, v in one:
+        if q % 5 == 0:
+            top = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in one if i != q and len(w) == len(v))[:4]
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(top, 1)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_knn_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert knn_join.knn_join(none, F.col("id") % 5 == 0).count() == 0
@@ -216,8 +230,8 @@ def test_quotes(spark):
     got = {(r["conv_id"], r["turn"]): r for r in out.collect()}
     assert out.count() == len(MESSAGES)
     link = {k: r["reply_to"] for k, r in got.items() if r["reply_to"] is not None}
-    assert link == {(1, 2): 1, (1, 3): 0, (1, 4): 2, (1, 6): 1, (3, 2500): 5}
-    assert (got[1, 4]["thread"], got[1, 4]["depth"]) == (1, 2) and (got[1, 0]["thread"], got[1, 0]["depth"]) == (0, 0)
+    assert link == {(1, 1): 0, (1, 2): 1, (1, 3): 0, (1, 4): 2, (1, 6): 1, (3, 2500): 5}
+    assert (got[1, 4]["thread"], got[1, 4]["depth"]) == (0, 3) and (got[1, 0]["thread"], got[1, 0]["depth"]) == (0, 0)
     assert got[1, 2]["text"] == "Too early" and got[1, 2]["max_level"] == 2 and got[1, 2]["n_quotes"] == 2 and got[2, 1]["text"] == ""
     plain = sorted(tuple(r[c] for c in sorted(out.columns)) for r in out.where("conv_id is not null and turn is not null").collect())
     con = duckdb.connect()
@@ -238,6 +252,48 @@ def test_short_quotes(spark):
     assert got == {(1, 3): (1, 1, 1), (1, 4): (2, 2, 1), (1, 6): (3, 1, 2), (2, 1): (0, 0, 1), (2, 2): (1, 0, 2), (2, 4): (3, 3, 1)}
 
 
+def test_generated_quotes_against_sql(spark):
+    """Conversations of messages that quote earlier ones at several levels, short and long, in part and whole."""
+    r = random.Random(11)
+    rows = []
+    for conv in range(60):
+        own, shown = [], []
+        for turn in range(r.randint(1, 14)):
+            said = "\n".join(" ".join(r.choices(["yes", "no", "ok", "Why", "好", "the", "Plan", "works", "later", "a"], k=r.randint(1, 4))) for _ in range(r.randint(1, 3)))
+            text = said
+            for _ in range(r.choice([0, 1, 1, 2])):
+                if not shown:
+                    break
+                lines = (r.choice(shown) if r.random() < 0.6 else r.choice(own)).split("\n")
+                if r.random() < 0.3:
+                    lines = lines[: r.randint(1, len(lines))]
+                text = "\n".join("> " + x for x in lines) + "\n" + text if r.random() < 0.8 else text + "\n" + "\n".join(">" + x for x in lines)
+            own.append(said)
+            shown.append(text)
+            rows.append((conv, turn, r.choice(["user", "assistant"]), text))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    out = quote_linking.conversations(df)
+    got = sorted(tuple(x[c] for c in sorted(out.columns)) for x in out.collect())
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas())
+    sql = con.execute(quote_linking.ORACLE)
+    names = [c[0] for c in sql.description]
+    assert key_none(got) == key_none(tuple(row[names.index(c)] for c in sorted(names)) for row in sql.fetchall())
+    linked = [x for x in got if x[sorted(out.columns).index("reply_to")] is not None]
+    assert len(linked) > 100
+
+
+def key_none(rows):
+    return sorted(rows, key=str)
+
+
+def test_inner_levels_and_order(spark):
+    rows = [(0, "where to?"), (1, "north"), (2, "south then"), (3, "> south then\n>> where to?\nfine"), (4, "> north\n> > where to?\ncold"), (5, "> fine\ngood"), (6, "> where to?\nhome")]
+    out = quote_linking.conversations(spark.createDataFrame([(1, t, "user", x) for t, x in rows], "conv_id long, turn long, role string, text string"))
+    got = {r["turn"]: (r["reply_to"], r["thread"], r["depth"], r["position"]) for r in out.collect()}
+    assert got == {0: (None, 0, 0, 0), 1: (0, 0, 1, 1), 4: (1, 0, 2, 2), 2: (0, 0, 1, 3), 3: (2, 0, 2, 4), 5: (3, 0, 3, 5), 6: (0, 0, 1, 6)}
+
+
 def test_rollups(spark, tmp_path):
     kind = "source string, lang string, tokenizer_version string, tokens long"
     rows = lambda *r: spark.createDataFrame(list(r), kind)
@@ -254,6 +310,19 @@ def test_rollups(spark, tmp_path):
     store.compact()
     assert totals() == want and not store.commit("a", token_rollups.insert(rows(("s", "en", "1", 10))))
     assert store.commit("d", token_rollups.insert(rows())) and totals() == want
+    # a compaction that stops before its entries are written leaves the log as it was
+    spark.createDataFrame([("s", "en", "1", 7, 7)], "source string, lang string, tokenizer_version string, n_docs long, n_tokens long").write.parquet(str(tmp_path / "r/folded/stopped"))
+    assert totals() == want
+    store.compact()
+    store.compact()
+    assert totals() == want and store.log().select("data").distinct().count() == 1 and not store.commit("c", token_rollups.insert(rows(("s", "en", "1", 10))))
+
+
+def test_rollups_of_repeated_rows_and_long_texts(spark, tmp_path):
+    rows = [(1, "a b", "s", "en"), (1, "a b", "s", "en"), (2, "a b", "s", "en"), (None, "a b", "t", None), (3, None, "s", "en"), (4, "", "s", "en"), (5, "it's " * 60000, "s", "de"), (6, "it's " * 60000, "t", "de")]
+    spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, lang string, tokens string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((tuple(r) for r in token_rollups.op10_token_rollups(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([("s", "en", "words-1", 3, 4), ("t", None, "words-1", 1, 2), ("s", "de", "pieces-2", 1, 180000)], key=str)
 
 
 def test_contents_of_counts(spark):
