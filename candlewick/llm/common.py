@@ -48,5 +48,6 @@ def release(spark: SparkSession) -> None:
     It does so when the driver collects garbage, which a driver with memory to
     spare may not do for the length of a loop that writes some in every round.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round lets go of what Python held, the second of what that held in turn
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
