@@ -22,7 +22,10 @@ Reading never takes a file as a whole; Spark deals out its byte ranges.
 Null html is an empty payload, null urls are left out, line breaks in urls become spaces. A page
 without an id is a response that nobody refers to. Repeated rows are written
 as often as they occur; rows with equal id and payload are all responses. Records after a broken
-chain (a successor that is no record) are not reachable and not returned.
+chain (a successor that is no record) are not reachable and not returned; ``read`` warns of
+files whose chain stops before their end, and ``broken`` lists them.
+
+Windows go along one archive file and hold a row for each of its byte ranges.
 """
 
 from __future__ import annotations
@@ -30,7 +33,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import warnings
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,7 +46,7 @@ from candlewick.llm.common import cut, few, shared_dir, ship, table
 MAGIC = b"WARC/1."
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Byte ranges whose starting points are sent to the tasks at once; more are read in turns.
+#: Byte ranges whose starting points are sent to the tasks at once; more are read in turns, each with files of its own.
 RANGES = 100_000
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -121,7 +126,7 @@ def payload_row(record: bytes) -> tuple:
     return number("warc-page-id"), fields.get("warc-type"), number("warc-refers-to-page-id"), len(block), base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     raw = spark.read.option("lineSep", "\n").text(path)
     return raw.select(F.col("value").cast("binary").alias("line"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
@@ -237,9 +242,9 @@ def _completed(cuts: DataFrame, leading: DataFrame) -> DataFrame:
     return out.select("file", "block", "start", (F.col("stop.ends") + size + 4).alias("leaves"), F.col("start").alias("last")).where("leaves is not null")
 
 
-def chains(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, base, entry, owner) of every range: absolute offsets of its start, of its first
-    reachable record (null: none) and of the record that runs into it (null: none)."""
+def chains(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, block, base, entry, owner, size, reached) of every range: absolute offsets of its start, of its first
+    reachable record (null: none) and of the record that runs into it (null: none), and the size of its file with the offset its chain gets to."""
     seen = cut(_lines(spark, path).mapInArrow(_candidates, CANDIDATE))
     along = Window.partitionBy("file").orderBy("block")
     sizes = seen.where("kind = 'size'").select("file", "block", F.col("at").alias("size"))
@@ -266,26 +271,52 @@ def chains(spark: SparkSession, path: str) -> DataFrame:
     before = Window.partitionBy("file").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     owned = marks.withColumn("run", F.last("runs", ignorenulls=True).over(before)).where("block is not null")
     owned = owned.select("file", "block", "base", F.when(F.col("run.leaves") > F.col("base"), F.col("run.last")).alias("owner"))
-    return owned.join(first, ["file", "block"], "left").select("file", "block", "base", "entry", "owner")
+    ends = bases.groupBy("file").agg(F.sum("size").alias("size")).join(entries.groupBy("file").agg(F.max("leaves").alias("reached")), "file", "left")
+    owned = owned.join(ends, "file").join(first, ["file", "block"], "left")
+    return owned.select("file", "block", "base", "entry", "owner", "size", F.coalesce("reached", F.lit(0)).cast("long").alias("reached"))
 
 
 RECORD = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string"
 PIECE = ", file long, start long, piece long, data binary"
 
 
+def broken(where: DataFrame) -> DataFrame:
+    """(file, size, reached) of the files in ``chains`` whose records do not reach to the end."""
+    return where.where("reached <> size").select("file", "size", "reached").distinct()
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, record_type, refers_to, payload_bytes, payload_digest) of every reachable record, of revisits the digest of an empty payload."""
     ship(spark)
-    where = cut(chains(spark, path))
-    turns = max(1, -(-where.count() // RANGES))
-    parts = [_read_ranges(spark, path, where.where(F.pmod("file", F.lit(turns)) == i)) for i in range(turns)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _read_ranges(spark: SparkSession, path: str, where: DataFrame) -> DataFrame:
+    parts, lost = [], 0
+    for files in _turns(spark, path):
+        where = cut(chains(spark, files))
+        lost += broken(where).count()
+        parts.append(_read_ranges(spark, files, where))
+    if lost:
+        warnings.warn(f"{lost} archive files have a broken chain; records behind the break are not read", stacklevel=2)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _turns(spark: SparkSession, path: str) -> list[str | list[str]]:
+    """The files under ``path``, dealt out so that those of a turn have about ``RANGES`` byte ranges; from their sizes alone."""
+    sizes = spark.read.format("binaryFile").load(path).select("path", "length")
+    span = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    ranges = F.ceil(F.col("length") / span) + 1
+    if (sizes.agg(F.sum(ranges)).first()[0] or 0) <= RANGES:
+        return [path]
+    turns: list[list[str]] = []
+    room = 0
+    for file, n in sizes.select("path", ranges).collect():
+        if n > room:
+            turns.append([])
+            room = RANGES
+        turns[-1].append(file)
+        room -= n
+    return turns
+
+
+def _read_ranges(spark: SparkSession, path: str | list[str], where: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast({(r["file"], r["block"]): (r["base"], r["entry"], r["owner"]) for r in where.collect()})
     names = [f.split()[0] for f in (RECORD + PIECE).split(", ")]
 

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import warnings
 from collections import Counter, defaultdict
 
 import duckdb
@@ -91,6 +92,32 @@ def test_warc_long_headers(spark, tmp_path, split):
             spark.conf.set(k, v)
 
 
+def test_warc_turns_and_broken_chains(spark, tmp_path, monkeypatch):
+    rows = [(i, "data:text/html," + "x" * 70_000 if i == 90 else f"u{i}", f"{i} " + "p" * 1000) for i in range(600)]
+    path = str(tmp_path / "w")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6), path)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    monkeypatch.setattr(warc, "RANGES", 2)
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("error", UserWarning)
+            assert sorted((tuple(r) for r in warc.resolved(warc.read(spark, path)).collect()), key=str) == expected(rows)
+        cut = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Page-ID: 1\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+        (tmp_path / "b").mkdir()
+        (tmp_path / "b" / "good.warc").write_text(cut * 3, newline="")
+        (tmp_path / "b" / "bad.warc").write_text(cut + "lost\n" + cut, newline="")
+        (tmp_path / "b" / "none.warc").write_text("nothing here\n", newline="")
+        with pytest.warns(UserWarning, match="2 archive files have a broken chain"):
+            assert warc.read(spark, str(tmp_path / "b")).count() == 4
+        told = warc.broken(warc.chains(spark, str(tmp_path / "b"))).collect()
+        assert sorted((r["size"], r["reached"]) for r in told) == [(13, 0), (2 * len(cut) + 5, len(cut))]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def naive_pack(sizes, lengths):
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     left = Counter(sizes)
