@@ -33,8 +33,8 @@ SYMBOL_KEYWORDS = {
     "usdc": "USDC",
     "etf": "ETF",
 }
-POSITIVE = "surge surged rally rallied bullish gains gained record high adoption approve approved launch launched growth recover recovered rebound breakthrough".split()
-NEGATIVE = "crash crashed hack hacked bearish plunge plunged lawsuit fraud scam breach exploit fell drop dropped decline loss losses outflow outflows sinks tumble warning risk".split()
+POSITIVE = ["surge", "surged", "rally", "rallied", "bullish", "gains", "gained", "record", "high", "adoption", "approve", "approved", "launch", "launched", "growth", "recover", "recovered", "rebound", "breakthrough"]
+NEGATIVE = ["crash", "crashed", "hack", "hacked", "bearish", "plunge", "plunged", "lawsuit", "fraud", "scam", "breach", "exploit", "fell", "drop", "dropped", "decline", "loss", "losses", "outflow", "outflows", "sinks", "tumble", "warning", "risk"]
 
 #: For the invented prose of the test tables: some of its frequent words.
 PROSE_KEYWORDS = {"the": "BTC", "of": "ETH", "and": "SOL", "etf": "ETF", "que": "XRP", "de": "ADA", "la": "DOT", "der": "LTC", "die": "LTC"}

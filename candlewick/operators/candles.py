@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from candlewick.functions.expressions import at_second, bucket_start, finite
@@ -58,16 +60,28 @@ def _closed(candles: DataFrame, now: int, seconds: int, sound: Column) -> DataFr
     return candles.where((F.col("window_start") % seconds == 0) & (F.col("window_start") < now // seconds * seconds) & sound)
 
 
+def _once_each(rows: DataFrame, ordered: WindowSpec, content: list[str]) -> DataFrame:
+    """Each step's candle once; the job fails where one step has two contents. Uses the blocks and order that are there."""
+    own, same = F.struct(*content), ordered.rangeBetween(0, 0)
+    told = F.concat(F.lit("conflicting candles "), F.col("symbol"), F.lit(" "), F.col("window_start").cast("string"))
+    rows = rows.withColumn("_lo", F.min(own).over(same)).withColumn("_hi", F.max(own).over(same)).withColumn("_last", F.lag("window_start").over(ordered))
+    first = F.col("_last").isNull() | (F.col("_last") != F.col("window_start"))
+    return rows.where(F.when(F.col("_lo").eqNullSafe(F.col("_hi")), first).otherwise(F.raise_error(told).cast("boolean"))).drop("_lo", "_hi", "_last")
+
+
 def volume_spikes(candles: DataFrame, now: int, seconds: int = 60, recent: int = 5, baseline: int = 60, threshold: float = 3.0, lookback: int = 60) -> DataFrame:
     """(symbol, signal_type, window_start, recent_volume, baseline, ratio): the last ``recent`` candles against the ``baseline`` before.
 
     An endpoint needs all candles of both, valid and without a gap; the ratio must exceed the threshold.
+    Repeated candles count once; two different ones of a minute fail the job.
     """
     volume = F.col("volume")
     rows = _closed(candles, now, seconds, finite(volume) & (volume >= 0))
     total = recent + baseline
+    content = [c for c in rows.columns if c not in ("symbol", "window_start")]
     rows = haloed(rows, "window_start", BLOCK * seconds, (total - 1) * seconds)
     w = Window.partitionBy("symbol", "_block").orderBy("window_start")
+    rows = _once_each(rows, w, content)
     back = lambda first, last: w.rangeBetween(-first * seconds, -last * seconds)
     rows = rows.withColumn("n", F.count("*").over(back(total - 1, 0)))
     rows = rows.withColumn("late", F.sum("volume").over(back(recent - 1, 0)).cast("double"))
@@ -79,18 +93,27 @@ def volume_spikes(candles: DataFrame, now: int, seconds: int = 60, recent: int =
 
 
 def price_spikes(candles: DataFrame, now: int, threshold: float, seconds: int = 60, steps: int = 5, lookback: int = 60) -> DataFrame:
-    """(symbol, signal_type, window_start, baseline_close, close, change_pct, direction): a move of at least ``threshold`` percent over ``steps`` candles."""
+    """(symbol, signal_type, window_start, baseline_close, close, change_pct, direction): a move of at least ``threshold`` percent over ``steps`` candles.
+
+    The comparison is one of decimals, so that exactly 1 percent counts as 1 percent.
+    Repeated candles count once; two different closes of a minute fail the job.
+    """
     if not 0 < threshold < float("inf"):
         raise ValueError("threshold must be finite and above 0")
+    exact = Decimal(str(threshold))
+    places = max(0, -exact.as_tuple().exponent)
+    if places > 12 or exact >= 10**4:
+        raise ValueError("threshold must have at most 12 places and be below 10,000 percent")
     close = F.col("close")
     rows = _closed(candles, now, seconds, finite(close) & (close > 0))
     rows = haloed(rows.withColumn("close", close.cast("decimal(20,8)")), "window_start", BLOCK * seconds, steps * seconds)
-    frame = Window.partitionBy("symbol", "_block").orderBy("window_start").rangeBetween(-steps * seconds, 0)
+    w = Window.partitionBy("symbol", "_block").orderBy("window_start")
+    rows, frame = _once_each(rows, w, ["close"]), w.rangeBetween(-steps * seconds, 0)
     rows = rows.withColumn("n", F.count("*").over(frame)).withColumn("base", F.first("close").over(frame))
     since = now // seconds * seconds - lookback * seconds
     rows = rows.where(~F.col("_halo") & (F.col("n") == steps + 1) & (F.col("window_start") >= since))
     # without a division, so the comparison is exact: |close - base| * 100 >= threshold * base
-    bound = F.lit(f"{threshold}").cast("decimal(12,6)") * F.col("base")
+    bound = F.lit(f"{exact:f}").cast(f"decimal({places + 4},{places})") * F.col("base")
     rows = rows.where(F.abs(close - F.col("base")) * 100 >= bound)
     change = (close.cast("double") / F.col("base").cast("double") - 1) * 100
     return rows.select(
@@ -99,9 +122,14 @@ def price_spikes(candles: DataFrame, now: int, threshold: float, seconds: int =
     )
 
 
-def as_signals(spikes: DataFrame) -> DataFrame:
-    """(symbol, signal_type, window_start, details): what a signal table stores."""
-    rest = [c for c in spikes.columns if c not in ("symbol", "signal_type", "window_start")]
+# The names under which a signal's details are stored.
+DETAILS = {"recent_volume": "recent_volume_5m", "baseline": "baseline_5m", "change_pct": "price_change_5m_pct"}
+
+
+def as_signals(spikes: DataFrame, threshold: float | None = None) -> DataFrame:
+    """(symbol, signal_type, window_start, details): what a signal table stores, of price spikes with the threshold that they passed."""
+    rest = [F.col(c).alias(DETAILS.get(c, c)) for c in spikes.columns if c not in ("symbol", "signal_type", "window_start")]
+    rest += [] if threshold is None else [F.lit(float(threshold)).alias("threshold_pct")]
     return spikes.select("symbol", "signal_type", "window_start", F.to_json(F.struct(*rest)).alias("details"))
 
 

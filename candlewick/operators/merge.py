@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """Of the rows of each key the first in ``order``; pre-aggregated, so a key that repeats often is no hot spot."""
-    one = rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), order).alias("_row"))
+    """Of the rows of each key the first in ``order``, nulls last; pre-aggregated, so a key that repeats often is no hot spot.
+
+    Whole rows go through the aggregate: select the columns that are wanted before it.
+    """
+    one = rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.struct(order.isNull().alias("last"), order.alias("order"))).alias("_row"))
     return one.select("_row.*")
 
 

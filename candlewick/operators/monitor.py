@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlewick.plans.windows import before
+
+#: Seconds of one series that a window of ``rates`` holds.
+SPAN = 86_400
+
 # Metric, section, environment variable of its threshold, default, direction.
 RULES = [
     ("newest_candle_age_min", "db", "ALERT_MAX_CANDLE_AGE_MIN", 15.0, "gt"),
@@ -77,10 +82,11 @@ def lag(partitions: DataFrame) -> DataFrame:
 
 def rates(samples: DataFrame) -> DataFrame:
     """(series, at, rate): growth of ``total`` per second since the sample before; null for the first and for samples under a second apart."""
-    w = Window.partitionBy("series").orderBy("at")
-    passed = F.unix_micros("at") - F.unix_micros(F.lag("at").over(w))
-    grown = F.col("total") - F.lag("total").over(w)
-    return samples.select("series", "at", F.when(passed >= 1_000_000, F.round(grown / (passed / 1e6), 1)).alias("rate"))
+    latest = F.struct("at", "total")
+    rows = before(samples.select("series", "at", "total"), ["series"], F.floor(F.unix_seconds("at") / SPAN), ["at"], latest, "previous")
+    passed = F.unix_micros("at") - F.unix_micros("previous.at")
+    grown = F.col("total") - F.col("previous.total")
+    return rows.select("series", "at", F.when(passed >= 1_000_000, F.round(grown / (passed / 1e6), 1)).alias("rate"))
 
 
 def latencies(emitted: DataFrame, seconds: int = 60) -> DataFrame:
@@ -92,6 +98,14 @@ def latencies(emitted: DataFrame, seconds: int = 60) -> DataFrame:
         F.round(F.max_by("late", order), 3).alias("last_latency"), F.round(F.max("late"), 3).alias("max_latency"))
 
 
+def stream_counters(trades: DataFrame, emitted: DataFrame) -> DataFrame:
+    """(events_total, last_event, windows_created_total) of trades (timestamp) and candles (symbol, window_start): one row."""
+    events = trades.agg(F.count("*").alias("events_total"), F.max("timestamp").alias("last_event"))
+    windows = emitted.select("symbol", "window_start").distinct().agg(F.count("*").alias("windows_created_total"))
+    one = F.lit(1).alias("k")  # a row each
+    return events.select("*", one).join(windows.select("*", one), "k").drop("k")
+
+
 def run_outcomes(log: DataFrame) -> DataFrame:
     """(success, failed): outcome markers in the lines of a run log."""
     n = lambda word: F.coalesce(F.sum(F.regexp_count("value", F.lit(word))), F.lit(0)).cast("long")

@@ -33,6 +33,37 @@ def schema_error(df: DataFrame, required: list[str], corrupt: str | None = None)
     return out
 
 
+def article_error(title: Column, url: Column) -> Column:
+    """What an article lacks, or null."""
+    lacks = lambda c: c.isNull() | (F.trim(c) == "")
+    return F.when(lacks(title), "schema: title is required").when(lacks(url), "schema: url is required")
+
+
+NUMBERS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)\z"
+
+
+def coins_of(items: DataFrame, column: str = "value") -> DataFrame:
+    """Coins given as JSON texts under the snapshot's names, with ``error`` (``schema: ...``, or null) and ``payload``.
+
+    The name must be a text and may be missing, the price a number, the others numbers or null; whatever is
+    no object is an error. The symbol is read as a text, whatever it is; a missing one is empty.
+    """
+    tree = F.try_parse_json(column)
+    part = lambda name: F.try_variant_get(tree, f"$.{name}", "variant")
+    kind = lambda name: F.schema_of_variant(part(name))
+    text = lambda name: F.try_variant_get(tree, f"$.{name}", "string")
+    number = lambda name: F.try_variant_get(tree, f"$.{name}", "double")
+    optional = [("market_cap", "market_cap"), ("circulating_supply", "circulating_supply"), ("volume_24h", "total_volume"), ("price_change_24h", "price_change_percentage_24h")]
+    no_object = ~F.coalesce(F.schema_of_variant(tree).startswith("OBJECT"), F.lit(False))
+    error = F.when(no_object, "schema: expected an object").when(kind("name") != "STRING", "schema: expected a text - at name")
+    error = error.when(~F.coalesce(kind("current_price").rlike(NUMBERS), F.lit(False)), "schema: expected a number - at price")
+    for name, own in optional:
+        error = error.when(~kind(own).rlike(NUMBERS) & (kind(own) != "VOID"), f"schema: expected a number or null - at {name}")
+    symbol = F.when(kind("symbol") == "VOID", "NONE").otherwise(F.coalesce(F.upper(text("symbol")), F.upper(F.to_json(part("symbol"))), F.lit("")))
+    names = [F.when(~no_object, symbol).alias("symbol"), F.when(~no_object, F.coalesce(text("name"), F.lit(""))).alias("name"), number("current_price").alias("price")]
+    return items.select(*names, *(number(own).alias(name) for name, own in optional), F.col(column).alias("payload"), error.alias("error"))
+
+
 def map_coins(coins: DataFrame) -> DataFrame:
     """A coin list's fields under the snapshot's names."""
     return coins.select(
@@ -113,9 +144,17 @@ def check_schema(df: DataFrame, required: list[str], position: Column, corrupt:
 
 
 def summary(checks: DataFrame, pipeline: str) -> DataFrame:
-    """(pipeline, passed_checks, failed_checks, passed, description): all checks of a pipeline in one row."""
-    return checks.agg(F.count_if("passed").alias("passed_checks"), F.count_if(~F.col("passed")).alias("failed_checks"), F.array_sort(F.collect_list(F.struct("check", "message"))).alias("all")).select(
-        F.lit(pipeline).alias("pipeline"), "passed_checks", "failed_checks", (F.col("failed_checks") == 0).alias("passed"), F.array_join(F.col("all.message"), " | ").alias("description"))
+    """(pipeline, passed_checks, failed_checks, passed, description, metrics): all checks of a pipeline in one row.
+
+    Metrics are named <check>_<metric>; the checks, a handful of rows, have different names.
+    """
+    named = F.transform(F.map_entries("metrics"), lambda e: F.struct(F.concat("check", F.lit("_"), e.key).alias("key"), e.value.alias("value")))
+    return checks.agg(
+        F.count_if("passed").alias("passed_checks"), F.count_if(~F.col("passed")).alias("failed_checks"),
+        F.array_sort(F.collect_list(F.struct("check", "message"))).alias("all"), F.flatten(F.collect_list(named)).alias("named"),
+    ).select(
+        F.lit(pipeline).alias("pipeline"), "passed_checks", "failed_checks", (F.col("failed_checks") == 0).alias("passed"),
+        F.array_join(F.col("all.message"), " | ").alias("description"), F.map_from_entries("named").alias("metrics"))
 
 
 def news_suite(news: DataFrame, now: Column) -> DataFrame:

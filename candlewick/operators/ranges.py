@@ -31,9 +31,11 @@ def merged(ranges: DataFrame) -> DataFrame:
     """Ranges that overlap or touch as one."""
     rows = ranges.groupBy("symbol", "start").agg(F.max("end").alias("end"))
     rows = before(rows, ["symbol"], _block("start"), ["start"], F.col("end"), "reached")
-    rows = rows.withColumn("opens", F.when(F.col("reached").isNull() | (F.col("start") > F.col("reached") + 1), F.col("start")))
-    rows = before(rows, ["symbol"], _block("start"), ["start"], F.col("opens"), "island")
-    return rows.groupBy("symbol", F.coalesce("opens", "island").alias("start")).agg(F.max("end").alias("end"))
+    # what the ranges before one that opens an island reach is the end of the island before; so only opening rows go on
+    opens = rows.where(F.col("reached").isNull() | (F.col("start") > F.col("reached") + 1)).select("symbol", "start", "reached", (-F.col("start")).alias("back"))
+    opens = before(opens, ["symbol"], _block("back"), ["back"], F.struct("back", "reached"), "following")
+    last = ranges.groupBy("symbol").agg(F.max("end").alias("last"))
+    return opens.join(last, "symbol").select("symbol", "start", F.coalesce("following.reached", "last").alias("end"))
 
 
 def subtracted(gaps: DataFrame, done: DataFrame) -> DataFrame:

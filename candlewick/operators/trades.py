@@ -12,13 +12,9 @@ from candlewick.functions.expressions import valid_trade
 FIELDS = ["symbol", "trade_id", "price", "quantity", "timestamp"]
 
 
-def _field(tree: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(tree, path, kind)
-
-
-def _kind(tree: Column, path: str) -> Column:
-    """JSON type of a field, as Spark names it; null where the field is missing."""
-    return F.schema_of_variant(F.try_variant_get(tree, path, "variant"))
+#: Numbers as JSON or a text may give them; Java's own forms (1d, 0x1p3) are none.
+WHOLE = r"^\s*[+-]?[0-9]+\s*\z"
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*\z"
 
 
 def _once(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -30,28 +26,25 @@ def contract(raw: Column, symbol: str = "symbol", trade_id: str = "trade_id", pr
     """The trade in a JSON text as a struct of FIELDS, or null where it breaks the contract.
 
     The symbol must be a string; ids and times integers or texts of digits, never true or false
-    or fractions; price and quantity numbers or numeric texts.
+    or with a point or exponent; price and quantity numbers or numeric texts.
     """
-
-    def number(tree: Column, name: str) -> Column:
-        return F.when(_kind(tree, f"$.{name}") != "BOOLEAN", _field(tree, f"$.{name}", "string")).try_cast("double")
-
-    def whole(tree: Column, name: str) -> Column:
-        text = _field(tree, f"$.{name}", "string")
-        return F.when(_kind(tree, f"$.{name}").rlike(r"^(BIGINT|STRING|DECIMAL\(\d+,0\))") & text.rlike(r"^[0-9]+\z"), text).try_cast("long")
-
-    def fields(tree: Column) -> Column:
-        name = F.when(_kind(tree, f"$.{symbol}") == "STRING", F.upper(_field(tree, f"$.{symbol}", "string")))
-        own = [name, whole(tree, trade_id), number(tree, price), number(tree, quantity), whole(tree, at)]
+    # read as texts, a number keeps the form in which it was written; a map, since names may differ in case alone
+    texts = F.from_json(raw, "map<string,string>")
+    tree = F.try_parse_json(raw)
+
+    def fields(f: Column) -> Column:
+        named = F.schema_of_variant(F.try_variant_get(tree, f"$.{symbol}", "variant")) == "STRING"
+        number = lambda n: F.when(f[n].rlike(NUMBER), F.trim(f[n])).try_cast("double")
+        whole = lambda n: F.when(f[n].rlike(WHOLE), F.trim(f[n])).try_cast("long")
+        own = [F.when(named, F.upper(f[symbol])), whole(trade_id), number(price), number(quantity), whole(at)]
         return F.struct(*(f.alias(n) for f, n in zip(own, FIELDS, strict=True)))
 
-    return _once(_once(F.try_parse_json(raw), fields), lambda t: F.when(valid_trade(*(t[n] for n in FIELDS)), t))
+    return _once(_once(texts, fields), lambda t: F.when(valid_trade(*(t[n] for n in FIELDS)), t))
 
 
 def parse_envelope(df: DataFrame, column: str = "value") -> DataFrame:
     """``df`` with ``trade``: of exchange messages, wrapped in ``data`` or bare, those with ``e`` = trade that keep the contract."""
-    tree = F.try_parse_json(column)
-    inner = F.coalesce(F.to_json(F.try_variant_get(tree, "$.data", "variant")), F.col(column))
+    inner = F.when(F.try_parse_json(column).isNotNull(), F.coalesce(F.get_json_object(column, "$.data"), F.col(column)))
     trade = lambda text: F.when(F.try_variant_get(F.try_parse_json(text), "$.e", "string") == "trade", contract(text, "s", "t", "p", "q", "T"))
     return df.withColumn("trade", _once(inner, trade))
 
@@ -84,10 +77,8 @@ def distinct_trades(df: DataFrame) -> DataFrame:
 
 def conflicts(df: DataFrame) -> DataFrame:
     """(symbol, trade_id, versions) of ids that come with different contents."""
-    payload = F.struct("price", "quantity", "timestamp")
-    ends = df.groupBy("symbol", "trade_id").agg(F.min(payload).alias("lo"), F.max(payload).alias("hi")).where("lo <> hi").select("symbol", "trade_id")
-    clash = df.join(ends, ["symbol", "trade_id"], "left_semi")
-    return clash.groupBy("symbol", "trade_id").agg(F.count_distinct("price", "quantity", "timestamp").alias("versions"))
+    one = df.select("symbol", "trade_id", "price", "quantity", "timestamp").distinct()
+    return one.groupBy("symbol", "trade_id").agg(F.count("*").alias("versions")).where("versions > 1")
 
 
 def fail_on_conflict(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.functions import expressions as x
-from candlewick.functions import vocabulary
+from candlewick.functions import text, vocabulary
 from candlewick.operators import candles as c
 from candlewick.operators import merge, monitor, quality, ranges
 from candlewick.operators import trades as t
@@ -45,8 +45,14 @@ def _doubles(df: DataFrame) -> DataFrame:
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a message in the normalised form; what is no trade stays invalid."""
     e = a.events_as_trades(spark, sf_dir)
-    text = F.to_json(F.struct("symbol", "trade_id", F.col("price").cast("string").alias("price"), F.col("quantity").cast("string").alias("quantity"), "timestamp"))
-    return e.select("trade_id", F.when(F.col("trade_id") % 50 == 7, F.concat(F.lit("not json "), text)).otherwise(text).cast("binary").alias("value"))
+    k = F.col("trade_id") % 50
+    name, price, quantity, number, at = (F.col(c).cast("string") for c in ("symbol", "price", "quantity", "trade_id", "timestamp"))
+    # some in forms that only the contract tells apart: a Java number, a whole number with a point, true, a sign, white space
+    price = F.when(k == 11, F.concat(price, F.lit("d"))).when(k == 17, F.concat(F.lit(" "), price, F.lit(" "))).otherwise(price)
+    number = F.when(k == 13, F.concat(number, F.lit(".0"))).when(k == 29, F.concat(F.lit('"+'), number, F.lit('"'))).otherwise(number)
+    at = F.when(k == 19, F.lit("true")).otherwise(at)
+    text = F.concat(F.lit('{"symbol":"'), name, F.lit('","trade_id":'), number, F.lit(',"price":"'), price, F.lit('","quantity":"'), quantity, F.lit('","timestamp":'), at, F.lit("}"))
+    return e.select("trade_id", F.when(k == 7, F.concat(F.lit("not json "), text)).otherwise(text).cast("binary").alias("value"))
 
 
 @query
@@ -56,7 +62,7 @@ def trade_contract(spark, sf_dir):
 
 @query
 def trade_rejects(spark, sf_dir):
-    return t.rejects(t.decode(_messages(spark, sf_dir))).groupBy("reason").agg(F.count("*").alias("n"), F.max(F.length("raw")).cast("long").alias("longest"))
+    return t.rejects(t.decode(_messages(spark, sf_dir)))
 
 
 @query
@@ -98,6 +104,12 @@ def candle_lookback(spark, sf_dir):
     return c.shown(rows, "volume")
 
 
+@query
+def candle_lookback_ohlcv(spark, sf_dir):
+    rows = c.lookback(a.hourly(spark, sf_dir), NOW, 10 * 24 * 60, ["symbol", "window_start", "open", "high", "low", "close", "volume"])
+    return c.shown(rows, "volume")
+
+
 @query
 def price_change_multi(spark, sf_dir):
     rows = c.price_changes(a.hourly(spark, sf_dir), NOW, HOUR)
@@ -127,6 +139,31 @@ def price_spike(spark, sf_dir):
     return c.shown(_price_spikes(spark, sf_dir))
 
 
+def _minutes(spark, sf_dir):
+    """Candles of minutes without a gap: trades by id, 40 seconds apart back from now, with more volume at times."""
+    rows = a.trades(spark, sf_dir).withColumn("timestamp", F.lit(NOW * 1000 - 1) - F.col("trade_id") % 4000 * 2000)
+    busy = F.floor(F.col("timestamp") / 300_000) % 7 == 0
+    return c.ohlcv(rows.withColumn("quantity", F.when(busy, F.col("quantity") * 9 + 1).otherwise(F.col("quantity") % 3 + 1)).withColumn("symbol", F.lit("ALL")), 60)
+
+
+@query
+def volume_spike_1m(spark, sf_dir):
+    """Minutes at the detector's own settings: 5 against 60 candles, 3 times the volume, the last hour."""
+    return c.shown(c.volume_spikes(_minutes(spark, sf_dir), NOW))
+
+
+@query
+def price_spike_1m(spark, sf_dir):
+    """Minutes at the detector's own settings: 1 percent over 5 candles, the last hour."""
+    return c.shown(c.price_spikes(_minutes(spark, sf_dir), NOW, 1.0))
+
+
+@query
+def price_change_1m(spark, sf_dir):
+    rows = c.price_changes(_minutes(spark, sf_dir), NOW)
+    return c.shown(rows.select("symbol", "window_start", "close", *(F.round(f"price_change_{n}", 6).alias(f"price_change_{n}") for n in (1, 5, 15))))
+
+
 def _signals(spark, sf_dir):
     both = [s.select("symbol", "signal_type", "window_start", F.col(v).alias("value")) for s, v in ((_volume_spikes(spark, sf_dir), "ratio"), (_price_spikes(spark, sf_dir), "change_pct"))]
     return both[0].unionByName(both[1])
@@ -162,7 +199,7 @@ def ohlcv_violations(spark, sf_dir):
 @query
 def ohlcv_errors(spark, sf_dir):
     rows = quality.candle_errors(quality.candle_violations(_odd_candles(spark, sf_dir)))
-    return rows.groupBy("pipeline", F.regexp_extract("error", "^ohlcv/([a-z_]+): ", 1).alias("rule")).agg(F.count("*").alias("n"))
+    return rows.select("pipeline", F.get_json_object("payload", "$.symbol").alias("symbol"), F.get_json_object("payload", "$.window_start").cast("long").alias("at"), "error")
 
 
 # writes
@@ -183,7 +220,8 @@ def news_insert_new(spark, sf_dir):
     rows = a.news(spark, sf_dir).withColumn("url", x.normalized_url(F.col("url")))
     stored = rows.where("position % 3 = 0")
     incoming = rows.unionByName(rows.where("position % 2 = 0").withColumn("position", F.col("position") + 100_000_000))
-    return merge.insert_absent(stored, incoming, ["url"], F.col("position")).select("url", "source", "sentiment", "position")
+    asked = ["url", "source", "sentiment", "position"]  # before the merge, so that contents are not shuffled
+    return merge.insert_absent(stored, incoming.select(*asked), ["url"], F.col("position"))
 
 
 @query
@@ -216,7 +254,7 @@ def _market(spark, sf_dir):
 @query
 def market_validate(spark, sf_dir):
     rows = _market(spark, sf_dir).withColumn("error", quality.market_error(F.col("symbol"), F.col("price"), F.col("market_cap")))
-    return rows.groupBy(F.coalesce(F.regexp_replace("error", r" \(.*\)\z", ""), F.lit("valid")).alias("verdict")).agg(F.count("*").alias("n"))
+    return rows.select("symbol", "name", "price", F.coalesce("error", F.lit("valid")).alias("verdict"))
 
 
 @query
@@ -225,6 +263,18 @@ def market_schema_split(spark, sf_dir):
     return rows.withColumn("error", quality.schema_error(rows, ["symbol", "name", "price"]))
 
 
+@query
+def market_coin_schema(spark, sf_dir):
+    """Customers as a coin list's JSON items, some of them of wrong types, without a field, or no objects."""
+    cust = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    name = F.when(k % 7 == 0, F.lit(',"name":5')).when(k % 11 == 0, F.lit(',"name":null')).when(k % 13 != 0, F.concat(F.lit(',"name":"'), F.col("c_name"), F.lit('"')))
+    price = F.when(k % 17 == 0, F.lit(',"current_price":"1"')).when(k % 19 == 0, F.lit(',"current_price":true')).when(k % 23 != 0, F.concat(F.lit(',"current_price":'), k.cast("string"), F.lit(".5")))
+    cap = F.when(k % 29 == 0, F.lit(',"market_cap":[1]')).when(k % 31 == 0, F.lit(',"market_cap":null')).otherwise(F.lit(',"market_cap":7'))
+    item = F.concat(F.lit('{"symbol":"c'), k.cast("string"), F.lit('"'), F.coalesce(name, F.lit("")), F.coalesce(price, F.lit("")), cap, F.lit("}"))
+    return quality.coins_of(cust.select(F.when(k % 37 == 0, F.lit("[1]")).otherwise(item).alias("value"))).select("symbol", "name", "price", "market_cap", "error")
+
+
 @query
 def market_map(spark, sf_dir):
     cust = table(spark, sf_dir, "customer")
@@ -234,13 +284,11 @@ def market_map(spark, sf_dir):
 
 @query
 def quarantine_all(spark, sf_dir):
-    """Every rejected row of all pipelines, counted by pipeline and error."""
+    """Every rejected row of all pipelines with its error."""
     market = _market(spark, sf_dir)
     market = market.withColumn("error", F.coalesce(quality.schema_error(market, ["name"]), quality.market_error(F.col("symbol"), F.col("price"), F.col("market_cap"))))
     parts = [merge.quarantined(market, "market"), quality.candle_errors(quality.candle_violations(_odd_candles(spark, sf_dir)))]
-    rows = reduce(DataFrame.unionByName, parts)
-    kind = F.regexp_replace(F.regexp_replace("error", r" \(.*\)\z", ""), r"^(ohlcv/[a-z_]+): .*", "$1")
-    return rows.groupBy("pipeline", kind.alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.get_json_object("payload", "$.symbol").isNotNull()).alias("with_symbol"))
+    return reduce(DataFrame.unionByName, parts).select("pipeline", F.get_json_object("payload", "$.symbol").alias("symbol"), "error")
 
 
 @query
@@ -269,6 +317,24 @@ def news_sentiment(spark, sf_dir):
     return a.news(spark, sf_dir).select("url", "sentiment")
 
 
+def _headlines(spark, sf_dir):
+    """Orders as articles in the words of the real dictionaries."""
+    o = table(spark, sf_dir, "orders")
+    words = list(vocabulary.SYMBOL_KEYWORDS) + ["adapter", "links", "solar"]
+    moods = [*vocabulary.POSITIVE, *vocabulary.NEGATIVE, "steady"]
+    pick = lambda among, n: F.element_at(F.array(*map(F.lit, among)), (F.col("o_orderkey") * n % len(among) + 1).cast("int"))
+    title = F.concat_ws(" ", F.initcap(pick(words, 1)), pick(moods, 3), F.lit("and"), F.upper(pick(words, 7)), pick(moods, 11))
+    return o.select("o_orderkey", x.tokens(title).alias("words"))
+
+
+@query
+def news_tags(spark, sf_dir):
+    """Symbols and sentiment by the real dictionaries."""
+    rows = _headlines(spark, sf_dir)
+    mood = x.sentiment_of(F.col("words"), vocabulary.POSITIVE, vocabulary.NEGATIVE)
+    return rows.select("o_orderkey", F.array_join(x.symbols_in(F.col("words"), vocabulary.SYMBOL_KEYWORDS), ",").alias("symbols"), mood.alias("sentiment"))
+
+
 @query
 def news_mentions(spark, sf_dir):
     rows = a.news(spark, sf_dir).where(F.array_contains("symbols", "BTC") & (F.col("collected_at") > _now() - F.expr("INTERVAL 10 DAYS")))
@@ -321,10 +387,18 @@ def news_entry_filter(spark, sf_dir):
     return _entries(spark, sf_dir).select("position", "url")
 
 
+@query
+def news_quarantine(spark, sf_dir):
+    """Articles without a title or an address, as quarantine rows."""
+    rows = _repeated_news(spark, sf_dir).select("position", "title", "url")
+    rows = merge.quarantined(rows.withColumn("error", quality.article_error(F.col("title"), F.col("url"))), "news")
+    return rows.select("pipeline", F.get_json_object("payload", "$.position").cast("long").alias("position"), "error")
+
+
 @query
 def news_dedupe_url(spark, sf_dir):
     rows = _entries(spark, sf_dir).withColumn("url", x.normalized_url(F.col("url")))
-    return merge.first_per_key(rows, ["url"], F.col("position")).select("url", "position")
+    return merge.first_per_key(rows.select("url", "position"), ["url"], F.col("position"))
 
 
 @query
@@ -347,6 +421,13 @@ def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", x.clean_text(F.col("html")).alias("text"))
 
 
+@query
+def clean_text_full(spark, sf_dir):
+    """Pages with every entity unescaped, named and numbered ones added to each."""
+    extra = F.concat(F.col("html"), F.lit(" &eacute;&nbsp;&#x41;&#66;&hellip;&lt;i&gt;&amp;lt;&copy;"))
+    return table(spark, sf_dir, "pages").select("page_id", text.clean_text_full(extra).alias("text"))
+
+
 @query
 def page_content(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
@@ -512,7 +593,7 @@ def check_schema(spark, sf_dir):
 def check_summary(spark, sf_dir):
     n = a.news(spark, sf_dir)
     parts = quality.check_row_count(n, 1, 1000).unionByName(quality.check_duplicates(n, "url")).unionByName(quality.check_nulls(_repeated_news(spark, sf_dir), ["url"]))
-    return quality.summary(parts, "news").drop("description")
+    return _flat(quality.summary(parts, "news"))
 
 
 @query
@@ -548,6 +629,11 @@ def candle_latency(spark, sf_dir):
     return monitor.latencies(rows.select("symbol", "window_start", "close", "written_at"), HOUR)
 
 
+@query
+def stream_counters(spark, sf_dir):
+    return monitor.stream_counters(a.trades(spark, sf_dir), a.hourly(spark, sf_dir))
+
+
 def _outcomes(spark, sf_dir):
     k = F.col("trade_id")
     state = F.when(k % 101 == 0, "failed").when(k % 103 == 0, "pending").when(k % 107 != 0, "acknowledged")

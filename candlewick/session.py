@@ -32,11 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the cluster names none, as in local tests, a new temporary folder is
-    made once per application and becomes the checkpoint folder.
+    Where none is named, as in local tests, a new temporary folder is
+    made once per application and becomes the checkpoint folder; on a cluster,
+    whose machines do not share such a folder, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="candlewick-")
         spark.sparkContext.setCheckpointDir(named)
         return spark.sparkContext.getCheckpointDir()
@@ -46,7 +49,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage."""
-    ship(df.sparkSession)
-    shared_dir(df.sparkSession)
+    """Materialise ``df`` in the shared folder and cut its lineage.
+
+    Spark deletes the files when no frame refers to them any more, unless the
+    application says otherwise (spark.cleaner.referenceTracking.cleanCheckpoints).
+    """
+    spark = df.sparkSession
+    ship(spark)
+    shared_dir(spark)
+    conf, name = spark.sparkContext._jsc.sc().conf(), "spark.cleaner.referenceTracking.cleanCheckpoints"
+    if not conf.contains(name):
+        conf.set(name, "true")
     return df.checkpoint(eager=True)

@@ -1,68 +1,117 @@
-"""Stored relations as versioned Parquet folders, and the writers that keep their keys unique.
+"""Stored relations as Parquet folders by day, and the writers that keep their keys unique.
 
-A store is a folder with one subfolder per version and a log that names the
-current one. A batch writes the new version aside and then adds a log entry, so
+A batch writes its files aside and then adds its entries to the store's log, so
 readers see either the old table or the new one, and a batch id that the log
-names is not applied again.
+names is not applied again. A batch touches only its own days: an append adds
+files to them, an upsert replaces them, and the files of all other days stay as they are.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.operators import merge
 
+ENTRY = "seq long, batch string, day string, data string, replaces boolean"
+
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
+    """``day`` is a SQL expression of the columns, the day that a row belongs to; without one the table is one part."""
+
+    #: Appended folders of one day before the next append rewrites it as one.
+    PIECES = 64
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, day: str | None = None, defaults: dict[str, str] | None = None):
+        self.spark, self.path, self.schema, self.defaults = spark, path, schema, defaults or {}
+        self.day = F.coalesce(F.expr(day).cast("string"), F.lit("none")) if day else F.lit("all")
 
     def create(self) -> Store:
         """Create it if missing; an existing store is left alone."""
         try:
-            self._log()
+            self._log().isEmpty()
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
                 raise
-            self.spark.createDataFrame([], "seq long, batch string, data string").coalesce(1).write.parquet(f"{self.path}/log")
+            self.spark.createDataFrame([], ENTRY).coalesce(1).write.parquet(f"{self.path}/log")
         return self
 
-    def _log(self) -> list[tuple[int, str, str]]:
-        rows = self.spark.read.schema("seq long, batch string, data string").parquet(f"{self.path}/log").collect()
-        return sorted(tuple(r) for r in rows)
-
-    def read(self) -> DataFrame:
-        """The current version; columns added to the schema since it was written are null."""
-        log = self._log()
-        if not log:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{log[-1][2]}")
-
-    def apply(self, batch: str, change: Callable[[DataFrame], DataFrame]) -> bool:
-        """Replace the table by ``change`` of it, once per batch id."""
-        log = self._log()
-        if any(b == batch for _, b, _ in log):
+    def _log(self) -> DataFrame:
+        return self.spark.read.schema(ENTRY).parquet(f"{self.path}/log")
+
+    def _live(self, days: Iterable[str] | None = None) -> list[tuple[str, str]]:
+        """(day, folder) of what the table consists of now, at most PIECES a day."""
+        log = self._log().where("data is not null")
+        if days is not None:
+            log = log.where(F.col("day").isin(*days))
+        whole = log.where("replaces").groupBy("day").agg(F.max("seq").alias("since"))
+        live = log.join(whole, "day", "left").where("since is null or seq >= since").select("day", "data")
+        return sorted((r["day"], r["data"]) for r in live.collect())
+
+    def done(self, batch: str) -> bool:
+        return not self._log().where(F.col("batch") == batch).isEmpty()
+
+    def read(self, days: Iterable[str] | None = None) -> DataFrame:
+        """The table, or some days of it; columns added to the schema since a file was written have their default, or null."""
+        paths = [f"{self.path}/{data}/_day={day}" for day, data in self._live(days)]
+        rows = self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+        for name, value in self.defaults.items():
+            rows = rows.withColumn(name, F.coalesce(F.col(name), F.expr(value).cast(rows.schema[name].dataType)))
+        return rows
+
+    def days_of(self, rows: DataFrame) -> list[str]:
+        return sorted(r[0] for r in rows.select(self.day.alias("day")).distinct().collect())
+
+    def _write(self, batch: str, rows: DataFrame, days: list[str], replaces: bool) -> None:
+        data = f"data/{uuid.uuid4().hex}"
+        rows.withColumn("_day", self.day).write.partitionBy("_day").parquet(f"{self.path}/{data}")
+        seq = self._log().agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0] + 1
+        entries = [(seq, batch, day, data, replaces) for day in days] or [(seq, batch, None, None, False)]
+        self.spark.createDataFrame(entries, ENTRY).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+
+    def change(self, batch: str, rows: DataFrame, merged: Callable[[DataFrame], DataFrame]) -> bool:
+        """Replace the days of ``rows`` by ``merged`` of what they hold, once per batch id."""
+        if self.done(batch):
             return False
-        folder = f"versions/{uuid.uuid4().hex}"
-        change(self.read()).write.parquet(f"{self.path}/{folder}")
-        entry = [((log[-1][0] + 1) if log else 0, batch, folder)]
-        self.spark.createDataFrame(entry, "seq long, batch string, data string").coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+        days = self.days_of(rows)
+        if not days:
+            self._write(batch, rows, [], False)
+            return True
+        self._write(batch, merged(self.read(days)), days, True)
         return True
 
     def upsert(self, batch: str, rows: DataFrame, keys: list[str], version: str = "updated_at") -> bool:
-        """Version-guarded upsert: an older version never replaces a newer one."""
-        return self.apply(batch, lambda now: merge.upsert_versioned(now, rows.select(now.columns), keys, version))
+        """Version-guarded upsert: an older version never replaces a newer one. The keys must fix the day."""
+        return self.change(batch, rows, lambda now: merge.upsert_versioned(now, rows.select(now.columns), keys, version))
+
+    def append(self, batch: str, rows: DataFrame) -> bool:
+        """Add rows as new files."""
+        if self.done(batch):
+            return False
+        now = self.read()
+        rows, live = rows.select(now.columns), [day for day, _ in self._live()]
+        days = self.days_of(rows)
+        if any(live.count(day) >= self.PIECES for day in days):
+            return self.change(batch, rows, lambda now: now.unionByName(rows))
+        self._write(batch, rows, days, False)
+        return True
 
     def insert_absent(self, batch: str, rows: DataFrame, keys: list[str], order) -> bool:
-        """Append the rows whose keys are not stored; the first of each key wins."""
-        return self.apply(batch, lambda now: now.unionByName(merge.insert_absent(now, rows.select(now.columns), keys, order)))
+        """Append the rows whose keys are not stored; the first of each key wins. Only the keys of stored rows are read."""
+        now = self.read()
+        return self.append(batch, merge.insert_absent(now, rows.select(now.columns), keys, order))
 
-    def append(self, batch: str, rows: DataFrame) -> bool:
-        return self.apply(batch, lambda now: now.unionByName(rows.select(now.columns)))
+    def vacuum(self) -> None:
+        """Delete the folders that the table no longer consists of; no batch and no reader of an older state may be at work."""
+        kept = {f"{data}/_day={day}" for day, data in self._live()}
+        old = {f"{r['data']}/_day={r['day']}" for r in self._log().where("data is not null").select("day", "data").distinct().collect()} - kept
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        for folder in old:
+            place = hadoop(f"{self.path}/{folder}")
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def publishable(trades: DataFrame) -> DataFrame:
@@ -83,12 +132,21 @@ def history_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def feed_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Landed feeds as (source, title, link, published, content, error): one row per item; a file that is no XML gives one row with an error."""
+    """Landed feeds, RSS or Atom, as (source, title, link, published, content, error): one row per item or entry.
+
+    A file that is no feed gives one row with an error, so that it does not stop the others; an empty feed gives none.
+    """
     from candlewick.functions.expressions import first_filled, sanitized_feed
 
     files = spark.read.option("wholetext", True).text(path).select(F.regexp_extract("_metadata.file_path", r"([^/]+?)(\.[^./]*)?$", 1).alias("source"), sanitized_feed(F.col("value")).alias("xml"))
-    shape = "title string, link string, pubDate string, description string, encoded string"
-    texts = F.regexp_extract_all("xml", F.lit(r"(?s)<item[ >].*?</item>|<item>.*?</item>"), 0)
+    shape = "title string, link string, pubDate string, description string, encoded string, published string, updated string, summary string, content string"
+    texts = F.regexp_extract_all("xml", F.lit(r"(?s)<(item|entry)[ >].*?</\1>"), 0)
+    files = files.withColumn("feed", F.col("xml").rlike(r"<(rss|feed|rdf:RDF)[\s>]"))
+    rows = files.select("source", "feed", F.explode_outer(texts).alias("one")).where("one is not null or not feed")
     plain = F.regexp_replace(F.col("one"), r"<(/?)[a-z]+:encoded", "<$1encoded")
-    rows = files.select("source", F.explode_outer(texts).alias("one")).withColumn("item", F.from_xml(plain, shape))
-    return rows.select("source", F.col("item.title").alias("title"), F.col("item.link").alias("link"), F.col("item.pubDate").alias("published"), first_filled(F.col("item.encoded"), F.col("item.description")).alias("content"), F.when(F.col("one").isNull(), "no items").alias("error"))
+    item = rows.withColumn("item", F.from_xml(plain, shape)).withColumn("href", F.regexp_extract("one", r"<link[^>]*\shref=[\"']([^\"']*)", 1))
+    link = first_filled(F.trim("item.link"), F.col("href"))
+    published = first_filled(F.col("item.pubDate"), F.col("item.published"), F.col("item.updated"))
+    content = first_filled(F.col("item.encoded"), F.col("item.content"), F.col("item.description"), F.col("item.summary"))
+    there = F.col("one").isNotNull()
+    return item.select("source", F.col("item.title").alias("title"), F.when(there, link).alias("link"), F.when(there, F.nullif(published, F.lit(""))).alias("published"), F.when(there, content).alias("content"), F.when(~there, "no items").alias("error"))

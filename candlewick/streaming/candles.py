@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,28 +32,39 @@ def read_trades_stream(spark: SparkSession, source: str, **options: str) -> Data
 class ExactCandles:
     """Candles that any late trade may still change.
 
-    Each micro-batch adds its new trades to the stored ones, fails on an id that
-    comes with different contents, recomputes the buckets that got trades from all of their
-    trades, and upserts these candles with the batch's number as version. Both
-    tables take a batch once, so a restart or a redelivery changes nothing.
+    Each micro-batch adds its new trades to those of their days, fails on an id
+    that comes with different contents, recomputes the buckets that got trades
+    from all of their trades, and upserts these candles with the batch's number
+    as version. Messages that are no trades go to a third table. All tables take
+    a batch once, so a restart or a redelivery changes nothing. A batch writes only
+    the days of its trades and reads only them, but for ids that come again under
+    another date: there the files' own id ranges tell which of them to open.
     """
 
-    def __init__(self, spark: SparkSession, path: str, seconds: int = 60, rejected: Callable[[DataFrame], None] | None = None):
-        self.seconds, self.path, self.rejected = seconds, path, rejected
-        self.trades = Store(spark, f"{path}/trades", TRADE).create()
-        self.candles = Store(spark, f"{path}/candles", CANDLE).create()
+    def __init__(self, spark: SparkSession, path: str, seconds: int = 60):
+        self.seconds, self.path = seconds, path
+        self.trades = Store(spark, f"{path}/trades", TRADE, "date_from_unix_date(timestamp div 86400000)").create()
+        self.candles = Store(spark, f"{path}/candles", CANDLE, "date_from_unix_date(window_start div 86400)").create()
+        self.rejects = Store(spark, f"{path}/rejects", "raw string, reason string").create()
 
     def batch(self, messages: DataFrame, number: int) -> None:
         decoded = trades.decode(messages).persist()
         try:
-            if self.rejected is not None:
-                self.rejected(trades.rejects(decoded))
+            name = f"{number}"
             fresh = trades.trades_of(decoded)
-            self.trades.apply(f"{number}", lambda now: trades.fail_on_conflict(now.unionByName(fresh)))
+            days = self.trades.days_of(fresh)
+            if days and not self.trades.done(name):
+                ends = fresh.agg(F.min("trade_id"), F.max("trade_id")).first()
+                known = self.trades.read().where(F.col("trade_id").between(*ends))
+                clash = trades.conflicts(known.join(fresh, ["symbol", "trade_id"], "left_semi").unionByName(fresh)).first()
+                if clash is not None:
+                    raise ValueError(f"conflicting trade {clash['symbol']} {clash['trade_id']}")
+                self.trades.append(name, trades.distinct_trades(fresh).join(known, ["symbol", "trade_id"], "left_anti"))
             buckets = fresh.select("symbol", candles.bucket_start(F.col("timestamp"), self.seconds).alias("window_start")).distinct()
-            kept = self.trades.read().withColumn("window_start", candles.bucket_start(F.col("timestamp"), self.seconds)).join(buckets, ["symbol", "window_start"], "left_semi").drop("window_start")
+            kept = self.trades.read(days).withColumn("window_start", candles.bucket_start(F.col("timestamp"), self.seconds)).join(buckets, ["symbol", "window_start"], "left_semi").drop("window_start")
             made = candles.ohlcv(kept, self.seconds).withColumn("updated_at", F.timestamp_seconds(F.lit(number)))
-            self.candles.upsert(f"{number}", made, ["symbol", "window_start"])
+            self.candles.upsert(name, made, ["symbol", "window_start"])
+            self.rejects.append(name, trades.rejects(decoded))
         finally:
             decoded.unpersist()
 
@@ -72,6 +84,14 @@ def bounded_candles(messages: DataFrame, seconds: int = 60, late: str = "10 minu
     return grouped.select("symbol", F.unix_seconds("window.start").alias("window_start"), "open", "high", "low", "close", "volume", "trade_count")
 
 
+def bounded_conflicts(messages: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """(symbol, trade_id) of ids that come with different contents within ``late``, in update mode; ``bounded_candles`` keeps the first of these."""
+    rows = trades.trades_of(trades.decode(messages)).withColumn("at", F.timestamp_millis("timestamp")).withWatermark("at", late)
+    payload = F.struct("price", "quantity", "timestamp")
+    one = rows.groupBy("symbol", "trade_id", F.window("at", late)).agg(F.min(payload).alias("lo"), F.max(payload).alias("hi"))
+    return one.where("lo <> hi").select("symbol", "trade_id", F.col("window.start").alias("seen"), "lo", "hi")
+
+
 def publish(rows: DataFrame, topic: str, servers: str, checkpoint: str) -> StreamingQuery:
     """Trades to a keyed topic (needs the Kafka package)."""
     return publishable(rows).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
@@ -95,7 +115,20 @@ def with_recovery(write: Callable[[DataFrame, int], None], path: str, kind: str,
 
 def upsert_candles(spark: SparkSession, path: str, rows: DataFrame, batch: str) -> bool:
     """Candles (with updated_at) into the store at ``path``."""
-    return Store(spark, path, CANDLE).create().upsert(batch, rows, ["symbol", "window_start"])
+    return Store(spark, path, CANDLE, "date_from_unix_date(window_start div 86400)").create().upsert(batch, rows, ["symbol", "window_start"])
+
+
+def replay_handlers(spark: SparkSession, path: str, send: Callable[[DataFrame], None]) -> dict[str, Callable[[DataFrame], None]]:
+    """What ``recovery.replay`` does with each kind: trades go out again through ``send`` as (key, value), candles
+    into the store at ``path``, where their version decides; so a record that is replayed twice changes nothing."""
+
+    def trade(rows: DataFrame) -> None:
+        send(publishable(trades.trades_of(trades.decode(rows, "payload"))))
+
+    def candle(rows: DataFrame) -> None:
+        upsert_candles(spark, path, rows.select(F.from_json("payload", CANDLE).alias("c")).select("c.*"), f"replay-{uuid.uuid4().hex}")
+
+    return {"trade": trade, "candle": candle}
 
 
-__all__ = ["ExactCandles", "bounded_candles", "publish", "read_trades_stream", "upsert_candles", "with_recovery"]
+__all__ = ["ExactCandles", "bounded_candles", "bounded_conflicts", "publish", "read_trades_stream", "replay_handlers", "upsert_candles", "with_recovery"]

@@ -1,10 +1,12 @@
 import json
 from datetime import datetime
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from candlewick import session
 from candlewick.functions import expressions as x
 from candlewick.functions import vocabulary
 from candlewick.functions.text import clean_text_full
@@ -20,11 +22,11 @@ def one(spark, expression, value, kind="string"):
 
 
 def test_text(spark):
-    clean = "<p>Bitcoin <b>surges</b>  &amp; gains</p>"
-    assert one(spark, x.clean_text, clean) == one(spark, clean_text_full, clean) == "Bitcoin surges & gains"
-    assert one(spark, clean_text_full, "caf&eacute;&nbsp;&#x41;") == "café A" and one(spark, clean_text_full, None) is None
+    clean = "<div>Rain  <i>stops</i>\n&amp; sun returns</div>"
+    assert one(spark, x.clean_text, clean) == one(spark, clean_text_full, clean) == "Rain stops & sun returns"
+    assert one(spark, clean_text_full, "&Uuml;ber&nbsp;&#66;&hellip;") == "Über B…" and one(spark, clean_text_full, None) is None
     url = lambda u: one(spark, x.normalized_url, u)
-    assert url("https://cointelegraph.com/news/x?utm_source=a#frag") == "https://cointelegraph.com/news/x"
+    assert url("https://site.example/a/b/?page=2#top") == "https://site.example/a/b"
     assert url(" https://a.b/x/ ") == "https://a.b/x" and url("https://a.b") == "https://a.b/" and url(None) is None
     when = lambda t: one(spark, lambda c: x.parsed_published(c).cast("timestamp_ntz"), t)
     assert when("Mon, 02 Sep 2024 10:00:00 +0200") == datetime(2024, 9, 2, 8) == when("2024-09-02T08:00:00Z") == when("2 Sep 2024 08:00:00 GMT")
@@ -34,9 +36,9 @@ def test_text(spark):
 
 def test_symbols_and_sentiment(spark):
     tag = lambda t: one(spark, lambda c: x.symbols_in(x.tokens(c), vocabulary.SYMBOL_KEYWORDS), t)
-    assert tag("Bitcoin ETF approval lifts Ethereum and Solana") == ["BTC", "ETF", "ETH", "SOL"] and tag("nothing") == []
+    assert tag("cardano and TRON beat litecoin, solar is none") == ["ADA", "LTC", "TRX"] and tag("nothing") == []
     mood = lambda t: one(spark, lambda c: x.sentiment_of(x.tokens(c), vocabulary.POSITIVE, vocabulary.NEGATIVE), t)
-    assert [mood(t) for t in ("markets surge and rally", "hack and crash", "a surge, a crash", "")] == ["positive", "negative", "neutral", "neutral"]
+    assert [mood(t) for t in ("a rebound after growth", "fraud, then losses", "gains and decline", "")] == ["positive", "negative", "neutral", "neutral"]
 
 
 def test_market_rules(spark):
@@ -79,14 +81,44 @@ def test_merge(spark):
     assert merge.table_name("news", "prod") == "news" and merge.table_name("news", "local") == "news_local"
 
 
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Context:
+        master = "spark://a:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+
+
 def test_store(spark, tmp_path):
     s = Store(spark, str(tmp_path / "s"), "k int, v int, updated_at timestamp").create()
     rows = spark.createDataFrame([(1, 10, datetime(2024, 1, 2))], "k int, v int, updated_at timestamp")
     assert s.upsert("a", rows, ["k"]) and not s.upsert("a", rows, ["k"])
     assert s.create().upsert("b", rows.withColumn("v", F.lit(9)).withColumn("updated_at", F.lit("2024-01-01").cast("timestamp")), ["k"])
     assert [tuple(r)[:2] for r in s.read().collect()] == [(1, 10)]
-    wider = Store(spark, str(tmp_path / "s"), "k int, v int, updated_at timestamp, extra string")
-    assert wider.read().first()["extra"] is None
+    wider = Store(spark, str(tmp_path / "s"), "k int, v int, updated_at timestamp, extra string, more string", defaults={"more": "'new'"})
+    assert tuple(wider.read().first())[3:] == (None, "new")
+    more = Store(spark, str(tmp_path / "t"), "k int, v int", "cast(v div 10 as string)").create()
+    more.PIECES = 3
+    for i in range(5):
+        assert more.insert_absent(f"b{i}", spark.createDataFrame([(i, 1), (0, 11 + i), (9, None)], "k int, v int"), ["k"], F.col("v"))
+    assert sorted(((r["k"], r["v"]) for r in more.read().collect()), key=str) == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (9, None)]
+    assert sum(day == "0" for day, _ in more._live()) <= 3 and sorted(r["k"] for r in more.read(["none"]).collect()) == [9]
+
+
+def test_coins(spark):
+    good = {"symbol": "btc", "name": "B", "current_price": 1, "market_cap": None}
+    items = [good, good | {"name": 5}, {k: v for k, v in good.items() if k != "name"}, good | {"current_price": "1"}, good | {"current_price": True}, {"symbol": "x", "name": "y"}, good | {"total_volume": "9"}, [good], {"name": "n", "current_price": 2.5}, good | {"symbol": None}]
+    rows = quality.coins_of(spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(items)] + [(10, "{"), (11, None)], "i int, value string").orderBy("i")).collect()
+    told = ["schema: expected a text - at name", "schema: expected a number - at price", "schema: expected a number or null - at volume_24h", "schema: expected an object"]
+    assert [r["error"] for r in rows] == [None, told[0], None, told[1], told[1], told[1], told[2], told[3], None, None, told[3], told[3]]
+    assert (rows[0]["symbol"], rows[0]["price"], rows[2]["name"], rows[8]["symbol"], rows[9]["symbol"], json.loads(rows[3]["payload"])) == ("BTC", 1.0, "", "", "NONE", items[3])
 
 
 def test_correlation(spark):
@@ -180,5 +212,8 @@ def test_landed_files(spark, tmp_path):
     feed.mkdir()
     (feed / "one.xml").write_text("<rss><channel><item><title>T</title><link>https://a/b</link><description>D</description><content:encoded/></item></channel></rss>")
     (feed / "two.xml").write_text("down for maintenance")
+    (feed / "three.xml").write_text('<feed xmlns="http://www.w3.org/2005/Atom"><title>F</title><entry><title>A</title><link rel="alternate" href="https://c/d"/><updated>2024-01-02T00:00:00Z</updated><summary>S</summary></entry></feed>')
+    (feed / "four.xml").write_text("<rss><channel><title>empty</title></channel></rss>")
     rows = {r["source"]: r for r in feed_entries(spark, str(feed)).collect()}
+    assert tuple(rows["three"]) == ("three", "A", "https://c/d", "2024-01-02T00:00:00Z", "S", None) and "four" not in rows
     assert (rows["one"]["title"], rows["one"]["content"], rows["one"]["error"]) == ("T", "D", None) and rows["two"]["error"] == "no items"

@@ -4,8 +4,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from candlewick.operators import candles, trades
-from candlewick.streaming.candles import ExactCandles, bounded_candles, read_trades_stream
+from candlewick.operators import candles, monitor, trades
+from candlewick.sources import recovery
+from candlewick.sources.stores import Store
+from candlewick.streaming.candles import CANDLE, ExactCandles, bounded_candles, bounded_conflicts, read_trades_stream, replay_handlers, upsert_candles
 
 T0 = 1757578861000
 FIELDS = "symbol string, trade_id long, price double, quantity double, timestamp long"
@@ -49,6 +51,7 @@ def test_conflicts(spark):
 
 BAD = [
     {"price": "NaN"}, {"price": "Infinity"}, {"price": "-1"}, {"price": True}, {"quantity": "-Infinity"}, {"quantity": 0}, {"symbol": None}, {"symbol": "BTC USDT"}, {"symbol": "BTC\n"},
+    {"price": "1.5d"}, {"price": "1.5f"}, {"price": "0x1p3"}, {"price": ""}, {"price": "."}, {"price": [1]}, {"quantity": "1e"}, {"trade_id": 1.0}, {"trade_id": "1.0"}, {"trade_id": ""}, {"timestamp": 1e12},
     {"symbol": 5}, {"trade_id": True}, {"trade_id": None}, {"trade_id": -1}, {"trade_id": 1.2}, {"trade_id": "1_000"}, {"timestamp": False}, {"timestamp": 0}, {"timestamp": 2**63},
 ]
 
@@ -59,6 +62,9 @@ def test_contract(spark):
     rows = trades.decode(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, value string")).orderBy("i").collect()
     assert [r["trade"] is not None for r in rows] == [True] + [False] * (len(texts) - 1)
     assert tuple(rows[0]["trade"]) == ("BTCUSDT", 7, 1.5, 2.0, T0)
+    odd = [{"price": " 1.5 "}, {"price": 15e-1}, {"price": "+1.5"}, {"price": ".15E1"}, {"trade_id": " 7"}, {"trade_id": "+7"}, {"trade_id": 7}, {"quantity": "2."}, {"timestamp": str(T0)}]
+    kept = trades.decode(spark.createDataFrame([(json.dumps(good | o),) for o in odd], "value string")).collect()
+    assert [r["trade"] and tuple(r["trade"]) for r in kept] == [("BTCUSDT", 7, 1.5, 2.0, T0)] * len(odd)
 
 
 def test_envelope_and_rejects(spark):
@@ -121,6 +127,88 @@ def test_price_spike(spark):
             candles.price_spikes(series(spark, [(0, 1.0)]), 60, bad)
 
 
+def test_spikes_count_minutes_not_rows(spark):
+    full = [(i, 100.0) for i in range(5)] + [(5, 101.0)]
+    holed = series(spark, [x for x in full if x[0] != 2])
+    twice = lambda s: s.unionByName(s)
+    spikes = lambda s, threshold=1.0: candles.price_spikes(s, 360, threshold).collect()
+    assert spikes(twice(holed)) == [] and len(spikes(twice(series(spark, full)))) == 1
+    assert spikes(series(spark, [(i, 100.0) for i in range(6)]), 1e-7) == [] and len(spikes(series(spark, full), 1e-7)) == 1
+    with pytest.raises(ValueError):
+        candles.price_spikes(holed, 360, 1e-20)
+    with pytest.raises(Exception, match="conflicting candles"):
+        spikes(series(spark, full).unionByName(series(spark, [(3, 100.5)])))
+    assert len(spikes(series(spark, full).unionByName(series(spark, [(3, 100.0)], volume=1.0)))) == 1  # volumes don't matter to prices
+    busy = series(spark, [(i, 1.0) for i in range(65)], volume=lambda i: 151.0 if i >= 60 else 10.0)
+    assert len(candles.volume_spikes(twice(busy), 65 * 60).collect()) == 1
+    assert candles.volume_spikes(twice(busy.where("window_start <> 600")), 65 * 60).count() == 0
+    with pytest.raises(Exception, match="conflicting candles"):
+        candles.volume_spikes(busy.unionByName(series(spark, [(3, 2.0)])), 65 * 60).collect()
+    kept = candles.as_signals(candles.price_spikes(series(spark, full), 360, 1.0), 1.0).first()
+    assert json.loads(kept["details"]) == {"baseline_close": 100.0, "close": 101.0, "price_change_5m_pct": 1.0, "direction": "up", "threshold_pct": 1.0}
+    kept = candles.as_signals(candles.volume_spikes(busy, 65 * 60)).first()
+    assert json.loads(kept["details"]) == {"recent_volume_5m": 755.0, "baseline_5m": 50.0, "ratio": 15.1}
+
+
+def test_rates(spark):
+    rows = [("a", 0.0, 5), ("a", 10.0, 25), ("a", 10.5, 99), ("a", 200000.0, 300), ("b", 5.0, 1)]
+    df = spark.createDataFrame(rows, "series string, s double, total long").withColumn("at", F.timestamp_micros((F.col("s") * 1e6).cast("long")))
+    got = {(r["series"], r["at"].timestamp()): r["rate"] for r in monitor.rates(df).collect()}
+    assert sorted(got.items())[:4] == [(("a", 0.0), None), (("a", 10.0), 2.0), (("a", 10.5), None), (("a", 200000.0), 0.0)] and got["b", 5.0] is None
+
+
+def files(path):
+    return {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_batches_leave_other_days_alone(spark, tmp_path):
+    job = ExactCandles(spark, str(tmp_path))
+    day = 86_400_000
+    send = lambda number, *rows: job.batch(spark.createDataFrame([(message(*r),) for r in rows] + [("no",)], "value string"), number)
+    send(0, ("S", 1, 100.0, T0), ("S", 2, 101.0, T0 + 5))
+    send(1, ("S", 3, 102.0, T0 + day))
+    old = {n: files(tmp_path / n / "data") for n in ("trades", "candles")}
+    send(2, ("S", 4, 103.0, T0 + day), ("S", 3, 102.0, T0 + day))
+    send(2, ("S", 4, 103.0, T0 + day), ("S", 3, 102.0, T0 + day))  # delivered again
+    for name, before in old.items():
+        now = files(tmp_path / name / "data")
+        assert all(now.get(p) == t for p, t in before.items()) and len(now) > len(before)
+        assert all("2025-09-12" in str(p) for p in set(now) - set(before))
+    got = {r["window_start"]: (r["close"], r["trade_count"]) for r in job.candles.read().collect()}
+    start = T0 // 60000 * 60
+    assert got == {start: (101.0, 2), start + 86400: (103.0, 2)} and job.trades.read().count() == 4 and job.rejects.read().count() == 3
+    for bad in (("S", 2, 7.0, T0 + 5), ("S", 2, 101.0, T0 + 3 * day)):  # on its own day, and on another one
+        with pytest.raises(Exception, match="conflicting trade S 2"):
+            send(3, bad)
+    job.candles.vacuum()
+    assert {r["window_start"]: (r["close"], r["trade_count"]) for r in job.candles.read().collect()} == got
+    assert len(files(tmp_path / "candles" / "data")) < len(files(tmp_path / "trades" / "data")) + 2
+
+
+def test_bounded_conflicts(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("\n".join(message(*m) for m in [("S", 1, 100.0, T0), ("S", 1, 100.0, T0), ("S", 2, 98.0, T0), ("S", 2, 99.0, T0 + 4)]))
+    q = bounded_conflicts(read_trades_stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("clashes").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [(r["symbol"], r["trade_id"]) for r in spark.table("clashes").collect()] == [("S", 2)]
+
+
+def test_replay_into_stores(spark, tmp_path):
+    trade = {"symbol": "S", "trade_id": 1, "price": 2, "quantity": 1, "timestamp": T0}
+    candle = {"symbol": "S", "window_start": 60, "open": 1.0, "high": 1.0, "low": 1.0, "close": 1.0, "volume": 1, "trade_count": 1, "updated_at": "2024-01-02T00:00:00Z"}
+    older = candle | {"close": 9.0, "updated_at": "2024-01-01T00:00:00Z"}
+    (tmp_path / "r").mkdir()
+    for n, record in enumerate([("trade", trade), ("candle", candle), ("candle", older), ("trade", trade | {"price": -1})]):
+        (tmp_path / "r" / f"{n}.txt").write_text(json.dumps({"kind": record[0], "payload": record[1]}))
+    sent = []
+    handlers = replay_handlers(spark, str(tmp_path / "candles"), lambda rows: sent.extend(tuple(r) for r in rows.collect()))
+    for name in "ab":  # the second checkpoint replays everything again
+        recovery.replay(spark, str(tmp_path / "r"), str(tmp_path / name), handlers)
+    assert [k for k, _ in sent] == ["S", "S"] and json.loads(sent[0][1])["price"] == 2.0
+    stored = upsert_candles(spark, str(tmp_path / "candles"), spark.createDataFrame([], CANDLE), "none") and Store(spark, str(tmp_path / "candles"), CANDLE).read().collect()
+    assert [(r["window_start"], r["close"]) for r in stored] == [(60, 1.0)]
+
+
 def message(symbol, i, price, ms, quantity=1.0):
     return json.dumps({"symbol": symbol, "trade_id": i, "price": price, "quantity": quantity, "timestamp": ms})
 
