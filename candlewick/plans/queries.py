@@ -13,7 +13,7 @@ from candlewick.operators import candles as c
 from candlewick.operators import merge, monitor, quality, ranges
 from candlewick.operators import trades as t
 from candlewick.operators.correlate import near_moves
-from candlewick.session import table
+from candlewick.session import cut, table
 from candlewick.sources import adapters as a
 
 NOW, HOUR = a.NOW, a.HOUR
@@ -668,7 +668,8 @@ def alerts(spark, sf_dir):
     d = monitor.delivery(_outcomes(spark, sf_dir)).select(F.lit("feed").alias("section"), F.explode(F.create_map(F.lit("events_lost"), F.col("lost").cast("double"), F.lit("publish_failures_total"), F.col("failed").cast("double"))).alias("metric", "value"))
     lag = consumer_lag(spark, sf_dir).select(F.lit("broker").alias("section"), F.lit("lag_total").alias("metric"), F.col("lag_total").cast("double").alias("value"))
     w = warehouse_stats(spark, sf_dir).select(F.lit("db").alias("section"), F.explode(F.create_map(F.lit("newest_candle_age_min"), F.col("newest_age_min").cast("double"), F.lit("candles_10m"), F.col("candles_recent").cast("double"))).alias("metric", "value"))
-    return monitor.alerts(reduce(DataFrame.unionByName, [d, lag, w]), monitor.rules(spark, {"ALERT_MAX_CONSUMER_LAG": "nan"}))
+    metrics = cut(reduce(DataFrame.unionByName, [d, lag, w]))  # a few rows, which the rules look at several times
+    return monitor.alerts(metrics, monitor.rules(spark, {"ALERT_MAX_CONSUMER_LAG": "nan"}))
 
 
 @query
