@@ -9,6 +9,7 @@ from candlewick.llm.language_id import op3_language_bitmask
 from candlewick.llm.near_dedup import op9_superminhash_dedup
 from candlewick.llm.ngram_perplexity import op1_ngram_perplexity
 from candlewick.llm.quality_classifier import op7_subword_quality
+from candlewick.llm.whitening import op11_bitsliced_whitening
 
 QUERIES: dict = {
     "op1_ngram_perplexity": op1_ngram_perplexity,
@@ -21,6 +22,7 @@ QUERIES: dict = {
     "op8_quote_linking": quote_linking.op8_quote_linking,
     "op9_superminhash_dedup": op9_superminhash_dedup,
     "op10_token_rollups": token_rollups.op10_token_rollups,
+    "op11_bitsliced_whitening": op11_bitsliced_whitening,
 }
 
 ORACLES: dict = {
