@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from candlewick.session import cut, shared_dir, ship, table
 
-__all__ = ["bounded_sample", "crc_mod", "cut", "few", "release", "shared_dir", "ship", "table"]
+__all__ = ["bounded_sample", "crc_mod", "cut", "dropped", "few", "release", "shared_dir", "ship", "table"]
 
 
 def crc_mod(column: str, by: int) -> Column:
@@ -51,3 +51,9 @@ def release(spark: SparkSession) -> None:
     for _ in range(2):  # the first round lets go of what Python held, the second of what that held in turn
         gc.collect()
         spark.sparkContext._jvm.System.gc()
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder that was written under the shared one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlewick.llm import chunk_bpe, knn_join, near_dedup, quote_linking, token_rollups, warc
+from candlewick.llm import chunk_bpe, hard_negatives, knn_join, near_dedup, quote_linking, token_rollups, warc
 from candlewick.llm.best_fit_packing import op6_best_fit_packing
 from candlewick.llm.knn_join import op5_voronoi_knn
 from candlewick.llm.language_id import op3_language_bitmask
@@ -23,6 +23,7 @@ QUERIES: dict = {
     "op9_superminhash_dedup": op9_superminhash_dedup,
     "op10_token_rollups": token_rollups.op10_token_rollups,
     "op11_bitsliced_whitening": op11_bitsliced_whitening,
+    "op12_hilbert_negatives": hard_negatives.op12_hilbert_negatives,
 }
 
 ORACLES: dict = {
@@ -31,4 +32,5 @@ ORACLES: dict = {
     "op8_quote_linking": quote_linking.ORACLE,
     "op9_superminhash_dedup": near_dedup.ORACLE,
     "op10_token_rollups": token_rollups.ORACLE,
+    "op12_hilbert_negatives": hard_negatives.ORACLE,
 }

@@ -2,8 +2,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from candlewick.llm import whitening
+from candlewick.llm import hard_negatives, whitening
 
 NAN, INF = float("nan"), float("inf")
 ODD = [(901, None), (902, []), (903, [1.0, None, 2.0]), (904, [1.0, NAN, 2.0]), (905, [1.0, INF, 0.0]), (906, [-INF, 0.0, 1.0])]
@@ -85,3 +86,73 @@ def test_op11_query(spark):
     got = df.collect()
     want = {i: sum(int(c) ** 2 for c in centred[k]) for k, (i, _) in enumerate(rows)}
     assert len(got) == 8 * len(rows) and all(r["deviation"] == want[r["vec_id"]] and r["identity_error"] < 1e-4 for r in got)
+
+
+def test_hilbert_curve_steps_to_a_neighbour():
+    for dims, bits in ((2, 4), (3, 3), (5, 2), (1, 6)):
+        grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
+        place = hard_negatives.hilbert_places(grid, bits)
+        assert sorted(place) == list(range(len(grid)))
+        assert (np.abs(np.diff(grid[np.argsort(place)], axis=0)).sum(axis=1) == 1).all()
+
+
+def mined(rows, every, k, m, low=30, high=90):
+    """Rows (id, label, vector): positives and negatives by comparing each anchor with all rows."""
+    whole = {(i, y, tuple(math.floor(256 * c) for c in v)) for i, v, y in rows if i is not None and y is not None and v and all(c is not None and math.isfinite(c) for c in v)}
+    out = []
+    for i, y, q in whole:
+        if i % every:
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(q, x)), j, z) for j, z, x in whole if j != i and len(x) == len(q))
+        for s, j, _ in [t for t in scored if t[2] == y][:k]:
+            inside = [(n, -t) for t, n, z in scored if z != y and low * -s <= 100 * -t <= high * -s][:m]
+            out += [(i, j, r + 1, n, -s, t) for r, (n, t) in enumerate(inside)]
+    return sorted(out)
+
+
+def negatives_table(spark, rows):
+    return spark.createDataFrame([(*r, "x", 5) for r in rows], "vec_id long, embedding array<float>, label int, id string, own int").repartition(3)
+
+
+@pytest.mark.parametrize(("dims", "block"), [(3, 16), (16, 40)])
+def test_negatives_against_brute_force(spark, dims, block):
+    rng = np.random.default_rng(dims)
+    rows = []
+    for i in range(500):
+        y = int(rng.integers(4))
+        v = rng.normal(size=dims) * 0.3 + (np.arange(dims) % 4 == y) * (i % 3)
+        rows.append((i, [float(np.float32(c)) for c in v], y))
+    rows += [(500 + i, rows[7][1], 1 + i % 2) for i in range(120)]  # one vector, many ids: ties
+    rows += [rows[10]] * 30 + [(20, rows[3][1], 2), (1000, [1.0] * (dims + 1), 1), (1003, [2.0] * (dims + 1), 1), (1001, [1.0] * (dims + 1), 0)]
+    rows += [(None, rows[0][1], 1), (1002, rows[0][1], None)] + [(i + 2000, v, 1) for i, v in ODD]
+    df = hard_negatives.mine(negatives_table(spark, rows), F.col("id") % 10 == 0, block_rows=block)
+    assert df.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    assert sorted(map(tuple, df.collect())) == mined(rows, 10, 5, 10)
+    few = hard_negatives.mine(negatives_table(spark, rows[:40]), F.col("id") % 2 == 0, positives=50, negatives=3, low=0, high=100)
+    assert sorted(map(tuple, few.collect())) == mined(rows[:40], 2, 50, 3, 0, 100)
+
+
+def test_negatives_of_empty_tables_and_one_label(spark):
+    anchors = F.col("id") % 2 == 0
+    assert hard_negatives.mine(negatives_table(spark, []), anchors).count() == 0
+    assert hard_negatives.mine(negatives_table(spark, [(i, v, 1) for i, v in ODD]), anchors).count() == 0
+    assert hard_negatives.mine(negatives_table(spark, [(i, [1.0, i / 9], 1) for i in range(9)]), anchors).count() == 0
+    assert hard_negatives.mine(negatives_table(spark, [(1, [1.0], 1), (3, [1.0], 2)]), anchors).count() == 0
+
+
+def test_zone_bounds_hold(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = negatives_table(spark, [(i, [float(c) for c in rng.normal(size=4)], i % 3) for i in range(300)])
+    told = rows.select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    hard_negatives.write_blocks(told, 4, hard_negatives._spread(told)[4], str(tmp_path / "b"), 20)
+    blocks = spark.read.parquet(str(tmp_path / "b"))
+    zones = hard_negatives.Zones(blocks)
+    assert len(zones.block) > 8 and zones.n.sum() == 300
+    q = rng.integers(-300, 300, (7, 4))
+    lower, upper = zones.bounds(q)
+    at = {int(b): k for k, b in enumerate(zones.block)}
+    for r in blocks.collect():
+        s, k = q @ np.array(r["x"]), at[r["block"]]
+        assert (lower[:, k] <= s).all() and (s <= upper[:, k]).all() and zones.least[k] <= r["label"] <= zones.most[k]
+    plan = blocks.where(F.col("block").isin([0, 3]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan
