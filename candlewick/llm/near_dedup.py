@@ -259,9 +259,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", words: int = 5, percent
     """
     ship(docs.sparkSession)
     rows = cut(classes_of(docs, id_col, words, places))
-    one = rows.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "text_key")).alias("of"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    one = cut(one)
-    spread = one.select("key", "n", F.explode("bands").alias("bucket"))
+    one = cut(rows.where("n > 0").groupBy("key").agg(named().alias("of"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    return grouped(docs, id_col, words, percent, rows, one, one.select("key", "n", F.explode("bands").alias("bucket")))
+
+
+def named() -> Column:
+    """What stands for a class: its smallest id that is not null, and of that id's texts the one with the smallest text_key."""
+    return F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "text_key"))
+
+
+def bits_apart(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``pairs`` (p, m and more) with ``apart``, the bits in which their sketches (key, sketch) differ."""
+    differ = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    both = pairs.join(sketches.toDF("p", "_a"), "p").join(sketches.toDF("m", "_b"), "m")
+    return both.withColumn("apart", differ.cast("long")).drop("_a", "_b")
+
+
+def grouped(docs: DataFrame, id_col: str, words: int, percent: int, rows: DataFrame, one: DataFrame, spread: DataFrame, sketches: DataFrame | None = None) -> DataFrame:
+    """The groups that ``near_groups`` returns, from buckets in which every linked pair meets or is lost.
+
+    rows: (id, text_key, key, n) of every document; one: (key, of, n) of every class; spread: (key, n, bucket).
+    ``sketches`` (key, sketch) may bound differences from below: pairs that they refute are not compared on full sets.
+    """
     crowded = cut(spread.join(spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"))
     weight = crowded.groupBy("key").agg(F.sum("size").alias("weight"))
     members = cut(crowded.join(weight, "key").select("bucket", "key", "n", "weight"))
@@ -274,7 +293,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", words: int = 5, percent
         if seated.isEmpty():
             break
         pairs = cut(seated.select("p", "np", F.col("key").alias("m"), "n").distinct())
-        met = cut(with_sets(pairs, sets).select("p", F.col("m").alias("key"), (F.col("n") + F.col("np") - 2 * F.size(F.array_intersect("sp", "sm"))).cast("long").alias("d"), linked(F.col("n") + F.col("np") - 2 * F.size(F.array_intersect("sp", "sm")), F.col("n") + F.col("np"), percent).alias("hit")))
+        far = None
+        if sketches is not None:
+            told = cut(bits_apart(pairs, sketches).withColumn("far", (100 + percent) * F.col("apart") > (300 - percent) * F.greatest("n", "np")))
+            pairs, far = told.where("not far").select(*pairs.columns), told.where("far").select("p", F.col("m").alias("key"), F.col("apart").alias("d"), F.lit(False).alias("hit"))
+        met = with_sets(pairs, sets).select("p", F.col("m").alias("key"), (F.col("n") + F.col("np") - 2 * F.size(F.array_intersect("sp", "sm"))).cast("long").alias("d"), linked(F.col("n") + F.col("np") - 2 * F.size(F.array_intersect("sp", "sm")), F.col("n") + F.col("np"), percent).alias("hit"))
+        met = cut(met if far is None else met.unionByName(far))
         hits = met.where("hit").select(F.col("p").alias("a"), F.col("key").alias("b"))
         labels = relabelled(labels, labelled(labelled(hits.withColumnRenamed("a", "key"), labels).select(F.col("comp").alias("a"), F.col("b").alias("key")), labels).select("a", F.col("comp").alias("b")))
         seated = labelled(seated, labels)
@@ -310,7 +334,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", words: int = 5, percent
         may = (F.col("p.comp") != F.col("comp")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n"))
         may = may & linked(F.col("f") + F.col("p.d"), F.col("n") + F.col("p.n"), percent) & linked(F.col("d") + F.col("p.f"), F.col("n") + F.col("p.n"), percent)
         met = members.join(pivots.select("bucket", "p"), "bucket").where(may)
-        pairs = met.select(F.col("p.key").alias("p"), F.col("key").alias("m"), F.col("p.comp").alias("cp"), F.col("comp").alias("cm")).distinct()
+        pairs = met.select(F.col("p.key").alias("p"), F.col("key").alias("m"), F.col("p.comp").alias("cp"), F.col("comp").alias("cm"), (F.col("n") + F.col("p.n")).alias("nn")).distinct()
+        if sketches is not None:
+            pairs = bits_apart(pairs, sketches).where(linked("apart", F.col("nn"), percent)).drop("apart")
         found = confirmed(cut(pairs), sets, percent).select(F.col("cp").alias("a"), F.col("cm").alias("b"))
         labels = relabelled(labels, found)
         members = members.join(pivots.select("bucket", F.col("p.key").alias("key")), ["bucket", "key"], "left_anti")

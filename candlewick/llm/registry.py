@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlewick.llm import chunk_bpe, hard_negatives, knn_join, near_dedup, quote_linking, token_rollups, warc
+from candlewick.llm import chunk_bpe, hard_negatives, knn_join, near_dedup, parity_join, quote_linking, token_rollups, warc
 from candlewick.llm.best_fit_packing import op6_best_fit_packing
 from candlewick.llm.knn_join import op5_voronoi_knn
 from candlewick.llm.language_id import op3_language_bitmask
@@ -24,6 +24,7 @@ QUERIES: dict = {
     "op10_token_rollups": token_rollups.op10_token_rollups,
     "op11_bitsliced_whitening": op11_bitsliced_whitening,
     "op12_hilbert_negatives": hard_negatives.op12_hilbert_negatives,
+    "op13_parity_jaccard": parity_join.op13_parity_jaccard,
 }
 
 ORACLES: dict = {
@@ -33,4 +34,5 @@ ORACLES: dict = {
     "op9_superminhash_dedup": near_dedup.ORACLE,
     "op10_token_rollups": token_rollups.ORACLE,
     "op12_hilbert_negatives": hard_negatives.ORACLE,
+    "op13_parity_jaccard": parity_join.ORACLE,
 }

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from candlewick.llm import near_dedup
+from candlewick.llm import near_dedup, parity_join
 from candlewick.llm.components import components
 from candlewick.llm.textvec import Texts, blocks
 
@@ -74,6 +74,47 @@ def test_groups_against_brute_force(spark, words, percent):
     assert len(ids) == len(leaders) + 1 + (ids.count(21) > 1) and ids.count(21) <= 2
 
 
+@pytest.mark.parametrize(("words", "percent"), [(3, 90), (2, 70)])
+def test_parity_join_against_brute_force(spark, words, percent):
+    texts = corpus(40, 10 + words)
+    r = random.Random(percent)
+    long = [f"v{i}" for i in range(300)]
+    for n in (10, 12, 19, 20, 27, 28, 41, 60, 300):  # texts that end earlier, one shingle after the other
+        texts += [" ".join(long[:k]) for k in range(n, max(2, n - n // 4), -1)]
+    r.shuffle(texts)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[12]), (None, "nobody else says these words here"), (20, texts[20]), (21, texts[30])]
+    docs = spark.createDataFrame([(*row, "x", 1) for row in rows], "doc_id long, text string, key string, n int").repartition(3)
+    key = lambda x: tuple((v is None, v) for v in x)
+    got = parity_join.jaccard_groups(docs, "doc_id", words, percent)
+    assert sorted([(x["id"], x["n_shingles"], x["component_id"]) for x in got.collect()], key=key) == sorted(brute(rows, words, percent), key=key)
+    assert parity_join.jaccard_groups(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 97])
+def test_linked_sets_share_a_chunk_and_sketches_bound_differences(percent):
+    rng = np.random.default_rng(percent)
+    sets = []
+    for n in [*range(1, 60), 90, 150, 400, 1200]:
+        base = rng.integers(0, 2**63, n + n // 2 + 2)
+        for _ in range(6):
+            # as far apart as a link allows: b drops some of a's elements and has some others
+            drop = int(rng.integers(0, n // 3 + 1))
+            add = int(rng.integers(0, n // 3 + 1))
+            sets += [set(base[:n].tolist()), set(base[drop : n + add].tolist())]
+    key = np.concatenate([np.sort(np.array(list(s), np.uint64)) for s in sets])
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    value, at = parity_join.parities(key, of, len(sets), percent)
+    sketch = parity_join.bit_sketches(key, of, len(sets)).view(np.uint64)
+    linked = 0
+    for i in range(0, len(sets), 2):
+        a, b = sets[i], sets[i + 1]
+        assert np.bitwise_count(sketch[i] ^ sketch[i + 1]).sum() <= len(a ^ b)
+        if a != b and 100 * len(a & b) >= percent * len(a | b):
+            linked += 1
+            assert set(value[at[i] : at[i + 1]].tolist()) & set(value[at[i + 1] : at[i + 2]].tolist())
+    assert linked > 10
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_groups(docs).count() == 0 and near_dedup.one_of_each(docs).count() == 0
