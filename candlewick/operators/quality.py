@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.functions.expressions import finite
+from candlewick.functions.expressions import blank, finite
 
 CANDLE_FIELDS = ["symbol", "window_start", "open", "high", "low", "close", "volume", "trade_count"]
 
@@ -35,8 +35,7 @@ def schema_error(df: DataFrame, required: list[str], corrupt: str | None = None)
 
 def article_error(title: Column, url: Column) -> Column:
     """What an article lacks, or null."""
-    lacks = lambda c: c.isNull() | (F.trim(c) == "")
-    return F.when(lacks(title), "schema: title is required").when(lacks(url), "schema: url is required")
+    return F.when(blank(title), "schema: title is required").when(blank(url), "schema: url is required")
 
 
 NUMBERS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)\z"

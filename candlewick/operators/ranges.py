@@ -67,16 +67,38 @@ def pending(gaps: DataFrame, acked: DataFrame) -> DataFrame:
     return high.join(per, "symbol", "full").select("symbol", F.coalesce("gaps", F.lit(0)).alias("gaps"), F.coalesce("missing", F.lit(0)).alias("missing"), "last_ack")
 
 
+#: Pages of a chunk, and chunks that one row is turned into at once.
+FAN = 4096
+
+
+def page_chunks(gaps: DataFrame, page: int = 1000) -> DataFrame:
+    """(symbol, start, end, first, place, k): runs of at most FAN pages, k each; ``first`` is a run's first id, ``place`` its pages' place among the symbol's.
+
+    A gap is cut into runs step by step, into FAN parts at most, so no row holds more than FAN numbers however long
+    a gap is; runs are then dealt over all tasks.
+    """
+    rows = gaps.select("symbol", "start", "end", F.expr(f"(end - start) div {page} + 1").alias("pages"), _block("start").alias("block"))
+    # pages of a symbol's gaps before this one: within a block of ids by a window, across blocks by their sums
+    per = rows.groupBy("symbol", "block").agg(F.sum("pages").alias("n"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("symbol", "block", F.coalesce(F.sum("n").over(earlier(Window.partitionBy("symbol").orderBy("block"))), F.lit(0)).alias("ahead"))
+    inside = F.coalesce(F.sum("pages").over(earlier(Window.partitionBy("symbol", "block").orderBy("start"))), F.lit(0))
+    rows = rows.withColumn("inside", inside).join(per, ["symbol", "block"])
+    rows = rows.select("symbol", "start", "end", F.lit(0).cast("long").alias("at"), F.col("pages").alias("k"), (F.col("ahead") + F.col("inside")).alias("before"))
+    for run in (FAN**4, FAN**3, FAN**2, FAN):
+        parts = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(k - 1) div {run}"))))
+        rows = parts.select("symbol", "start", "end", (F.col("at") + F.col("part") * run).alias("at"), F.least(F.lit(run), F.col("k") - F.col("part") * run).alias("k"), "before")
+        if run == FAN**2:
+            rows = rows.repartition("symbol", "start", "at")
+    return rows.select("symbol", "start", "end", (F.col("start") + F.col("at") * page).alias("first"), (F.col("before") + F.col("at")).alias("place"), "k")
+
+
 def fetch_plan(gaps: DataFrame, page: int = 1000) -> DataFrame:
     """(round, symbol, from_id, n): pages of at most ``page`` ids, symbols taking turns, each in order of ids."""
-    pages = gaps.select("symbol", F.explode(F.sequence("start", "end", F.lit(page))).alias("from_id"), "end")
-    pages = pages.select("symbol", "from_id", F.least(F.col("end") - F.col("from_id") + 1, F.lit(page)).alias("n"))
-    # the position of a page among its symbol's: within a block of ids by a window, across blocks by their counts
-    pages = pages.withColumn("block", _block("from_id"))
-    per = pages.groupBy("symbol", "block").agg(F.count("*").alias("k"))
-    per = per.select("symbol", "block", F.coalesce(F.sum("k").over(Window.partitionBy("symbol").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    place = F.row_number().over(Window.partitionBy("symbol", "block").orderBy("from_id"))
-    return pages.withColumn("place", place).join(per, ["symbol", "block"]).select((F.col("place") + F.col("ahead")).alias("round"), "symbol", "from_id", "n")
+    runs = page_chunks(gaps, page)
+    pages = runs.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    from_id = F.col("first") + F.col("i") * page
+    return pages.select((F.col("place") + F.col("i") + 1).alias("round"), "symbol", from_id.alias("from_id"), F.least(F.col("end") - from_id + 1, F.lit(page)).alias("n"))
 
 
 def contiguous_pages(rows: DataFrame, limit: int = 1000) -> DataFrame:

@@ -7,51 +7,88 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.functions.expressions import valid_trade
+from candlewick.functions.expressions import once, valid_trade
 
 FIELDS = ["symbol", "trade_id", "price", "quantity", "timestamp"]
 
 
-#: Numbers as JSON or a text may give them; Java's own forms (1d, 0x1p3) are none.
+#: Numbers as a text may give them; Java's own forms (1d, 0x1p3) are none.
 WHOLE = r"^\s*[+-]?[0-9]+\s*\z"
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*\z"
+#: JSON and nothing else: Spark's reader would take single quotes and NaN as well.
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
-def _once(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is computed once, however often ``then`` uses it."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+def _sealed(raw: Column) -> Column:
+    """The text as first element of a JSON array whose second, a seal made of the text's hash, shows that the first is the whole text.
 
+    A reader of JSON stops behind the first value; what follows that would go unnoticed.
+    """
+    return F.concat(F.lit("["), raw, F.lit(',{"_seal":"'), F.xxhash64(raw).cast("string"), F.lit('"}]'))
 
-def contract(raw: Column, symbol: str = "symbol", trade_id: str = "trade_id", price: str = "price", quantity: str = "quantity", at: str = "timestamp") -> Column:
-    """The trade in a JSON text as a struct of FIELDS, or null where it breaks the contract.
 
-    The symbol must be a string; ids and times integers or texts of digits, never true or false
-    or with a point or exponent; price and quantity numbers or numeric texts.
-    """
-    # read as texts, a number keeps the form in which it was written; a map, since names may differ in case alone
-    texts = F.from_json(raw, "map<string,string>")
-    tree = F.try_parse_json(raw)
+def _whole(raw: Column, kind: str, seal: Callable[[Column], Column]) -> Column:
+    """The object in a JSON text as ``kind``; null where the text is not exactly one object."""
+    read = F.from_json(_sealed(raw), f"array<{kind}>", STRICT)
+    return once(read, lambda two: F.when((F.size(two) == 2) & (seal(F.get(two, F.lit(1))) == F.xxhash64(raw).cast("string")), F.get(two, F.lit(0))))
+
+
+def is_json(raw: Column) -> Column:
+    """Whether a text is one JSON value; an object may repeat names."""
+    tree = F.try_variant_get(F.try_parse_json(_sealed(raw)), "$[1]._seal", "string") == F.xxhash64(raw).cast("string")
+    return F.coalesce(tree, F.lit(False)) | _whole(raw, "map<string,string>", lambda m: F.try_element_at(m, F.lit("_seal"))).isNotNull()
+
+
+def _kind(value: Column) -> Column:
+    return F.schema_of_variant(value)
+
+
+def _string(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string")
 
-    def fields(f: Column) -> Column:
-        named = F.schema_of_variant(F.try_variant_get(tree, f"$.{symbol}", "variant")) == "STRING"
-        number = lambda n: F.when(f[n].rlike(NUMBER), F.trim(f[n])).try_cast("double")
-        whole = lambda n: F.when(f[n].rlike(WHOLE), F.trim(f[n])).try_cast("long")
-        own = [F.when(named, F.upper(f[symbol])), whole(trade_id), number(price), number(quantity), whole(at)]
-        return F.struct(*(f.alias(n) for f, n in zip(own, FIELDS, strict=True)))
 
-    return _once(_once(texts, fields), lambda t: F.when(valid_trade(*(t[n] for n in FIELDS)), t))
+def _trade(symbol: Column, trade_id: Column, price: Column, quantity: Column, at: Column) -> Column:
+    """Five JSON values as a struct of FIELDS, or null where they break the contract."""
+    whole = lambda v: F.when((_kind(v) == "BIGINT") | ((_kind(v) == "STRING") & _string(v).rlike(WHOLE)), _string(v)).try_cast("long")
+    number = lambda v: F.when(_kind(v).rlike(r"^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(v, "$", "double")).when((_kind(v) == "STRING") & _string(v).rlike(NUMBER), _string(v).try_cast("double"))
+    own = [F.when(_kind(symbol) == "STRING", F.upper(_string(symbol))), whole(trade_id), number(price), number(quantity), whole(at)]
+    fields = F.struct(*(f.alias(n) for f, n in zip(own, FIELDS, strict=True)))
+    return once(fields, lambda t: F.when(valid_trade(*(t[n] for n in FIELDS)), t))
+
+
+def contract(raw: Column) -> Column:
+    """The trade in a JSON text, an object of FIELDS, as a struct, or null where it breaks the contract.
+
+    The text is one object and nothing more; of a name that repeats the last counts. The symbol must be a string;
+    ids and times integers or texts of digits, never true or false or with a point or exponent; price and quantity numbers or numeric texts.
+    """
+    shape = "struct<" + ",".join(f"{n}:variant" for n in FIELDS) + ",_seal:string>"
+    return once(_whole(raw, shape, lambda s: s["_seal"]), lambda o: _trade(*(o[n] for n in FIELDS)))
 
 
 def parse_envelope(df: DataFrame, column: str = "value") -> DataFrame:
-    """``df`` with ``trade``: of exchange messages, wrapped in ``data`` or bare, those with ``e`` = trade that keep the contract."""
-    inner = F.when(F.try_parse_json(column).isNotNull(), F.coalesce(F.get_json_object(column, "$.data"), F.col(column)))
-    trade = lambda text: F.when(F.try_variant_get(F.try_parse_json(text), "$.e", "string") == "trade", contract(text, "s", "t", "p", "q", "T"))
-    return df.withColumn("trade", _once(inner, trade))
+    """``df`` with ``trade``: of exchange messages, wrapped in ``data`` or bare, those with ``e`` = trade that keep the contract.
+
+    What has the name ``data`` is wrapped, whatever that holds: null or a text there is no trade. Names are told apart by case.
+    """
+    raw = F.col(column).cast("string")
+    seal = lambda m: F.try_element_at(m, F.lit("_seal"))
+    wrapped = F.map_contains_key(_whole(raw, "map<string,string>", seal), F.lit("data"))
+    inner = _whole(raw, "struct<data:map<string,variant>,_seal:string>", lambda s: s["_seal"])["data"]
+    bare = _whole(raw, "map<string,variant>", lambda m: _string(F.try_element_at(m, F.lit("_seal"))))
+
+    def trade(fields: Column) -> Column:
+        named = lambda name: F.try_element_at(F.filter(F.map_entries(fields), lambda e: e["key"] == name), F.lit(-1))["value"]
+        return F.when((_kind(named("e")) == "STRING") & (_string(named("e")) == "trade"), _trade(*(named(n) for n in "stpqT")))
+
+    return df.withColumn("trade", once(F.when(wrapped, inner).when(~wrapped, bare), trade))
 
 
 def decode(df: DataFrame, column: str = "value") -> DataFrame:
-    """``df`` with ``trade``: messages in the normalised form; bytes are read as UTF-8."""
-    return df.withColumn("trade", contract(F.col(column).cast("string")))
+    """``df`` with ``trade``: messages in the normalised form; bytes that are no UTF-8 are no message."""
+    raw = F.col(column)
+    text = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
+    return df.withColumn("trade", contract(text))
 
 
 def trades_of(decoded: DataFrame) -> DataFrame:
@@ -61,7 +98,7 @@ def trades_of(decoded: DataFrame) -> DataFrame:
 def rejects(decoded: DataFrame, column: str = "value") -> DataFrame:
     """(raw, reason) of messages without a trade: at most 2000 characters; non-json or invalid-trade."""
     text = F.col(column).cast("string")
-    reason = F.when(F.try_parse_json(text).isNull(), "non-json").otherwise("invalid-trade")
+    reason = F.when(F.is_valid_utf8(text) & is_json(text), "invalid-trade").otherwise("non-json")
     return decoded.where("trade is null").select(F.substring(text, 1, 2000).alias("raw"), reason.alias("reason"))
 
 

@@ -79,9 +79,18 @@ n AS (
   FROM k)"""
 
 
+STRIP = r"[\s\x1C-\x1F\x0B\x85\p{Z}]+"
+
+
+def strip(text: str) -> str:
+    return f"regexp_replace({text}, '^{STRIP}|{STRIP}$', '', 'g')"
+
+
 def norm(url: str) -> str:
-    bare = f"regexp_replace(trim({url}, ' '), '[?#].*', '')"
-    return f"regexp_extract({bare}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)?(.*)$', 1) || coalesce(nullif(rtrim(regexp_extract({bare}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)?(.*)$', 2), '/'), ''), '/')"
+    bare = f"regexp_replace(regexp_replace({strip(url)}, '[\\t\\r\\n]', '', 'g'), '(?s)[?#].*$', '')"
+    parts = "'^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)?(.*)$'"
+    host = f"regexp_extract({bare}, {parts}, 1)"
+    return f"lower(regexp_extract({host}, '^[A-Za-z][A-Za-z0-9+.-]*:', 0)) || regexp_replace({host}, '^[A-Za-z][A-Za-z0-9+.-]*:', '') || coalesce(nullif(rtrim(regexp_extract({bare}, {parts}, 2), '/'), ''), '/')"
 
 
 CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '[\s\x0B\x85\p{Z}]+', ' ', 'g'), '^ | $', '', 'g')"""
@@ -89,8 +98,10 @@ HTML = "replace(replace(html, '&copy;', '©'), '&middot;', '·') || ' é' || chr
 REPEATED = r"""r0 AS (
   SELECT position, title, url, source, published_at FROM n
   UNION ALL SELECT position + 100000000, title, regexp_replace(url, '\?.*', '') || '#later', source, published_at FROM n WHERE position % 4 = 0),
-r AS (SELECT position, CASE WHEN position % 41 = 0 THEN '  ' ELSE title END AS title, CASE WHEN position % 43 = 0 THEN '' ELSE url END AS url, source FROM r0)"""
-ENTRIES = f"{NEWS}, {REPEATED}, en AS (SELECT * FROM r WHERE trim(title, ' ') <> '' AND trim(url, ' ') <> '')"
+r AS (SELECT position, CASE WHEN position % 41 = 0 THEN '  ' WHEN position % 47 = 0 THEN chr(10) || chr(9) || chr(160) || ' ' ELSE title END AS title,
+  CASE WHEN position % 43 = 0 THEN '' WHEN position % 53 = 0 THEN chr(9) || chr(10) WHEN position % 5 = 0 THEN chr(10) || ' ' || url || ' ' || chr(10) WHEN position % 7 = 0 THEN replace(url, 'https', 'HTTPS') ELSE url END AS url, source FROM r0)"""
+FULL = f"{strip('title')} <> '' AND {strip('url')} <> ''"
+ENTRIES = f"{NEWS}, {REPEATED}, en AS (SELECT * FROM r WHERE {FULL})"
 SNAP = "s AS (SELECT o_orderdate AS collected_at, o_custkey::VARCHAR AS symbol, o_orderpriority AS name, o_totalprice AS price, o_totalprice * 10 AS market_cap, (o_orderkey % 1000 + 1)::DOUBLE AS volume_24h, round(o_totalprice % 20 - 10, 4) AS price_change_24h FROM orders)"
 LATEST = f"{SNAP}, l AS (SELECT * FROM s WHERE collected_at = (SELECT max(collected_at) FROM s))"
 MARKET = """m AS (
@@ -162,12 +173,12 @@ WAREHOUSE = f"""wh0 AS (
 wh AS (SELECT *, round(trades_recent / 600, 1) AS trades_per_min FROM wh0)"""
 
 ORACLES = {
-    "trade_contract": f"WITH {EVENTS} SELECT symbol, trade_id, price, quantity::DOUBLE AS quantity, ms AS timestamp FROM e WHERE trade_id % 50 NOT IN (7, 11, 13, 19) AND {VALID}",
-    "trade_rejects": f"""WITH {EVENTS}, b AS (SELECT *, trade_id % 50 AS k FROM e WHERE trade_id % 50 IN (7, 11, 13, 19) OR NOT ({VALID}))
-        SELECT CASE WHEN k = 7 THEN 'not json ' ELSE '' END || '{{"symbol":"' || symbol || '","trade_id":' || CASE k WHEN 13 THEN trade_id || '.0' WHEN 29 THEN '"+' || trade_id || '"' ELSE trade_id::VARCHAR END
-          || ',"price":"' || CASE k WHEN 11 THEN price || 'd' WHEN 17 THEN ' ' || price || ' ' ELSE price::VARCHAR END || '","quantity":"' || quantity || '","timestamp":' || CASE WHEN k = 19 THEN 'true' ELSE ms::VARCHAR END || '}}' AS raw,
-          CASE WHEN k = 7 THEN 'non-json' ELSE 'invalid-trade' END AS reason FROM b""",
-    "trade_envelope_parse": f"WITH {EVENTS} SELECT symbol, trade_id, price, quantity::DOUBLE AS quantity, ms AS timestamp FROM e WHERE trade_id % 5 <> 0 AND {VALID}",
+    "trade_contract": f"WITH {EVENTS} SELECT symbol, trade_id, price, quantity::DOUBLE AS quantity, ms AS timestamp FROM e WHERE trade_id % 50 NOT IN (7, 11, 13, 19, 23, 37) AND {VALID}",
+    "trade_rejects": f"""WITH {EVENTS}, b AS (SELECT *, trade_id % 50 AS k FROM e WHERE trade_id % 50 IN (7, 11, 13, 19, 23, 37) OR NOT ({VALID}))
+        SELECT CASE WHEN k = 7 THEN 'not json ' ELSE '' END || CASE WHEN k = 31 THEN '{{"symbol":5,"symbol":"' ELSE '{{"symbol":"' END || symbol || '","trade_id":' || CASE k WHEN 13 THEN trade_id || '.0' WHEN 29 THEN '"+' || trade_id || '"' ELSE trade_id::VARCHAR END
+          || ',"price":"' || CASE k WHEN 11 THEN price || 'd' WHEN 17 THEN ' ' || price || ' ' ELSE price::VARCHAR END || '","quantity":"' || quantity || '","timestamp":' || CASE WHEN k = 19 THEN 'true' ELSE ms::VARCHAR END || '}}' || CASE k WHEN 23 THEN ' trailing' WHEN 37 THEN '] {{}}' ELSE '' END AS raw,
+          CASE WHEN k IN (7, 23, 37) THEN 'non-json' ELSE 'invalid-trade' END AS reason FROM b""",
+    "trade_envelope_parse": f"WITH {EVENTS} SELECT symbol, trade_id, price, quantity::DOUBLE AS quantity, ms AS timestamp FROM e WHERE trade_id % 5 <> 0 AND trade_id % 11 <> 0 AND trade_id % 13 <> 0 AND {VALID}",
     "trade_distinct": f"WITH {TRADES} SELECT DISTINCT symbol, trade_id, price, quantity::DOUBLE AS quantity, ms AS timestamp FROM (SELECT * FROM v UNION ALL SELECT * FROM v WHERE trade_id % 10 = 0)",
     "trade_id_conflicts": f"WITH {TRADES} SELECT symbol, trade_id, count(DISTINCT (price, quantity, ms)) AS versions FROM (SELECT * FROM v UNION ALL SELECT symbol, trade_id, price + 1, quantity, ms FROM v WHERE trade_id % 97 = 0) GROUP BY 1, 2 HAVING count(DISTINCT (price, quantity, ms)) > 1",
     "ohlcv_1m": f"WITH {TRADES}, {candles(60)} SELECT {CANDLE} FROM c",
@@ -218,18 +229,22 @@ ORACLES = {
     "news_by_hour": f"WITH {NEWS} SELECT hour(published_at)::INT AS hour, count(*) AS n FROM n GROUP BY 1",
     "latest_news": f"WITH {NEWS} SELECT title, source, array_to_string(symbols, ',') AS symbols, sentiment, collected_at FROM n ORDER BY collected_at DESC, position LIMIT 10",
     "news_entry_filter": f"WITH {ENTRIES} SELECT position, url FROM en",
-    "news_quarantine": f"WITH {NEWS}, {REPEATED} SELECT 'news' AS pipeline, position, CASE WHEN trim(title, ' ') = '' THEN 'schema: title is required' ELSE 'schema: url is required' END AS error FROM r WHERE trim(title, ' ') = '' OR trim(url, ' ') = ''",
+    "news_quarantine": f"WITH {NEWS}, {REPEATED} SELECT 'news' AS pipeline, position, CASE WHEN {strip('title')} = '' THEN 'schema: title is required' ELSE 'schema: url is required' END AS error FROM r WHERE NOT ({FULL})",
     "news_dedupe_url": f"WITH {ENTRIES} SELECT {norm('url')} AS url, min(position) AS position FROM en GROUP BY 1",
-    "news_stage_counts": f"""WITH {NEWS}, {REPEATED}, u AS (SELECT {norm('url')} AS url, position, trim(title, ' ') <> '' AND {norm('url')} <> '/' AS ok FROM r),
+    "news_stage_counts": f"""WITH {NEWS}, {REPEATED}, u AS (SELECT {norm('url')} AS url, position, {strip('title')} <> '' AND {norm('url')} <> '/' AS ok FROM r),
         g AS (SELECT url, count(*) AS raw, count(*) FILTER (ok) AS usable, min(position) FILTER (ok) AS first FROM u GROUP BY 1)
         SELECT sum(raw)::BIGINT AS raw, sum(usable)::BIGINT AS usable, count(*) FILTER (usable > 0) AS deduped, count(*) FILTER (usable > 0 AND first % 3 <> 0) AS inserted, count(*) FILTER (usable > 0 AND first % 3 = 0) AS skipped FROM g""",
-    "url_normalize": f"SELECT page_id, {norm('url')} AS url FROM pages",
+    "url_normalize": f"""SELECT page_id, {norm('u')} AS url FROM (SELECT page_id, CASE page_id % 5 WHEN 1 THEN ' ' || chr(10) || chr(9) || url || chr(160) || chr(10) WHEN 2 THEN url[:12] || chr(10) || chr(9) || url[13:]
+        WHEN 3 THEN regexp_replace(url, '^https', 'HTTPS') WHEN 4 THEN url || '?a' || chr(10) || 'b#c' ELSE url END AS u FROM pages)""",
     "clean_text_full": f"SELECT page_id, {CLEAN.replace('html,', HTML + ',')} AS text FROM pages",
     "clean_text": f"SELECT page_id, {CLEAN} AS text FROM pages",
     "page_content": "SELECT page_id, coalesce(nullif(CASE WHEN page_id % 2 = 0 THEN regexp_extract(html, '<p>([^<]*)</p>', 1) END, ''), nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), nullif(url, ''), '') AS content FROM pages",
     "news_from_pages": f"SELECT * FROM (SELECT page_id, {norm('url')} AS url, trim(regexp_extract(html, '<title>([^<]*)</title>', 1), ' ') AS title, {CLEAN} AS content FROM pages) WHERE url <> '' AND title <> ''",
     "feed_sanitize": "SELECT page_id, '<item><link>' || url || '</link></item>' AS feed FROM pages",
-    "parse_published": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN date_trunc('second', ts) END AS published_at FROM events",
+    # by the form of a date: to the millisecond, second, minute, day or month; no date; with the hours from UTC that its zone has
+    "parse_published": """SELECT event_id, CASE WHEN k = 8 THEN date_trunc('millisecond', ts) WHEN k IN (3, 26, 27) THEN NULL WHEN k < 16 THEN date_trunc('second', ts) WHEN k < 20 THEN date_trunc('minute', ts) WHEN k < 25 THEN date_trunc('day', ts)
+        WHEN k = 25 THEN date_trunc('month', ts) WHEN k < 33 THEN date_trunc('second', ts) + to_minutes([300, 420, -120, 210, -330][k - 27]::INT) ELSE date_trunc('second', ts) END::TIMESTAMP AS published_at
+        FROM (SELECT *, event_id % 34 AS k FROM events)""",
     "news_market_correlation": f"WITH {HOURLY}, {changes()}, {NEWS} SELECT title, published_at, symbol, {AT}, round(raw_1, 6) AS price_change FROM n JOIN p ON make_timestamp((ws * 1000000)::BIGINT) BETWEEN published_at - INTERVAL 10 MINUTES AND published_at + INTERVAL 10 MINUTES WHERE abs(raw_1) > 1",
     "news_market_correlation_lag": f"WITH {HOURLY}, {LAG}, {NEWS} SELECT title, symbol, {AT}, price_change FROM n JOIN q ON make_timestamp((ws * 1000000)::BIGINT) BETWEEN published_at - INTERVAL 10 MINUTES AND published_at + INTERVAL 10 MINUTES WHERE abs(price_change) > 1",
     "top_market_cap": f"WITH {LATEST} SELECT symbol, name, price, market_cap FROM l ORDER BY market_cap DESC NULLS FIRST, symbol, volume_24h LIMIT 10",

@@ -47,11 +47,12 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = a.events_as_trades(spark, sf_dir)
     k = F.col("trade_id") % 50
     name, price, quantity, number, at = (F.col(c).cast("string") for c in ("symbol", "price", "quantity", "trade_id", "timestamp"))
-    # some in forms that only the contract tells apart: a Java number, a whole number with a point, true, a sign, white space
+    # some in forms that only the contract tells apart: a Java number, a whole number with a point, true, a sign, white space, a name that repeats, text behind the object
     price = F.when(k == 11, F.concat(price, F.lit("d"))).when(k == 17, F.concat(F.lit(" "), price, F.lit(" "))).otherwise(price)
     number = F.when(k == 13, F.concat(number, F.lit(".0"))).when(k == 29, F.concat(F.lit('"+'), number, F.lit('"'))).otherwise(number)
     at = F.when(k == 19, F.lit("true")).otherwise(at)
     text = F.concat(F.lit('{"symbol":"'), name, F.lit('","trade_id":'), number, F.lit(',"price":"'), price, F.lit('","quantity":"'), quantity, F.lit('","timestamp":'), at, F.lit("}"))
+    text = F.when(k == 31, F.concat(F.lit('{"symbol":5,'), F.substring(text, 2, 10_000))).when(k == 23, F.concat(text, F.lit(" trailing"))).when(k == 37, F.concat(text, F.lit("] {}"))).otherwise(text)
     return e.select("trade_id", F.when(k == 7, F.concat(F.lit("not json "), text)).otherwise(text).cast("binary").alias("value"))
 
 
@@ -70,6 +71,9 @@ def trade_envelope_parse(spark, sf_dir):
     e = a.events_as_trades(spark, sf_dir)
     inner = F.to_json(F.struct(F.when(F.col("trade_id") % 5 == 0, "aggTrade").otherwise("trade").alias("e"), F.col("trade_id").alias("t"), F.col("symbol").alias("s"), F.col("price").cast("string").alias("p"), F.col("quantity").cast("string").alias("q"), F.col("timestamp").alias("T")))
     wrapped = F.when(F.col("trade_id") % 2 == 0, F.concat(F.lit('{"stream":"x","data":'), inner, F.lit("}"))).otherwise(inner)
+    # a null under "data" is no trade, though one stands beside it; nor is one with text behind it
+    beside = F.concat(F.lit('{"data":null,'), F.substring(inner, 2, 10_000))
+    wrapped = F.when(F.col("trade_id") % 11 == 0, beside).when(F.col("trade_id") % 13 == 0, F.concat(wrapped, F.lit(" {}"))).otherwise(wrapped)
     return _doubles(t.trades_of(t.parse_envelope(e.select(wrapped.alias("value")))))
 
 
@@ -375,11 +379,13 @@ def _repeated_news(spark, sf_dir):
     again = rows.where("position % 4 = 0").withColumn("position", F.col("position") + 100_000_000).withColumn("url", F.concat(F.regexp_replace("url", r"\?.*", ""), F.lit("#later")))
     rows = rows.unionByName(again)
     k = F.col("position")
-    return rows.withColumn("title", F.when(k % 41 == 0, F.lit("  ")).otherwise(F.col("title"))).withColumn("url", F.when(k % 43 == 0, F.lit("")).otherwise(F.col("url")))
+    title = F.when(k % 41 == 0, F.lit("  ")).when(k % 47 == 0, F.lit("\n\t\u00a0 ")).otherwise(F.col("title"))
+    url = F.when(k % 43 == 0, F.lit("")).when(k % 53 == 0, F.lit("\t\n")).when(k % 5 == 0, F.concat(F.lit("\n "), F.col("url"), F.lit(" \n"))).when(k % 7 == 0, F.regexp_replace("url", "https", "HTTPS")).otherwise(F.col("url"))
+    return rows.withColumn("title", title).withColumn("url", url)
 
 
 def _entries(spark, sf_dir):
-    return _repeated_news(spark, sf_dir).where((F.trim("title") != "") & (F.trim("url") != ""))
+    return _repeated_news(spark, sf_dir).where(~x.blank(F.col("title")) & ~x.blank(F.col("url")))
 
 
 @query
@@ -405,7 +411,7 @@ def news_dedupe_url(spark, sf_dir):
 def news_stage_counts(spark, sf_dir):
     """Rows read, with an address and a title, distinct, and new against a store of every third."""
     rows = _repeated_news(spark, sf_dir).withColumn("url", x.normalized_url(F.col("url")))
-    usable = (F.trim("title") != "") & (F.col("url") != "/")
+    usable = ~x.blank(F.col("title")) & (F.col("url") != "/")
     per = rows.groupBy("url").agg(F.count("*").alias("raw"), F.count_if(usable).alias("usable"), F.min(F.when(usable, F.col("position"))).alias("first"))
     new = (F.col("usable") > 0) & (F.col("first") % 3 != 0)
     return per.agg(F.sum("raw").alias("raw"), F.sum("usable").alias("usable"), F.count_if(F.col("usable") > 0).alias("deduped"), F.count_if(new).alias("inserted"), (F.count_if(F.col("usable") > 0) - F.count_if(new)).alias("skipped"))
@@ -413,7 +419,11 @@ def news_stage_counts(spark, sf_dir):
 
 @query
 def url_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", x.normalized_url(F.col("url")).alias("url"))
+    """Addresses as they stand, and with white space around, tabs and line ends inside, a scheme in capitals, a query over several lines."""
+    k = F.col("page_id") % 5
+    url = F.when(k == 1, F.concat(F.lit(" \n\t"), F.col("url"), F.lit("\u00a0\n"))).when(k == 2, F.concat(F.substring("url", 1, 12), F.lit("\n\t"), F.substring(F.col("url"), 13, 10_000)))
+    url = url.when(k == 3, F.regexp_replace("url", "^https", "HTTPS")).when(k == 4, F.concat("url", F.lit("?a\nb#c"))).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", x.normalized_url(url).alias("url"))
 
 
 @query
@@ -455,9 +465,18 @@ def feed_sanitize(spark, sf_dir):
 def parse_published(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     at = F.col("ts").cast("timestamp")
-    k = F.col("event_id") % 4
-    text = F.when(k == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.concat(F.lit("Mon, "), F.date_format(at, "d MMM yyyy HH:mm:ss"), F.lit(" +0000"))).when(k == 2, F.date_format(at, "yyyy-MM-dd HH:mm:ss")).otherwise(F.lit("yesterday"))
-    return e.select("event_id", x.parsed_published(text).cast("timestamp_ntz").alias("published_at"))
+    forms = [
+        "yyyy-MM-dd'T'HH:mm:ss'Z'", "EEE, d MMM yyyy HH:mm:ss' +0000'", "yyyy-MM-dd HH:mm:ss", "'yesterday 'HH", "EEE, dd MMM yyyy HH:mm:ss' GMT'", "d MMM yy HH:mm:ss' UT'", "yyyyMMdd'T'HHmmss", "yyyyMMdd'T'HHmmss'Z'",
+        "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "EEEE, dd-MMM-yy HH:mm:ss' GMT'", "EEE MMM d HH:mm:ss yyyy", "MMM d, yyyy hh:mm:ss a", "yyyy-MM-dd'T'HH:mm:ss'+00:00'", "yyyy/MM/dd HH:mm:ss", "yyyy-DDD'T'HH:mm:ss", "' 'yyyy-MM-dd'T'HH:mm:ss'Z '",
+        "d MMM yyyy HH:mm", "EEE, d MMM yyyy HH:mm' Z'", "yyyyMMdd'T'HHmm", "yyyy-MM-dd'T'HH:mm'Z'", "d MMM yyyy", "yyyyMMdd", "yyyy-MM-dd", "MMMM d, yyyy", "yyyy-DDD", "yyyy-MM", "'2024-02-30 'HH:mm:ss", "'Mon, 31 Apr 2024 'HH:mm:ss",
+    ]
+    zoned = [("EEE, d MMM yyyy HH:mm:ss' EST'", 5), ("d MMM yyyy HH:mm:ss' PDT'", 7), ("yyyy-MM-dd'T'HH:mm:ss'+02:00'", -2), ("yyyyMMdd'T'HHmmss'-0330'", 3.5), ("EEE, d MMM yyyy HH:mm:ss' +0530 (x)'", -5.5)]
+    k = F.col("event_id") % (len(forms) + len(zoned) + 1)
+    text = F.lit(None).cast("string")
+    for i, form in enumerate([*forms, *(f for f, _ in zoned)]):
+        text = F.when(k == i, F.date_format(at, form)).otherwise(text)
+    week = F.concat(F.extract(F.lit("YEAROFWEEK"), at).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(at).cast("string"), 2, "0"), F.lit("-"), (F.weekday(at) + 1).cast("string"), F.date_format(at, "'T'HH:mm:ss"))
+    return e.select("event_id", x.parsed_published(F.when(k == len(forms) + len(zoned), week).otherwise(text)).cast("timestamp_ntz").alias("published_at"))
 
 
 # joins

@@ -31,9 +31,26 @@ def test_text(spark):
     when = lambda t: one(spark, lambda c: x.parsed_published(c).cast("timestamp_ntz"), t)
     assert when("Mon, 02 Sep 2024 10:00:00 +0200") == datetime(2024, 9, 2, 8) == when("2024-09-02T08:00:00Z") == when("2 Sep 2024 08:00:00 GMT")
     assert when("2024-09-02 08:00:00") == datetime(2024, 9, 2, 8) and when("soon") is None and when(None) is None
+    for odd, want in [("\n https://a.b/c/ \n", "https://a.b/c"), ("https://a.b/c\nd", "https://a.b/cd"), ("HTTP://A.b/C/?x#y", "http://A.b/C"), ("x?y\nz", "x"), ("\u00a0https://a.b/\u2003", "https://a.b/"), ("mailto:x@y", "mailto:x@y"), ("//h/p/", "//h/p"), ("", "/")]:
+        assert url(odd) == want
+    assert [one(spark, x.blank, t) for t in ("\n\t\u00a0 ", "", None, " a")] == [True, True, True, False]
     assert one(spark, x.sanitized_feed, "<a><content:encoded/><content:encoded>b</content:encoded></a>") == "<a><content:encoded>b</content:encoded></a>"
 
 
+def test_dates(spark):
+    d = lambda *t: datetime(2024, 9, 2, *t)
+    forms = {
+        "2024-09-02T08:00:00Z": d(8), "2024-09-02 08:00": d(8), "2024-09-02": d(), "2024-09": datetime(2024, 9, 1), "20240902": d(), "20240902T080000": d(8), "20240902T080000.5+0200": d(6, 0, 0, 500000),
+        "2024-09-02T08:00:00,25Z": d(8, 0, 0, 250000), "2024-09-02T08": d(8), "2024-W36-1": d(), "2024W361T08": d(8), "2024-W36": d(), "2024-246": d(), "2024246T0800": d(8), "2020-W53-7": datetime(2021, 1, 3), "2024-366": datetime(2024, 12, 31),
+        "2024-09-01T24:00:00Z": d(), "2024-09-02T08:00:00-05": d(13), "Mon, 02 Sep 2024 10:00:00 +0200": d(8), "2 Sep 24 08:00 GMT": d(8), "Mon, 2 Sep 2024 08:00": d(8), "2 Sep 95 08:00 EST": datetime(1995, 9, 2, 13),
+        "Monday, 02-Sep-24 08:00:00 UTC": d(8), "Sep 2, 2024 8:00 PM": d(20), "Sep 2, 2024 12:05 am": d(0, 5), "September 2, 2024": d(), "Mon Sep  2 08:00:00 2024": d(8), "Mon Sep  2 08:00:00 GMT 2024": d(8), "2024/9/2 08:00": d(8),
+        "2 September 2024": d(), "Mon, 02 Sep 2024 10:00:00 GMT (London)": d(10), "Mon, 02 Sep 2024 08:00:00 PDT": d(15), "Mon, 02 Sep 2024 08:00:00 XYZ": d(8), "\n2024-09-02T08:00:00.123456789+05:30\t": d(2, 30, 0, 123456),
+        "2024-02-30": None, "2024-13-01": None, "2023-366": None, "2021-W53-1": None, "2024-09-02T25:00": None, "2024-09-02T08:00:60Z": None, "31 Apr 2024": None, "13:00 PM": None, "yesterday": None, "": None,
+    }
+    got = spark.createDataFrame(list(enumerate(forms)), "i int, v string").select("i", x.parsed_published(F.col("v")).cast("timestamp_ntz").alias("at")).orderBy("i").collect()
+    assert {text: r["at"] for text, r in zip(forms, got, strict=True)} == forms
+
+
 def test_symbols_and_sentiment(spark):
     tag = lambda t: one(spark, lambda c: x.symbols_in(x.tokens(c), vocabulary.SYMBOL_KEYWORDS), t)
     assert tag("cardano and TRON beat litecoin, solar is none") == ["ADA", "LTC", "TRX"] and tag("nothing") == []
@@ -146,6 +163,9 @@ def test_ranges(spark):
     assert listed(ranges.subtracted(failed, closed(spark, [("S", 12, 12)]))) == [("S", 11, 11), ("S", 13, 13), ("S", 20, 20)]
     plan = ranges.fetch_plan(closed(spark, [("A", 1, 2500), ("B", 5, 5)])).orderBy("round", "symbol").collect()
     assert [tuple(r) for r in plan] == [(1, "A", 1, 1000), (1, "B", 5, 1), (2, "A", 1001, 1000), (3, "A", 2001, 500)]
+    far = ranges.page_chunks(closed(spark, [("A", 10, 3 * 10**12 + 9), ("A", 4 * 10**12, 4 * 10**12), ("B", 0, 2**62)]).where("symbol = 'A'"))
+    assert far.agg(F.sum("k"), F.max("k"), F.count("*")).first()[:] == (3 * 10**9 + 1, ranges.FAN, 732423)
+    assert tuple(far.orderBy(F.desc("place")).first()) == ("A", 4 * 10**12, 4 * 10**12, 4 * 10**12, 3 * 10**9, 1)
     pages = spark.createDataFrame([(0, 1), (0, 2), (1, 5), (1, 7), (2, 9), (2, 9)], "page long, id long")
     assert {r["page"]: r["contiguous"] for r in ranges.contiguous_pages(pages).collect()} == {0: True, 1: False, 2: False}
 

@@ -67,9 +67,24 @@ def test_contract(spark):
     assert [r["trade"] and tuple(r["trade"]) for r in kept] == [("BTCUSDT", 7, 1.5, 2.0, T0)] * len(odd)
 
 
+def test_only_one_whole_object_is_a_trade(spark):
+    good = json.dumps({"symbol": "BTC", "trade_id": 7, "price": "1.5", "quantity": 2, "timestamp": T0})
+    kept = [" " + good + "\n", '{"symbol":"A","n":{"x":1,"x":2},' + good[1:], good[:-1] + ',"_seal":"5"}', good[:-1] + ',"symbol":"btc"}']
+    odd = [good + " trailing", good + "] {", good + "," + good, good + '},{"_seal":"1"', good[:-1], good.replace('"', "'"), good.replace('"1.5"', "NaN"), "[" + good + "]", good[:-1] + ',"symbol":5}']
+    rows = trades.decode(spark.createDataFrame([(i, t.encode()) for i, t in enumerate(kept + odd)] + [(99, good.encode()[:-1] + b',"x":"\xff"}')], "i int, value binary"))
+    got = {r["i"]: r["trade"] and tuple(r["trade"]) for r in rows.collect()}
+    assert [got.pop(i) for i in range(len(kept))] == [("BTC", 7, 1.5, 2.0, T0)] * len(kept) and not any(got.values())
+    why = [r["reason"] for r in trades.rejects(rows).collect()]
+    assert why.count("invalid-trade") == 2 and len(why) == len(odd) + 1  # the array, and the symbol whose last value is a number
+
+
 def test_envelope_and_rejects(spark):
     inner = {"e": "trade", "t": 123, "s": "BTCUSDT", "p": "112345.12", "q": "0.023", "T": 1757578923123}
     texts = [json.dumps({"stream": "x", "data": inner}), json.dumps(inner), "{}", json.dumps({"data": inner | {"e": "aggTrade"}}), json.dumps(inner | {"p": "-1"}), "no" * 2000]
+    beside = [json.dumps({"data": d} | inner) for d in (None, json.dumps(inner), [inner], 5)] + [json.dumps(inner) + "x"]
+    assert trades.trades_of(trades.parse_envelope(spark.createDataFrame([(t,) for t in beside], "value string"))).isEmpty()
+    last = '{"data":{"e":"x"},"data":{"e":"no",' + json.dumps(inner | {"E": 1, "S": "x"})[1:] + "}"
+    assert trades.trades_of(trades.parse_envelope(spark.createDataFrame([(last,)], "value string"))).first()["symbol"] == "BTCUSDT"
     rows = trades.parse_envelope(spark.createDataFrame([(t,) for t in texts], "value string"))
     assert [tuple(r) for r in trades.trades_of(rows).collect()] == [("BTCUSDT", 123, 112345.12, 0.023, 1757578923123)] * 2
     got = [(len(r["raw"]), r["reason"]) for r in trades.rejects(rows).collect()]
