@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import gc
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.session import cut, shared_dir, ship, table
 
-__all__ = ["bounded_sample", "crc_mod", "cut", "dropped", "few", "release", "shared_dir", "ship", "table"]
+__all__ = ["Tables", "bounded_sample", "crc_mod", "cut", "dropped", "few", "release", "shared_dir", "ship", "table"]
 
 
 def crc_mod(column: str, by: int) -> Column:
@@ -57,3 +58,31 @@ def dropped(spark: SparkSession, path: str) -> None:
     """Delete a folder that was written under the shared one."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class Tables:
+    """Frames of one computation as Parquet under the shared folder, deleted round by round.
+
+    Reading a frame back cuts its lineage, and its size is that of its files: a checkpoint keeps the estimate of
+    the plan it came from, which joins multiply from round to round.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.top, self.made = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}", {}
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{self.top}/{len(self.made)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.made[path] = out
+        return out
+
+    def drop_since(self, mark: int, *kept: DataFrame | None) -> None:
+        """Delete what was written since there were ``mark`` frames, but for those in ``kept``."""
+        for path, df in list(self.made.items())[mark:]:
+            if df is not None and not any(df is k for k in kept):
+                dropped(self.spark, path)
+                self.made[path] = None
+
+    def drop(self) -> None:
+        dropped(self.spark, self.top)

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm.common import cut
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(node, comp) for every node of ``edges`` (columns a, b); comp is the component's smallest node.
 
     Each round hooks every remaining component to its smallest neighbour,
     shortens the resulting chains by pointer jumping and contracts the edges, so
     the edge table shrinks from round to round. Minima are pre-aggregated before
-    they are shuffled; nothing is gathered by component. Null ends are ignored.
+    they are shuffled; nothing is gathered by component. Null ends are ignored. ``cut`` materialises a frame.
     """
     edges = cut(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import cut, few, release, ship, table
+from candlewick.llm.common import Tables, few, release, ship, table
 from candlewick.llm.components import components
 from candlewick.llm.textvec import BYTE_CODE, Texts, blocks, mix, span_hash
 
@@ -153,7 +153,7 @@ def classes_of(docs: DataFrame, id_col: str, words: int, places: int) -> DataFra
     return docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"id {kind}, text_key long, key binary, n long, bands array<long>")
 
 
-def sets_of(docs: DataFrame, id_col: str, wanted: DataFrame, words: int) -> DataFrame:
+def sets_of(docs: DataFrame, id_col: str, wanted: DataFrame, words: int, cut) -> DataFrame:
     """(key, elements) for the classes in ``wanted`` (id, text_key, key), from one text of each."""
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("text_key"), "text")
     own = own.join(few(wanted.toDF("_id", "_text_key", "key")), F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text_key"))).select("key", "text")
@@ -196,12 +196,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_sets(pairs, sets).where(100 * common >= percent * (F.size("sp") + F.size("sm") - common)).select(*pairs.columns)
 
 
-def relabelled(labels: DataFrame | None, ends: DataFrame) -> DataFrame | None:
+def relabelled(labels: DataFrame | None, ends: DataFrame, cut) -> DataFrame | None:
     """Labels (node, comp) after the links ``ends`` (a, b) between components; a node without a row is its own component."""
     ends = cut(ends.where("a <> b").distinct())
     if ends.isEmpty():
         return labels
-    new = components(ends)
+    new = components(ends, cut)
     if labels is None:
         return new
     moved = labels.join(new.toDF("comp", "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
@@ -228,7 +228,7 @@ def reach(members: DataFrame, by: str, percent: int) -> DataFrame:
     return members.join(group, by).where((d + F.col("least_f") <= 0) & (f + F.col("least_d") <= 0)).select(*members.columns)
 
 
-def postings(members: DataFrame, percent: int) -> DataFrame:
+def postings(members: DataFrame, percent: int, cut) -> DataFrame:
     """(bucket, key, n, d, f) of ``members`` (space, key, n, comp, d, least, elements), one row per rare element.
 
     A space compares its members by the difference of their elements from the
@@ -258,8 +258,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", words: int = 5, percent
     but 3.4 in a million at 0.85 and 120 places. Every later step is exact.
     """
     ship(docs.sparkSession)
-    rows = cut(classes_of(docs, id_col, words, places))
-    one = cut(rows.where("n > 0").groupBy("key").agg(named().alias("of"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    tables = Tables(docs.sparkSession)
+    rows = tables.cut(classes_of(docs, id_col, words, places))
+    one = tables.cut(rows.where("n > 0").groupBy("key").agg(named().alias("of"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     return grouped(docs, id_col, words, percent, rows, one, one.select("key", "n", F.explode("bands").alias("bucket")))
 
 
@@ -269,24 +270,38 @@ def named() -> Column:
 
 
 def bits_apart(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """``pairs`` (p, m and more) with ``apart``, the bits in which their sketches (key, sketch) differ."""
-    differ = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    """``pairs`` (p, np, m, n and more) with ``apart``, a lower bound of the elements that only one of the two has.
+
+    It is the bits in which their sketches (key, sketch) differ, the longer of two folded to the shorter's length, or the difference of the sizes.
+    """
+    half = lambda c: (F.size(c) / 2).cast("int")
+    folded = lambda c: F.zip_with(F.slice(c, 1, half(c)), F.slice(c, half(c) + 1, half(c)), lambda x, y: x.bitwiseXOR(y))
+    fit = lambda c, other: F.when(F.size(c) == 2 * F.size(other), folded(c)).otherwise(F.col(c))
+    differ = F.aggregate(F.zip_with(fit("_a", "_b"), fit("_b", "_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    same = F.size("_a").between(half("_b"), 2 * F.size("_b"))
     both = pairs.join(sketches.toDF("p", "_a"), "p").join(sketches.toDF("m", "_b"), "m")
-    return both.withColumn("apart", differ.cast("long")).drop("_a", "_b")
+    return both.withColumn("apart", F.greatest(F.abs(F.col("n") - F.col("np")), F.when(same, differ).otherwise(0)).cast("long")).drop("_a", "_b")
 
 
-def grouped(docs: DataFrame, id_col: str, words: int, percent: int, rows: DataFrame, one: DataFrame, spread: DataFrame, sketches: DataFrame | None = None) -> DataFrame:
+def grouped(docs: DataFrame, id_col: str, words: int, percent: int, rows: DataFrame, one: DataFrame, spread: DataFrame, sketches: DataFrame | None = None, turns: int = TURNS, stay: int | None = None) -> DataFrame:
     """The groups that ``near_groups`` returns, from buckets in which every linked pair meets or is lost.
 
     rows: (id, text_key, key, n) of every document; one: (key, of, n) of every class; spread: (key, n, bucket).
     ``sketches`` (key, sketch) may bound differences from below: pairs that they refute are not compared on full sets.
+    A member that differs from its pivot in more than ``stay`` / (100 + percent) of its size stays in the bucket for the next of the ``turns``.
     """
+    stay = 3 * percent - 100 if stay is None else stay
+    # two linked members are both compared by their differences from the pivot, or both stay: these differ by no more than a link allows
+    near_by = -(-(stay + 100 - percent) * 100 // percent) + 100 - percent
+    tables = Tables(docs.sparkSession)
+    cut = tables.cut
     crowded = cut(spread.join(spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"))
     weight = crowded.groupBy("key").agg(F.sum("size").alias("weight"))
     members = cut(crowded.join(weight, "key").select("bucket", "key", "n", "weight"))
-    sets = sets_of(docs, id_col, one.join(weight, "key", "left_semi").select("of.id", "of.text_key", "key"), words)
+    sets = sets_of(docs, id_col, one.join(weight, "key", "left_semi").select("of.id", "of.text_key", "key"), words, cut)
     labels, dealt = None, []
-    for _ in range(TURNS):
+    for _ in range(turns):
+        mark = len(tables.made)
         # one pivot a bucket, the class that meets the most others, so that a group's buckets share theirs
         pivots = members.groupBy("bucket").agg(F.max(F.struct("weight", "key", "n")).alias("p"))
         seated = cut(members.join(pivots, "bucket").where("p.key <> key").select("bucket", "key", "n", "weight", F.col("p.key").alias("p"), F.col("p.n").alias("np")))
@@ -295,19 +310,18 @@ def grouped(docs: DataFrame, id_col: str, words: int, percent: int, rows: DataFr
         pairs = cut(seated.select("p", "np", F.col("key").alias("m"), "n").distinct())
         far = None
         if sketches is not None:
-            told = cut(bits_apart(pairs, sketches).withColumn("far", (100 + percent) * F.col("apart") > (300 - percent) * F.greatest("n", "np")))
+            told = cut(bits_apart(pairs, sketches).withColumn("far", (100 + percent) * F.col("apart") > near_by * F.col("n")))
             pairs, far = told.where("not far").select(*pairs.columns), told.where("far").select("p", F.col("m").alias("key"), F.col("apart").alias("d"), F.lit(False).alias("hit"))
         met = with_sets(pairs, sets).select("p", F.col("m").alias("key"), (F.col("n") + F.col("np") - 2 * F.size(F.array_intersect("sp", "sm"))).cast("long").alias("d"), linked(F.col("n") + F.col("np") - 2 * F.size(F.array_intersect("sp", "sm")), F.col("n") + F.col("np"), percent).alias("hit"))
         met = cut(met if far is None else met.unionByName(far))
         hits = met.where("hit").select(F.col("p").alias("a"), F.col("key").alias("b"))
-        labels = relabelled(labels, labelled(labelled(hits.withColumnRenamed("a", "key"), labels).select(F.col("comp").alias("a"), F.col("b").alias("key")), labels).select("a", F.col("comp").alias("b")))
+        labels = relabelled(labels, labelled(labelled(hits.withColumnRenamed("a", "key"), labels).select(F.col("comp").alias("a"), F.col("b").alias("key")), labels).select("a", F.col("comp").alias("b")), cut)
         seated = labelled(seated, labels)
         mixed = seated.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
         seated = cut(seated.join(mixed, "bucket").join(met, ["p", "key"]))
-        # who is near its pivot is compared there, who is not stays in the bucket, who is between does both: of two linked members
-        # one is nearer than it stays, or both stay, since differences from the pivot differ by no more than a link allows
-        near = seated.where((100 + percent) * F.col("d") <= (300 - percent) * F.col("n")).select("p", "np", "key", "n", "comp", "d", "hit").distinct()
-        members = cut(seated.where((100 + percent) * F.col("d") > (3 * percent - 100) * F.col("n")).select("bucket", "key", "n", "weight"))
+        # who is near its pivot is compared there, who is not stays in the bucket, who is between does both
+        near = seated.where((100 + percent) * F.col("d") <= near_by * F.col("n")).select("p", "np", "key", "n", "comp", "d", "hit").distinct()
+        members = cut(seated.where((100 + percent) * F.col("d") > stay * F.col("n")).select("bucket", "key", "n", "weight"))
         sizes = (100 - percent) * (F.col("n") + F.col("np"))
         apart = F.greatest(F.lit(1), F.ceil(((100 + percent) * F.col("d") - sizes) / 200))
         close = F.floor(((100 + percent) * F.col("d") + (100 - percent) * (F.col("np") - F.col("n"))) / (2 * (100 + percent))) + 1
@@ -317,14 +331,21 @@ def grouped(docs: DataFrame, id_col: str, words: int, percent: int, rows: DataFr
             F.when(F.col("hit"), close).otherwise(apart).alias("least"),
             F.concat(F.array_except("sm", "sp"), F.array_except("sp", "sm")).alias("elements"),
         )
-        dealt.append(cut(postings(cut(space), percent)))
+        dealt.append(cut(postings(cut(space), percent, cut)))
+        members = cut(members)
+        tables.drop_since(mark, members, labels, dealt[-1])
         release(docs.sparkSession)
+    if turns > TURNS:  # most buckets have one member left by now, or one component
+        members = labelled(members, labels)
+        several = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+        members = members.join(several, "bucket", "left_semi")
     left = labelled(members.groupBy("key").agg(F.first("n").alias("n")), labels)
     own = sets.join(few(left), "key").select(F.lit(b"").alias("space"), "key", "n", "comp", F.col("n").alias("d"), F.ceil(F.col("n") * percent / 100).alias("least"), "elements")
-    dealt.append(postings(own, percent))
+    dealt.append(postings(own, percent, cut))
     members = cut(reduce(DataFrame.union, dealt))
     turn = 0
     while True:
+        mark = len(tables.made)
         members = cut(reach(labelled(members.select("bucket", "key", "n", "d", "f"), labels), "bucket", percent))
         if members.isEmpty():
             break
@@ -334,13 +355,14 @@ def grouped(docs: DataFrame, id_col: str, words: int, percent: int, rows: DataFr
         may = (F.col("p.comp") != F.col("comp")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n"))
         may = may & linked(F.col("f") + F.col("p.d"), F.col("n") + F.col("p.n"), percent) & linked(F.col("d") + F.col("p.f"), F.col("n") + F.col("p.n"), percent)
         met = members.join(pivots.select("bucket", "p"), "bucket").where(may)
-        pairs = met.select(F.col("p.key").alias("p"), F.col("key").alias("m"), F.col("p.comp").alias("cp"), F.col("comp").alias("cm"), (F.col("n") + F.col("p.n")).alias("nn")).distinct()
+        pairs = met.select(F.col("p.key").alias("p"), F.col("key").alias("m"), F.col("p.comp").alias("cp"), F.col("comp").alias("cm"), F.col("p.n").alias("np"), "n").distinct()
         if sketches is not None:
-            pairs = bits_apart(pairs, sketches).where(linked("apart", F.col("nn"), percent)).drop("apart")
+            pairs = bits_apart(pairs, sketches).where(linked("apart", F.col("n") + F.col("np"), percent)).drop("apart")
         found = confirmed(cut(pairs), sets, percent).select(F.col("cp").alias("a"), F.col("cm").alias("b"))
-        labels = relabelled(labels, found)
+        labels = relabelled(labels, found, cut)
         members = members.join(pivots.select("bucket", F.col("p.key").alias("key")), ["bucket", "key"], "left_anti")
-        pairs = met = found = None
+        members = cut(members)
+        tables.drop_since(mark, members, labels)
         release(docs.sparkSession)
     if labels is None:
         found = one.select("key", F.col("of").alias("lead"))
@@ -348,6 +370,7 @@ def grouped(docs: DataFrame, id_col: str, words: int, percent: int, rows: DataFr
         own = one.select("key", "of").join(labels.withColumnRenamed("node", "key"), "key", "left")
         lowest = own.where("comp is not null").groupBy("comp").agg(F.min("of").alias("lead"))
         found = own.join(lowest, "comp", "left").select("key", F.coalesce("lead", "of").alias("lead"))
+    tables.drop_since(0, labels)
     out = rows.select("id", "text_key", "key", "n").join(found, "key", "left")
     alone = F.col("n") == 0
     return out.select(

@@ -12,7 +12,7 @@
    one of those has elements unless a set leaves more than ``SPARE`` chunks empty; such
    sets also bring their empty ones. Sets that agree in a chunk meet in its bucket: no pair is lost.
    A chunk has 2**32 places, kept as the XOR of the hashes of those that are set.
-4. A second sketch of 1024 bits bounds the difference of two sets from below by its
+4. A second sketch of four bits an element or more bounds the difference of two sets from below by its
    Hamming distance: pairs that it refutes are not compared. All others are confirmed on the full sets,
    in the rounds of pivots that ``near_dedup`` has for crowded buckets, which never list a bucket's pairs.
 
@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import cut, few, ship, table
+from candlewick.llm.common import Tables, ship, table
 from candlewick.llm.near_dedup import grouped, named, set_keys, shingles
 from candlewick.llm.textvec import Texts, blocks, mix
 
-#: Words of 64 bits of the sketch that bounds differences.
-WORDS = 16
+#: Pivots that a bucket gets, and how far from them (in 190ths of its size, at 90 percent) a member must be to wait for the next one.
+TURNS, STAY = 5, 20
+#: Words of 64 bits that a sketch which bounds differences has at least.
+LEAST_WORDS = 4
 SPARE = 1
 
 
@@ -82,12 +84,20 @@ def parities(key: np.ndarray, of: np.ndarray, n: int, percent: int) -> tuple[np.
     return value[order].astype(np.int64), np.concatenate([[0], np.cumsum(np.bincount(sets, minlength=n))])
 
 
-def bit_sketches(key: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """(n x WORDS) words of parity bits, whose Hamming distance is at most the number of elements in which two sets differ."""
-    out = np.zeros(n * WORDS, np.uint64)
-    bit = mix(key ^ np.uint64(0x94D049BB133111EB)) % np.uint64(64 * WORDS)
-    np.bitwise_xor.at(out, of * WORDS + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-    return out.reshape(n, WORDS).astype(np.int64)
+def bit_sketches(key: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of parity bits, and where each set's begin (n + 1); at least four bits an element.
+
+    The Hamming distance of two sketches, the longer folded to the shorter's length, is at most the number of elements in which two sets differ.
+    """
+    size = np.bincount(of, minlength=n).astype(np.int64)
+    words = np.full(n, LEAST_WORDS, np.int64)
+    while (small := size > 16 * words).any():
+        words[small] *= 2
+    at = np.concatenate([[0], np.cumsum(words)])
+    out = np.zeros(int(at[-1]), np.uint64)
+    bit = mix(key ^ np.uint64(0x94D049BB133111EB))
+    np.bitwise_xor.at(out, at[of] + ((bit >> np.uint64(6)) & (words[of] - 1).astype(np.uint64)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.astype(np.int64), at
 
 
 def sketched(docs: DataFrame, id_col: str, words: int, percent: int) -> DataFrame:
@@ -100,7 +110,8 @@ def sketched(docs: DataFrame, id_col: str, words: int, percent: int) -> DataFram
                 key, of = shingles(texts, words)
                 size, names = set_keys(key, of, texts.n)
                 value, at = parities(key, of, texts.n, percent)
-                sketch = pa.ListArray.from_arrays(np.arange(texts.n + 1, dtype=np.int32) * WORDS, bit_sketches(key, of, texts.n).ravel())
+                bits, bits_at = bit_sketches(key, of, texts.n)
+                sketch = pa.ListArray.from_arrays(bits_at.astype(np.int32), bits)
                 yield pa.RecordBatch.from_arrays(
                     [block.column("id"), block.column("text_key"), pa.array(names, pa.binary()), pa.array(size.astype(np.int64)), sketch, pa.ListArray.from_arrays(at.astype(np.int32), value)],
                     names=["id", "text_key", "key", "n", "sketch", "buckets"],
@@ -113,11 +124,12 @@ def sketched(docs: DataFrame, id_col: str, words: int, percent: int) -> DataFram
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
     """(id, text_key, n_shingles, component_id, leads) of every row of ``docs`` (id column and text), as ``near_dedup.near_groups`` returns them."""
     ship(docs.sparkSession)
-    rows = cut(sketched(docs, id_col, words, percent))
+    tables = Tables(docs.sparkSession)
+    rows = tables.cut(sketched(docs, id_col, words, percent))
     classes = rows.where("n > 0").groupBy("key")
-    one = cut(classes.agg(named().alias("of"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    one = tables.cut(classes.agg(named().alias("of"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     spread = classes.agg(F.first("n").alias("n"), F.first("buckets").alias("buckets")).select("key", "n", F.explode("buckets").alias("bucket"))
-    return grouped(docs, id_col, words, percent, rows.select("id", "text_key", "key", "n"), one.select("key", "of", "n"), spread, few(one.select("key", "sketch"), most=20_000))
+    return grouped(docs, id_col, words, percent, rows.select("id", "text_key", "key", "n"), one.select("key", "of", "n"), spread, one.select("key", "sketch"), TURNS, STAY * (100 - percent) // 10)
 
 
 def op13_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,17 +98,26 @@ def test_linked_sets_share_a_chunk_and_sketches_bound_differences(percent):
         base = rng.integers(0, 2**63, n + n // 2 + 2)
         for _ in range(6):
             # as far apart as a link allows: b drops some of a's elements and has some others
-            drop = int(rng.integers(0, n // 3 + 1))
-            add = int(rng.integers(0, n // 3 + 1))
+            most = n * (100 - percent) // 100 + 1
+            drop = int(rng.integers(0, most + 1))
+            add = int(rng.integers(0, most + 1))
             sets += [set(base[:n].tolist()), set(base[drop : n + add].tolist())]
     key = np.concatenate([np.sort(np.array(list(s), np.uint64)) for s in sets])
     of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     value, at = parity_join.parities(key, of, len(sets), percent)
-    sketch = parity_join.bit_sketches(key, of, len(sets)).view(np.uint64)
+    bits, bits_at = parity_join.bit_sketches(key, of, len(sets))
+
+    def hamming(i, j):
+        x, y = (bits[bits_at[k] : bits_at[k + 1]].view(np.uint64) for k in (i, j))
+        while len(x) != len(y):
+            x, y = sorted((x, y), key=len)
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        return int(np.bitwise_count(x ^ y).sum())
+
     linked = 0
     for i in range(0, len(sets), 2):
         a, b = sets[i], sets[i + 1]
-        assert np.bitwise_count(sketch[i] ^ sketch[i + 1]).sum() <= len(a ^ b)
+        assert hamming(i, i + 1) <= len(a ^ b)
         if a != b and 100 * len(a & b) >= percent * len(a | b):
             linked += 1
             assert set(value[at[i] : at[i + 1]].tolist()) & set(value[at[i + 1] : at[i + 2]].tolist())
@@ -184,3 +193,16 @@ def test_words_and_blocks():
         assert [(d, raw[s:e].decode()) for s, e, d in zip(start, end, doc, strict=True)] == want
     assert [b.num_rows for b in blocks(batch, "text", 9)] == [3, 2, 1]
     assert sum(b.num_rows for b in blocks(batch.slice(1, 4), "text", 1)) == 4
+
+
+def test_bits_apart_in_spark(spark):
+    rng = np.random.default_rng(9)
+    sets = [rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64) for n in (3, 60, 70, 130, 900, 5000)]
+    sets += [np.unique(np.concatenate([sets[4][:850], sets[5][:60]])), sets[3][:66]]
+    key, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bits, at = parity_join.bit_sketches(key, of, len(sets))
+    sketches = spark.createDataFrame([(i, bits[at[i] : at[i + 1]].tolist()) for i in range(len(sets))], "key int, sketch array<long>")
+    pairs = spark.createDataFrame([(i, len(sets[i]), j, len(sets[j])) for i in range(len(sets)) for j in range(len(sets))], "p int, np long, m int, n long")
+    for r in near_dedup.bits_apart(pairs, sketches).collect():
+        true = len(set(sets[r["p"]].tolist()) ^ set(sets[r["m"]].tolist()))
+        assert abs(r["n"] - r["np"]) <= r["apart"] <= true and (r["apart"] > 0.5 * true or r["p"] == r["m"])
