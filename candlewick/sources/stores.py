@@ -1,13 +1,17 @@
 """Stored relations as Parquet folders by day, and the writers that keep their keys unique.
 
-A batch writes its files aside and then adds its entries to the store's log, so
-readers see either the old table or the new one, and a batch id that the log
-names is not applied again. A batch touches only its own days: an append adds
-files to them, an upsert replaces them, and the files of all other days stay as they are.
+A batch writes its rows aside as one piece a day and then puts one entry into the
+store's log, so readers see either the old table or the new one, and a batch that
+the log knows is not applied again. Pieces have levels: once a day has ``FAN`` pieces
+of a level they are merged into one of the next, so a row is rewritten a
+few times only, however many batches come. Every ``Log.EVERY`` entries the log's state is
+written as a snapshot, and what a batch reads of the log is one snapshot and the entries since.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -16,102 +20,229 @@ from pyspark.sql import functions as F
 
 from candlewick.operators import merge
 
-ENTRY = "seq long, batch string, day string, data string, replaces boolean"
+Batch = str | tuple[str, int]
+
+
+class Log:
+    """What a store consists of: entries in order, and snapshots of what they add up to.
+
+    An entry is a small file that a rename puts in place. A snapshot has the live pieces and, for each
+    writer that numbers its batches, the last number; batches with names of their own get an empty file each, by which
+    they are found. Entries and snapshots before the last but one snapshot are deleted, with the pieces that were replaced by then.
+    """
+
+    EVERY = 32
+    KEYS = "keys.json"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.seen = spark, path, {}
+        self.hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.reads = self.writes = 0
+
+    def names(self) -> list[str]:
+        folder = self.hadoop(f"{self.path}/log")
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(folder)) if self.fs.exists(folder) else []
+
+    def load(self, name: str) -> dict:
+        if name not in self.seen:
+            self.reads += 1
+            stream = self.fs.open(self.hadoop(f"{self.path}/log/{name}"))
+            try:
+                self.seen[name] = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+        return self.seen[name]
+
+    def save(self, name: str, content: dict) -> None:
+        self.writes += 1
+        aside, place = self.hadoop(f"{self.path}/log/.{uuid.uuid4().hex}"), self.hadoop(f"{self.path}/log/{name}")
+        out = self.fs.create(aside)
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        if self.fs.exists(place) or not self.fs.rename(aside, place):
+            raise RuntimeError(f"{name} of {self.path} was written by somebody else")
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self.hadoop(f"{self.path}/{name}"), True)
+
+    def state(self) -> dict:
+        """seq, pieces (data -> [day, level, seq]), marks (writer -> last number), ids of named batches since the snapshot, dropped pieces."""
+        names = self.names()
+        snapshots = [n for n in names if n.startswith("snapshot-")]
+        last = snapshots[-1] if snapshots else ""
+        state = json.loads(json.dumps(self.load(last))) if last else {"seq": -1, "pieces": {}, "marks": {}, "dropped": []}
+        state |= {"ids": [], "since": 0, "snapshots": snapshots}
+        for name in names:
+            if name.startswith("entry-") and int(name[6:26]) > state["seq"]:
+                entry = self.load(name)
+                state["seq"], state["since"] = entry["seq"], state["since"] + 1
+                for data in entry["drops"]:
+                    state["pieces"].pop(data)
+                    state["dropped"].append(data)
+                state["pieces"] |= {data: [day, level, entry["seq"]] for data, day, level in entry["adds"]}
+                if entry["number"] is None:
+                    state["ids"].append(entry["writer"])
+                else:
+                    state["marks"][entry["writer"]] = max(entry["number"], state["marks"].get(entry["writer"], -1))
+        kept = {*names}
+        self.seen = {n: c for n, c in self.seen.items() if n in kept}
+        return state
+
+    def _marker(self, batch: str) -> str:
+        return f"batches/{hashlib.sha256(batch.encode()).hexdigest()}"
+
+    def done(self, batch: Batch, state: dict | None = None) -> bool:
+        state = state or self.state()
+        if isinstance(batch, tuple):
+            return batch[1] <= state["marks"].get(batch[0], -1)
+        return batch in state["ids"] or self.fs.exists(self.hadoop(f"{self.path}/{self._marker(batch)}"))
+
+    def commit(self, batch: Batch, adds: list[tuple[str, str, int]], drops: list[str], state: dict) -> None:
+        writer, number = batch if isinstance(batch, tuple) else (batch, None)
+        entry = {"seq": state["seq"] + 1, "writer": writer, "number": number, "adds": adds, "drops": drops}
+        self.save(f"entry-{entry['seq']:020d}", entry)
+        if state["since"] + 1 >= self.EVERY:
+            self.snapshot()
+
+    def snapshot(self) -> None:
+        """Write down the state; then delete what lies before the snapshot before."""
+        state = self.state()
+        for batch in state["ids"]:
+            self.fs.create(self.hadoop(f"{self.path}/{self._marker(batch)}"), True).close()
+        before = state["snapshots"][-1] if state["snapshots"] else None
+        old = {*self.load(before)["dropped"]} if before else set()
+        whole = {k: state[k] for k in ("seq", "pieces", "marks")} | {"dropped": [d for d in state["dropped"] if d not in old]}
+        self.save(f"snapshot-{state['seq']:020d}", whole)
+        for data in old:
+            self.delete(data)
+        for name in self.names():
+            if before and ((name.startswith("snapshot-") and name < before) or (name.startswith("entry-") and int(name[6:26]) <= int(before[9:]))):
+                self.delete(f"log/{name}")
 
 
 class Store:
-    """``day`` is a SQL expression of the columns, the day that a row belongs to; without one the table is one part."""
+    """A table of ``schema``. ``day`` is a SQL expression of the columns, the day that a row belongs to; without one the table is one part.
+
+    With ``keys`` and ``version`` the table has one row a key, that of the highest version, of equal ones the last that came;
+    a batch adds only its own rows, and a reader puts the pieces of a day together. The keys must fix the day.
+    A batch is a name, or a writer and its growing number.
+    """
 
-    #: Appended folders of one day before the next append rewrites it as one.
-    PIECES = 64
+    #: Pieces of one level and day that are merged into one.
+    FAN = 8
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, day: str | None = None, defaults: dict[str, str] | None = None):
+    def __init__(self, spark: SparkSession, path: str, schema: str, day: str | None = None, defaults: dict[str, str] | None = None, keys: list[str] | None = None, version: str = "updated_at"):
         self.spark, self.path, self.schema, self.defaults = spark, path, schema, defaults or {}
         self.day = F.coalesce(F.expr(day).cast("string"), F.lit("none")) if day else F.lit("all")
+        self.keys, self.version, self.log = keys, version, Log(spark, path)
+        if self.log.KEYS in self.log.names():  # the store knows them
+            told = self.log.load(self.log.KEYS)
+            if keys and (keys, version) != (told["keys"], told["version"]):
+                raise ValueError(f"{path} keeps {told['keys']} by {told['version']}")
+            self.keys, self.version = told["keys"], told["version"]
 
     def create(self) -> Store:
         """Create it if missing; an existing store is left alone."""
-        try:
-            self._log().isEmpty()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-                raise
-            self.spark.createDataFrame([], ENTRY).coalesce(1).write.parquet(f"{self.path}/log")
+        self.log.fs.mkdirs(self.log.hadoop(f"{self.path}/log"))
+        if self.keys and self.log.KEYS not in self.log.names():
+            self.log.save(self.log.KEYS, {"keys": self.keys, "version": self.version})
         return self
 
-    def _log(self) -> DataFrame:
-        return self.spark.read.schema(ENTRY).parquet(f"{self.path}/log")
-
-    def _live(self, days: Iterable[str] | None = None) -> list[tuple[str, str]]:
-        """(day, folder) of what the table consists of now, at most PIECES a day."""
-        log = self._log().where("data is not null")
-        if days is not None:
-            log = log.where(F.col("day").isin(*days))
-        whole = log.where("replaces").groupBy("day").agg(F.max("seq").alias("since"))
-        live = log.join(whole, "day", "left").where("since is null or seq >= since").select("day", "data")
-        return sorted((r["day"], r["data"]) for r in live.collect())
+    def done(self, batch: Batch) -> bool:
+        return self.log.done(batch)
 
-    def done(self, batch: str) -> bool:
-        return not self._log().where(F.col("batch") == batch).isEmpty()
+    def pieces(self, days: Iterable[str] | None = None) -> list[str]:
+        """The folders that the table, or some days of it, consists of."""
+        wanted = None if days is None else {*days}
+        return sorted(data for data, (day, _, _) in self.log.state()["pieces"].items() if wanted is None or day in wanted)
 
-    def read(self, days: Iterable[str] | None = None) -> DataFrame:
-        """The table, or some days of it; columns added to the schema since a file was written have their default, or null."""
-        paths = [f"{self.path}/{data}/_day={day}" for day, data in self._live(days)]
-        rows = self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+    def _rows(self, pieces: list[str]) -> DataFrame:
+        """The rows of pieces, with ``_seq`` where keys are kept."""
+        schema = self.schema + (", _seq long" if self.keys else "")
+        rows = self.spark.read.schema(schema).parquet(*(f"{self.path}/{p}" for p in pieces)) if pieces else self.spark.createDataFrame([], schema)
         for name, value in self.defaults.items():
             rows = rows.withColumn(name, F.coalesce(F.col(name), F.expr(value).cast(rows.schema[name].dataType)))
         return rows
 
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        """One row a key."""
+        oldest = F.lit("1970-01-01").cast("timestamp").cast(rows.schema[self.version].dataType) if "timestamp" in rows.schema[self.version].dataType.simpleString() else F.lit(0)
+        rank = F.struct(F.coalesce(F.col(self.version), oldest), F.col("_seq"))
+        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rows.columns), rank).alias("_row")).select("_row.*")
+
+    def read(self, days: Iterable[str] | None = None) -> DataFrame:
+        """The table, or some days of it; columns added to the schema since a file was written have their default, or null."""
+        rows = self._rows(self.pieces(days))
+        return self._newest(rows).drop("_seq") if self.keys else rows
+
     def days_of(self, rows: DataFrame) -> list[str]:
         return sorted(r[0] for r in rows.select(self.day.alias("day")).distinct().collect())
 
-    def _write(self, batch: str, rows: DataFrame, days: list[str], replaces: bool) -> None:
+    def _write(self, rows: DataFrame, days: list[str], level: int) -> list[tuple[str, str, int]]:
         data = f"data/{uuid.uuid4().hex}"
         rows.withColumn("_day", self.day).write.partitionBy("_day").parquet(f"{self.path}/{data}")
-        seq = self._log().agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0] + 1
-        entries = [(seq, batch, day, data, replaces) for day in days] or [(seq, batch, None, None, False)]
-        self.spark.createDataFrame(entries, ENTRY).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+        return [(f"{data}/_day={day}", day, level) for day in days]
 
-    def change(self, batch: str, rows: DataFrame, merged: Callable[[DataFrame], DataFrame]) -> bool:
-        """Replace the days of ``rows`` by ``merged`` of what they hold, once per batch id."""
-        if self.done(batch):
+    def _add(self, batch: Batch, rows: DataFrame, replaced: Callable[[list[str]], list[str]] | None = None) -> bool:
+        state = self.log.state()
+        if self.log.done(batch, state):
             return False
+        if self.keys:
+            rows = rows.withColumn("_seq", F.lit(state["seq"] + 1).cast("long"))
+        rows = rows.select(*self._rows([]).columns)
         days = self.days_of(rows)
-        if not days:
-            self._write(batch, rows, [], False)
-            return True
-        self._write(batch, merged(self.read(days)), days, True)
+        adds = self._write(rows, days, 0) if days else []
+        self.log.commit(batch, adds, replaced(days) if replaced else [], state)
+        self._merge(days)
         return True
 
-    def upsert(self, batch: str, rows: DataFrame, keys: list[str], version: str = "updated_at") -> bool:
+    def _merge(self, days: list[str]) -> None:
+        """Merge the days' levels that are full, an entry for each merge; a merge that is lost is made up for by the next batch."""
+        for day in days:
+            while True:
+                state, full = self.log.state(), None
+                by_level: dict[int, list[str]] = {}
+                for data, (own, level, _) in state["pieces"].items():
+                    if own == day:
+                        by_level.setdefault(level, []).append(data)
+                full = next((level for level in sorted(by_level) if len(by_level[level]) >= self.FAN), None)
+                if full is None:
+                    break
+                rows = self._rows(sorted(by_level[full]))
+                rows = self._newest(rows) if self.keys else rows
+                adds = self._write(rows.coalesce(max(1, len(by_level[full]) // self.FAN)), [day], full + 1)
+                self.log.commit(f"merge-{uuid.uuid4().hex}", adds, by_level[full], state)
+
+    def change(self, batch: Batch, rows: DataFrame, merged: Callable[[DataFrame], DataFrame]) -> bool:
+        """Replace the days of ``rows`` by ``merged`` of what they hold, once per batch."""
+        days = self.days_of(rows)
+        old = self.pieces(days)
+        if self.done(batch):
+            return False
+        return self._add(batch, merged(self.read(days)) if days else rows, lambda _: old)
+
+    def upsert(self, batch: Batch, rows: DataFrame, keys: list[str], version: str = "updated_at") -> bool:
         """Version-guarded upsert: an older version never replaces a newer one. The keys must fix the day."""
+        if self.keys:
+            if (keys, version) != (self.keys, self.version):
+                raise ValueError(f"this store keeps {self.keys} by {self.version}")
+            return self._add(batch, rows)
         return self.change(batch, rows, lambda now: merge.upsert_versioned(now, rows.select(now.columns), keys, version))
 
-    def append(self, batch: str, rows: DataFrame) -> bool:
-        """Add rows as new files."""
-        if self.done(batch):
-            return False
-        now = self.read()
-        rows, live = rows.select(now.columns), [day for day, _ in self._live()]
-        days = self.days_of(rows)
-        if any(live.count(day) >= self.PIECES for day in days):
-            return self.change(batch, rows, lambda now: now.unionByName(rows))
-        self._write(batch, rows, days, False)
-        return True
+    def append(self, batch: Batch, rows: DataFrame) -> bool:
+        """Add rows as a piece a day."""
+        return self._add(batch, rows)
 
-    def insert_absent(self, batch: str, rows: DataFrame, keys: list[str], order) -> bool:
+    def insert_absent(self, batch: Batch, rows: DataFrame, keys: list[str], order) -> bool:
         """Append the rows whose keys are not stored; the first of each key wins. Only the keys of stored rows are read."""
         now = self.read()
         return self.append(batch, merge.insert_absent(now, rows.select(now.columns), keys, order))
 
     def vacuum(self) -> None:
-        """Delete the folders that the table no longer consists of; no batch and no reader of an older state may be at work."""
-        kept = {f"{data}/_day={day}" for day, data in self._live()}
-        old = {f"{r['data']}/_day={r['day']}" for r in self._log().where("data is not null").select("day", "data").distinct().collect()} - kept
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
-        for folder in old:
-            place = hadoop(f"{self.path}/{folder}")
-            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        """Delete at once what snapshots would delete in time; no batch and no reader of an older state may be at work."""
+        for data in self.log.state()["dropped"]:
+            self.log.delete(data)
 
 
 def publishable(trades: DataFrame) -> DataFrame:

@@ -34,23 +34,30 @@ class ExactCandles:
 
     Each micro-batch adds its new trades to those of their days, fails on an id
     that comes with different contents, recomputes the buckets that got trades
-    from all of their trades, and upserts these candles with the batch's number
-    as version. Messages that are no trades go to a third table. All tables take
-    a batch once, so a restart or a redelivery changes nothing. A batch writes only
-    the days of its trades and reads only them, but for ids that come again under
+    from all of their trades, and upserts these candles with a version that grows
+    from batch to batch. Messages that are no trades go to a third table, by the day on which they came. All tables take
+    a batch once, so a restart or a redelivery changes nothing. A batch reads and writes
+    only the days of its trades, but for ids that come again under
     another date: there the files' own id ranges tell which of them to open.
+
+    Batches are known by the query's id, which its checkpoint holds, and their number. A query that has lost its
+    checkpoint counts from 0 again under a new id: nothing that it brings is taken for known, and trades that are stored already change nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str, seconds: int = 60):
-        self.seconds, self.path = seconds, path
+        self.seconds, self.path, self.writer = seconds, path, None
         self.trades = Store(spark, f"{path}/trades", TRADE, "date_from_unix_date(timestamp div 86400000)").create()
-        self.candles = Store(spark, f"{path}/candles", CANDLE, "date_from_unix_date(window_start div 86400)").create()
-        self.rejects = Store(spark, f"{path}/rejects", "raw string, reason string").create()
+        self.candles = Store(spark, f"{path}/candles", CANDLE, "date_from_unix_date(window_start div 86400)", keys=["symbol", "window_start"]).create()
+        self.rejects = Store(spark, f"{path}/rejects", "raw string, reason string, came timestamp", "cast(came as date)").create()
 
     def batch(self, messages: DataFrame, number: int) -> None:
+        # in a query, Spark tells its id to the jobs of its batches
+        writer = self.writer or messages.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        name = (writer, number)
+        if self.rejects.done(name):
+            return
         decoded = trades.decode(messages).persist()
         try:
-            name = f"{number}"
             fresh = trades.trades_of(decoded)
             days = self.trades.days_of(fresh)
             if days and not self.trades.done(name):
@@ -60,11 +67,12 @@ class ExactCandles:
                 if clash is not None:
                     raise ValueError(f"conflicting trade {clash['symbol']} {clash['trade_id']}")
                 self.trades.append(name, trades.distinct_trades(fresh).join(known, ["symbol", "trade_id"], "left_anti"))
-            buckets = fresh.select("symbol", candles.bucket_start(F.col("timestamp"), self.seconds).alias("window_start")).distinct()
-            kept = self.trades.read(days).withColumn("window_start", candles.bucket_start(F.col("timestamp"), self.seconds)).join(buckets, ["symbol", "window_start"], "left_semi").drop("window_start")
-            made = candles.ohlcv(kept, self.seconds).withColumn("updated_at", F.timestamp_seconds(F.lit(number)))
-            self.candles.upsert(name, made, ["symbol", "window_start"])
-            self.rejects.append(name, trades.rejects(decoded))
+            if days and not self.candles.done(name):
+                buckets = fresh.select("symbol", candles.bucket_start(F.col("timestamp"), self.seconds).alias("window_start")).distinct()
+                kept = self.trades.read(days).withColumn("window_start", candles.bucket_start(F.col("timestamp"), self.seconds)).join(buckets, ["symbol", "window_start"], "left_semi").drop("window_start")
+                version = self.candles.log.state()["seq"] + 1  # grows whoever writes
+                self.candles.upsert(name, candles.ohlcv(kept, self.seconds).withColumn("updated_at", F.timestamp_seconds(F.lit(version))), ["symbol", "window_start"])
+            self.rejects.append(name, trades.rejects(decoded).withColumn("came", F.current_timestamp()))
         finally:
             decoded.unpersist()
 
@@ -115,7 +123,7 @@ def with_recovery(write: Callable[[DataFrame, int], None], path: str, kind: str,
 
 def upsert_candles(spark: SparkSession, path: str, rows: DataFrame, batch: str) -> bool:
     """Candles (with updated_at) into the store at ``path``."""
-    return Store(spark, path, CANDLE, "date_from_unix_date(window_start div 86400)").create().upsert(batch, rows, ["symbol", "window_start"])
+    return Store(spark, path, CANDLE, "date_from_unix_date(window_start div 86400)", keys=["symbol", "window_start"]).create().upsert(batch, rows, ["symbol", "window_start"])
 
 
 def replay_handlers(spark: SparkSession, path: str, send: Callable[[DataFrame], None]) -> dict[str, Callable[[DataFrame], None]]:

@@ -122,11 +122,96 @@ def test_store(spark, tmp_path):
     wider = Store(spark, str(tmp_path / "s"), "k int, v int, updated_at timestamp, extra string, more string", defaults={"more": "'new'"})
     assert tuple(wider.read().first())[3:] == (None, "new")
     more = Store(spark, str(tmp_path / "t"), "k int, v int", "cast(v div 10 as string)").create()
-    more.PIECES = 3
+    more.FAN = 3
     for i in range(5):
         assert more.insert_absent(f"b{i}", spark.createDataFrame([(i, 1), (0, 11 + i), (9, None)], "k int, v int"), ["k"], F.col("v"))
     assert sorted(((r["k"], r["v"]) for r in more.read().collect()), key=str) == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (9, None)]
-    assert sum(day == "0" for day, _ in more._live()) <= 3 and sorted(r["k"] for r in more.read(["none"]).collect()) == [9]
+    assert len(more.pieces(["0"])) <= 3 and sorted(r["k"] for r in more.read(["none"]).collect()) == [9]
+
+
+class Fake(Store):
+    """A store whose pieces are only names: a piece's rows are counted, not written."""
+
+    FAN = 4
+    rewritten = 0
+
+    def __init__(self, spark, path):
+        super().__init__(spark, path, "k int, v int")
+        self.rows = {}
+
+    def days_of(self, rows):
+        return ["d"]
+
+    def _rows(self, pieces):
+        self.rewritten += sum(self.rows[p] for p in pieces)
+        return FakeRows(sum(self.rows[p] for p in pieces))
+
+    def _write(self, rows, days, level):
+        name = f"data/{len(self.rows)}"
+        self.rows[name] = rows.n
+        return [(name, "d", level)]
+
+
+class FakeRows:
+    columns = ["k", "v"]
+
+    def __init__(self, n):
+        self.n = n
+
+    def select(self, *_):
+        return self
+
+    def coalesce(self, _):
+        return self
+
+
+def test_cost_of_a_batch_does_not_grow(spark, tmp_path):
+    s = Fake(spark, str(tmp_path)).create()
+    s.log.EVERY = 16
+    reads, listed = [], []
+    for i in range(500):
+        s.log.seen, before = {}, s.log.reads  # as if each batch were a new process
+        assert s.append(("q", i) if i % 2 else f"one-{i}", FakeRows(1))
+        reads.append(s.log.reads - before)
+        listed.append(len(s.log.names()))
+    assert max(reads[400:]) <= max(reads[40:140]) + 2 and max(reads) < 3 * 16 and max(listed[400:]) <= max(listed[40:140]) + 2
+    state = s.log.state()
+    assert sum(s.rows[p] for p in state["pieces"]) == 500 and len(state["pieces"]) <= 3 * 5 and s.rewritten <= 500 * 5 and state["marks"] == {"q": 499}
+    assert not s.append("one-0", FakeRows(1)) and not s.append("one-498", FakeRows(1)) and not s.append(("q", 7), FakeRows(1)) and s.append(("other", 7), FakeRows(1))
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+def test_a_crash_leaves_either_state(spark, tmp_path, keyed, monkeypatch):
+    shape = "k int, v int, updated_at timestamp"
+    s = Store(spark, str(tmp_path), shape, keys=["k"] if keyed else None).create()
+    s.FAN, s.log.EVERY = 2, 2
+    at = datetime(2024, 1, 1)
+    batch = lambda i: spark.createDataFrame([(1, i, at), (i + 10, i, at)], shape)
+    want = lambda n: sorted(({1: n, **{i + 10: i for i in range(n + 1)}}).items()) if keyed else sorted([(1, i) for i in range(n + 1)] + [(i + 10, i) for i in range(n + 1)])
+    got = lambda: sorted((r["k"], r["v"]) for r in s.read().collect())
+    assert s.append(("q", 0), batch(0))
+    save, delete = type(s.log).save, type(s.log).delete
+    for i, (name, late) in enumerate([("entry", False), ("entry", True), ("snapshot", False), ("snapshot", True), ("delete", False)], 1):
+        # the process ends before or after a file is in place, at its first entry (the batch), second (a merge), snapshot or deletion
+        with monkeypatch.context() as m:
+            def broken(self, *args, name=name, late=late):
+                wrong = name == "delete" or args[0].startswith(name)
+                if late or not wrong:
+                    (delete if name == "delete" else save)(self, *args)
+                if wrong:
+                    raise OSError("lost")
+            m.setattr(type(s.log), "delete" if name == "delete" else "save", broken)
+            try:
+                s.append(("q", i), batch(i))
+            except OSError:
+                pass
+        s = Store(spark, str(tmp_path), shape, keys=["k"] if keyed else None).create()
+        s.FAN, s.log.EVERY = 2, 2
+        assert got() in (want(i - 1), want(i))
+        s.append(("q", i), batch(i))
+        assert got() == want(i) and not s.append(("q", i), batch(i))
+    s.vacuum()
+    assert got() == want(5)
 
 
 def test_coins(spark):
