@@ -116,14 +116,15 @@ def header(lines: list[bytes]) -> dict[str, str] | None:
 
 
 def payload_row(record: bytes) -> tuple:
-    """(page_id, type, refers_to, length, digest) of a whole record."""
+    """(page_id, type, refers_to, length, digest) of a whole record; a revisit's digest is the one that its header states, of the payload it refers to."""
     head, _, rest = record.partition(b"\r\n\r\n")
     fields = header(head.split(b"\n"))
     block = rest[: int(fields["content-length"])]
     if fields.get("content-type", "").startswith("application/http"):
         block = block.partition(b"\r\n\r\n")[2]
     number = lambda k: int(fields[k]) if k in fields else None
-    return number("warc-page-id"), fields.get("warc-type"), number("warc-refers-to-page-id"), len(block), base64.b32encode(hashlib.sha1(block).digest()).decode()
+    stated = fields.get("warc-payload-digest", "").rpartition(":")[2] if fields.get("warc-type") == "revisit" else ""
+    return number("warc-page-id"), fields.get("warc-type"), number("warc-refers-to-page-id"), len(block), stated or base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -380,11 +381,14 @@ def _read_ranges(spark: SparkSession, path: str | list[str], where: DataFrame) -
 
 
 def resolved(read_back: DataFrame) -> DataFrame:
-    """Records with the length and digest of the full payload: a revisit has those of the response it refers to."""
+    """Records with the length and digest of the full payload: a revisit has those of the response it refers to.
+
+    A page id may name several payloads; the digest that a revisit states tells which of them it means.
+    """
     rows = cut(read_back)
-    full = rows.where("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to")).agg(F.min(F.struct("payload_bytes", "payload_digest")).alias("full"))
-    revisits = rows.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to").join(full, "refers_to", "left")
-    revisits = revisits.select("page_id", "full.payload_bytes", "full.payload_digest", "record_type", "refers_to")
+    full = rows.where("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.min("payload_bytes").alias("payload_bytes"))
+    revisits = rows.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "payload_digest").join(full, ["refers_to", "payload_digest"], "left")
+    revisits = revisits.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return rows.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").unionByName(revisits)
 
 

@@ -53,6 +53,8 @@ def test_warc_threshold_empty_and_broken(spark, tmp_path):
     rows = [(2, "u", "short"), (1, "u", "short"), (4, "u", "a longer one"), (3, "u", "a longer one")]
     assert archived(spark, rows, str(tmp_path / "a"), 8) == expected(rows, 8)
     assert archived(spark, [], str(tmp_path / "b")) == []
+    twice = [(1, "u", "A"), (1, "u", "BBBB"), (2, "u", "BBBB"), (3, "u", "A")]  # an id that names two payloads
+    assert archived(spark, twice, str(tmp_path / "d")) == expected(twice)
     good = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Page-ID: 1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "one.warc").write_text(good + "junk\n" + good.replace("ID: 1", "ID: 2"), newline="")
