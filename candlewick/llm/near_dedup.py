@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.llm.common import Tables, few, release, ship, table
+from candlewick.llm.common import cut as checkpointed
 from candlewick.llm.components import components
 from candlewick.llm.textvec import BYTE_CODE, Texts, blocks, mix, span_hash
 
@@ -255,13 +256,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", words: int = 5, percent
     component: that id, and of its texts the one with the smallest text_key
     (xxhash64). A pair with similarity s shares a band with probability
     1 - (1 - s**5)**(places/5): all but 3 in a million at 0.8 and 160 places, and
-    but 3.4 in a million at 0.85 and 120 places. Every later step is exact.
+    but 0.8 in a million at 0.85 and 120 places. Every later step is exact.
     """
     ship(docs.sparkSession)
     tables = Tables(docs.sparkSession)
-    rows = tables.cut(classes_of(docs, id_col, words, places))
-    one = tables.cut(rows.where("n > 0").groupBy("key").agg(named().alias("of"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    return grouped(docs, id_col, words, percent, rows, one, one.select("key", "n", F.explode("bands").alias("bucket")))
+    whole = tables.cut(classes_of(docs, id_col, words, places))
+    banded = tables.cut(whole.where("n > 0").groupBy("key").agg(named().alias("of"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    rows, one = checkpointed(whole.drop("bands")), checkpointed(banded.drop("bands"))
+    return grouped(docs, id_col, words, percent, rows, one, banded.select("key", "n", F.explode("bands").alias("bucket")), tables)
 
 
 def named() -> Column:
@@ -283,21 +285,22 @@ def bits_apart(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.withColumn("apart", F.greatest(F.abs(F.col("n") - F.col("np")), F.when(same, differ).otherwise(0)).cast("long")).drop("_a", "_b")
 
 
-def grouped(docs: DataFrame, id_col: str, words: int, percent: int, rows: DataFrame, one: DataFrame, spread: DataFrame, sketches: DataFrame | None = None, turns: int = TURNS, stay: int | None = None) -> DataFrame:
+def grouped(docs: DataFrame, id_col: str, words: int, percent: int, rows: DataFrame, one: DataFrame, spread: DataFrame, tables: Tables, sketches: DataFrame | None = None, turns: int = TURNS, stay: int | None = None) -> DataFrame:
     """The groups that ``near_groups`` returns, from buckets in which every linked pair meets or is lost.
 
     rows: (id, text_key, key, n) of every document; one: (key, of, n) of every class; spread: (key, n, bucket).
+    What ``tables`` holds, ``spread`` is read from it, is deleted once it has been read, as are the tables of the rounds.
     ``sketches`` (key, sketch) may bound differences from below: pairs that they refute are not compared on full sets.
     A member that differs from its pivot in more than ``stay`` / (100 + percent) of its size stays in the bucket for the next of the ``turns``.
     """
     stay = 3 * percent - 100 if stay is None else stay
     # two linked members are both compared by their differences from the pivot, or both stay: these differ by no more than a link allows
     near_by = -(-(stay + 100 - percent) * 100 // percent) + 100 - percent
-    tables = Tables(docs.sparkSession)
     cut = tables.cut
     crowded = cut(spread.join(spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"))
     weight = crowded.groupBy("key").agg(F.sum("size").alias("weight"))
     members = cut(crowded.join(weight, "key").select("bucket", "key", "n", "weight"))
+    tables.drop_since(0, crowded, members)
     sets = sets_of(docs, id_col, one.join(weight, "key", "left_semi").select("of.id", "of.text_key", "key"), words, cut)
     labels, dealt = None, []
     for _ in range(turns):
@@ -364,13 +367,14 @@ def grouped(docs: DataFrame, id_col: str, words: int, percent: int, rows: DataFr
         members = cut(members)
         tables.drop_since(mark, members, labels)
         release(docs.sparkSession)
+    labels = None if labels is None else checkpointed(labels)
+    tables.drop()
     if labels is None:
         found = one.select("key", F.col("of").alias("lead"))
     else:
         own = one.select("key", "of").join(labels.withColumnRenamed("node", "key"), "key", "left")
         lowest = own.where("comp is not null").groupBy("comp").agg(F.min("of").alias("lead"))
         found = own.join(lowest, "comp", "left").select("key", F.coalesce("lead", "of").alias("lead"))
-    tables.drop_since(0, labels)
     out = rows.select("id", "text_key", "key", "n").join(found, "key", "left")
     alone = F.col("n") == 0
     return out.select(
@@ -396,7 +400,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", words: int = 5, percent
 def op9_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of ``documents``: three-word shingles, 85 percent.
 
-    24 bands of 5 places: a pair at exactly 85 percent shares a band but for 1 in a million.
+    24 bands of 5 places: a pair at exactly 85 percent shares a band but for 0.8 in a million.
     """
     out = near_groups(table(spark, sf_dir, "documents"), "doc_id", 3, 85, 24 * ROWS)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import Tables, ship, table
+from candlewick.llm.common import Tables, cut, ship, table
 from candlewick.llm.near_dedup import grouped, named, set_keys, shingles
 from candlewick.llm.textvec import Texts, blocks, mix
 
@@ -125,11 +125,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", words: int = 5, perc
     """(id, text_key, n_shingles, component_id, leads) of every row of ``docs`` (id column and text), as ``near_dedup.near_groups`` returns them."""
     ship(docs.sparkSession)
     tables = Tables(docs.sparkSession)
-    rows = tables.cut(sketched(docs, id_col, words, percent))
-    classes = rows.where("n > 0").groupBy("key")
-    one = tables.cut(classes.agg(named().alias("of"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    whole = tables.cut(sketched(docs, id_col, words, percent))
+    rows = cut(whole.select("id", "text_key", "key", "n"))
+    classes = whole.where("n > 0").groupBy("key")
+    one = cut(classes.agg(named().alias("of"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     spread = classes.agg(F.first("n").alias("n"), F.first("buckets").alias("buckets")).select("key", "n", F.explode("buckets").alias("bucket"))
-    return grouped(docs, id_col, words, percent, rows.select("id", "text_key", "key", "n"), one.select("key", "of", "n"), spread, one.select("key", "sketch"), TURNS, STAY * (100 - percent) // 10)
+    return grouped(docs, id_col, words, percent, rows, one.select("key", "of", "n"), spread, tables, one.select("key", "sketch"), TURNS, STAY * (100 - percent) // 10)
 
 
 def op13_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

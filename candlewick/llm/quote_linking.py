@@ -10,8 +10,7 @@ passage; a message's own words are its lines at level 0.
    a whole and line by line. The messages of conversations that hold a quote
    offer the hashes of their own text as a whole, of its paragraphs and of its lines.
 3. A join on (conversation, hash) finds the latest earlier message that offers
-   a passage, a match of a whole passage (of any length) before one of a line (of
-   ``LEAST`` characters or more). A message answers the
+   a passage, a match of a whole passage before one of a line, either of any length. A message answers the
    message that its outermost quoted passages link to, the latest if there are several.
    Inner levels tell more: what a message quotes at one level answered what it quotes at
    the next, if that is earlier, which links messages that quote nothing themselves.
@@ -38,8 +37,6 @@ from candlewick.llm.common import cut, table
 from candlewick.plans.windows import before
 
 MARKS = r"^[ \t]*((?:>[ \t]*)+)"
-#: Shortest normalised line that links apart from its passage, in characters; whole passages link at any length.
-LEAST = 4
 #: Turns of a conversation that one window spans.
 TURNS = 1024
 
@@ -48,9 +45,9 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[\s>]+", " "))
 
 
-def _hashes(text: Column, least: int = 1) -> Column:
-    """md5 of the normalised text, null where it has fewer than ``least`` characters."""
-    return F.when(F.length(normal(text)) >= least, F.md5(normal(text)))
+def _hashes(text: Column) -> Column:
+    """md5 of the normalised text, null where that is empty."""
+    return F.when(normal(text) != "", F.md5(normal(text)))
 
 
 def unquoted(text: Column) -> Column:
@@ -84,7 +81,7 @@ def linked(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_to) of the messages that answer another one."""
     quotes = cut(passages(messages).where("conv_id is not null and turn is not null"))
     asked = quotes.select("mid", "conv_id", "turn", "level", _hashes(F.col("passage")).alias("hash"), F.lit(0).alias("grain"))
-    asked = asked.unionByName(quotes.select("mid", "conv_id", "turn", "level", F.explode("lines").alias("line")).select("mid", "conv_id", "turn", "level", _hashes(F.col("line"), LEAST).alias("hash"), F.lit(1).alias("grain")))
+    asked = asked.unionByName(quotes.select("mid", "conv_id", "turn", "level", F.explode("lines").alias("line")).select("mid", "conv_id", "turn", "level", _hashes(F.col("line")).alias("hash"), F.lit(1).alias("grain")))
     asked = asked.where("hash is not null").select("conv_id", "hash", "turn", "level", "grain").distinct()
     said = offers(messages.join(quotes.select("conv_id").distinct(), "conv_id", "left_semi")).join(asked.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
     # the latest offer before each quote: within a block of turns by a window, from earlier blocks by one row per block
@@ -200,7 +197,7 @@ a AS (
   SELECT conv_id, turn, level, 1, trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*((?:>[ \t]*)+)', '')), '[\s>]+', ' ', 'g'), ' ') FROM r WHERE level > 0),
 f AS (
   SELECT a.conv_id, a.turn, a.level, a.grain, max(n.turn) AS said
-  FROM a JOIN n ON a.conv_id = n.conv_id AND a.h = n.h AND n.turn < a.turn WHERE length(a.h) >= CASE a.grain WHEN 0 THEN 1 ELSE 4 END GROUP BY ALL),
+  FROM a JOIN n ON a.conv_id = n.conv_id AND a.h = n.h AND n.turn < a.turn WHERE a.h <> '' GROUP BY ALL),
 v AS (SELECT conv_id, turn, level, arg_max(said, (-grain, said)) AS said FROM f GROUP BY ALL),
 b AS (
   SELECT conv_id, turn, 1 AS own, arg_max(said, (-level, said)) AS said FROM v GROUP BY ALL

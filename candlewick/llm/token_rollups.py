@@ -7,12 +7,11 @@ by group before anything is stored, so a stored batch has as many rows as it
 touches groups. Totals are the sum of all stored batches; addition does not care
 about their order.
 
-Batches are idempotent. Each is written under its id, overwriting what a failed
-attempt may have left, and counts once the commit log names it; committing an id
-that the log names does nothing, and a batch without a log entry is not read.
-``compact`` folds all committed batches into one that takes over their ids: it writes the
-fold aside and then adds one file of entries that replace the older ones, so
-wherever it stops, the log names either all the batches or their fold.
+Batches are idempotent. Each is written aside and counts once the commit log names it;
+committing an id that the log knows does nothing, and a batch without a log entry is not read.
+``compact`` folds all committed batches into one piece, written aside and put in place by
+one log entry that drops the others, so wherever it stops, the log names either all the batches or
+their fold. The log writes snapshots (``sources.stores.Log``): what a commit reads of it does not grow with the batches before.
 
 Null source, language or version is a group of its own. A null count is 0. Groups
 whose documents and tokens have both come to 0 are not reported. A doc_id that
@@ -27,9 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.llm.common import cut, shared_dir, table
+from candlewick.sources.stores import Log
 
 GROUP = ("source", "lang", "tokenizer_version")
-_ENTRY = "batch string, data string, fold long"
 _DELTA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
 
@@ -52,48 +51,48 @@ class Rollup:
     """The totals stored under ``path``, a folder that every executor can reach."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.log = spark, path, Log(spark, path)
 
     def create(self) -> Rollup:
-        """Start an empty store: a commit log without entries."""
-        self.spark.createDataFrame([], _ENTRY).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log")
+        """Start an empty store, or leave one alone that is there."""
+        self.log.fs.mkdirs(self.log.hadoop(f"{self.path}/log"))
         return self
 
-    def log(self) -> DataFrame:
-        """(batch, data): the folder that now holds each committed batch."""
-        entries = self.spark.read.schema(_ENTRY).parquet(f"{self.path}/log")
-        return entries.groupBy("batch").agg(F.max_by("data", "fold").alias("data"))
+    def pieces(self) -> list[str]:
+        """The folders that hold the committed batches: as many as batches since the last compaction, and its fold."""
+        return sorted(self.log.state()["pieces"])
 
     def commit(self, batch: str, events: DataFrame) -> bool:
         """Store a batch; False if it was committed before."""
-        if not self.log().where(F.col("batch") == batch).isEmpty():
+        state = self.log.state()
+        if self.log.done(batch, state):
             return False
         summed = events.groupBy(*GROUP).agg(F.sum("n_docs").cast("long").alias("n_docs"), F.sum("n_tokens").cast("long").alias("n_tokens"))
-        summed.write.mode("overwrite").parquet(f"{self.path}/batches/{batch}")
-        self._record(self.spark.createDataFrame([(batch, f"batches/{batch}", 0)], _ENTRY))
+        self._put(batch, summed, [], state)
         return True
 
-    def _record(self, entries: DataFrame) -> None:
-        """Add entries as one file, which is there as a whole or not at all."""
-        entries.coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+    def _put(self, batch: str, rows: DataFrame, drops: list[str], state: dict) -> None:
+        data = f"data/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{data}")
+        self.log.commit(batch, [(data, "all", 0)], drops, state)
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer_version, n_docs, n_tokens) over all committed batches."""
-        # as many folders as batches since the last compaction
-        folders = sorted(r["data"] for r in self.log().select("data").distinct().collect())
-        if not folders:
+        return self._totals(self.pieces())
+
+    def _totals(self, pieces: list[str]) -> DataFrame:
+        if not pieces:
             return self.spark.createDataFrame([], _DELTA)
-        rows = self.spark.read.schema(_DELTA).parquet(*(f"{self.path}/{x}" for x in folders))
+        rows = self.spark.read.schema(_DELTA).parquet(*(f"{self.path}/{x}" for x in pieces))
         out = rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return out.where("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> None:
-        """Fold the committed batches into one folder, which their ids then point to; one writer at a time."""
-        last = self.spark.read.schema(_ENTRY).parquet(f"{self.path}/log").agg(F.max("fold")).first()[0]
-        if last is not None:
-            folder = f"folded/{uuid.uuid4().hex}"
-            self.totals().write.parquet(f"{self.path}/{folder}")
-            self._record(self.log().select("batch", F.lit(folder).alias("data"), F.lit(last + 1).cast("long").alias("fold")))
+        """Fold the committed batches into one piece; one writer at a time."""
+        state = self.log.state()
+        if len(state["pieces"]) > 1:
+            self._put(f"fold-{uuid.uuid4().hex}", self._totals(sorted(state["pieces"])), sorted(state["pieces"]), state)
+            self.log.snapshot()
 
 
 WORDS = r"[^\x20\x09-\x0D]+"

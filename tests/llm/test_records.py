@@ -275,10 +275,11 @@ def test_quotes(spark):
 
 def test_short_quotes(spark):
     rows = [(1, 0, "Shall we?"), (1, 1, "Yes"), (1, 2, "No"), (1, 3, "> Yes\nGood"), (1, 4, ">No\n\nPity"), (1, 5, "> はい\nnobody said so"), (1, 6, "> Good\n> ok\nfine"), (1, 7, ">\n> \nempty")]
+    rows += [(3, 0, "Ja\nwell\nNo"), (3, 1, "> Ja\n> No\nhm"), (3, 2, "> hm\n> y")]
     rows += [(2, 0, "好"), (2, 1, "> 好\n行"), (2, 2, "> 行\n吗"), (2, 3, "so\nbe it"), (2, 4, "> so\na line quoted alone"), (2, 5, "> so\n> never said\nno")]
     out = quote_linking.conversations(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string"))
     got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["thread"], r["depth"]) for r in out.collect() if r["reply_to"] is not None}
-    assert got == {(1, 3): (1, 1, 1), (1, 4): (2, 2, 1), (1, 6): (3, 1, 2), (2, 1): (0, 0, 1), (2, 2): (1, 0, 2), (2, 4): (3, 3, 1)}
+    assert got == {(1, 3): (1, 1, 1), (1, 4): (2, 2, 1), (1, 6): (3, 1, 2), (2, 1): (0, 0, 1), (2, 2): (1, 0, 2), (2, 4): (3, 3, 1), (2, 5): (3, 3, 1), (3, 1): (0, 0, 1), (3, 2): (1, 0, 2)}
 
 
 def test_generated_quotes_against_sql(spark):
@@ -334,17 +335,25 @@ def test_rollups(spark, tmp_path):
     store.commit("c", token_rollups.revise(rows(("s", "en", "1", 5)), rows(("s", "en", "2", 9))))
     want = sorted([("s", "en", "1", 1, 10), ("s", "en", "2", 1, 9), (None, None, "1", 1, 0)], key=str)
     assert totals() == want
-    spark.createDataFrame([("s", "en", "1", 1, 999)], "source string, lang string, tokenizer_version string, n_docs long, n_tokens long").write.parquet(str(tmp_path / "r/batches/torn"))
+    spark.createDataFrame([("s", "en", "1", 1, 999)], "source string, lang string, tokenizer_version string, n_docs long, n_tokens long").write.parquet(str(tmp_path / "r/data/torn"))
     assert totals() == want  # a batch without a log entry is not read
     store.compact()
     assert totals() == want and not store.commit("a", token_rollups.insert(rows(("s", "en", "1", 10))))
     assert store.commit("d", token_rollups.insert(rows())) and totals() == want
     # a compaction that stops before its entries are written leaves the log as it was
-    spark.createDataFrame([("s", "en", "1", 7, 7)], "source string, lang string, tokenizer_version string, n_docs long, n_tokens long").write.parquet(str(tmp_path / "r/folded/stopped"))
+    spark.createDataFrame([("s", "en", "1", 7, 7)], "source string, lang string, tokenizer_version string, n_docs long, n_tokens long").write.parquet(str(tmp_path / "r/data/stopped"))
     assert totals() == want
     store.compact()
     store.compact()
-    assert totals() == want and store.log().select("data").distinct().count() == 1 and not store.commit("c", token_rollups.insert(rows(("s", "en", "1", 10))))
+    assert totals() == want and len(store.pieces()) == 1 and not store.commit("c", token_rollups.insert(rows(("s", "en", "1", 10))))
+    store.log.EVERY = 4
+    for i in range(24):
+        assert store.commit(f"n{i}", token_rollups.insert(rows(("n", "en", "1", i))))
+        if i % 8 == 7:
+            store.compact()
+    again = token_rollups.Rollup(spark, str(tmp_path / "r"))
+    assert len(again.log.names()) <= 12 and len(again.pieces()) == 1 and not again.commit("n3", token_rollups.insert(rows(("n", "en", "1", 1))))
+    assert totals() == sorted([*want, ("n", "en", "1", 24, sum(range(24)))], key=str)
 
 
 def test_rollups_of_repeated_rows_and_long_texts(spark, tmp_path):
