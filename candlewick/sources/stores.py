@@ -64,10 +64,12 @@ class Log:
             raise RuntimeError(f"{name} of {self.path} was written by somebody else")
 
     def delete(self, name: str) -> None:
-        self.fs.delete(self.hadoop(f"{self.path}/{name}"), True)
+        """Delete a file, or a piece with what stands beside it."""
+        for own in {name, beside(name)}:
+            self.fs.delete(self.hadoop(f"{self.path}/{own}"), True)
 
     def state(self) -> dict:
-        """seq, pieces (data -> [day, level, seq]), marks (writer -> last number), ids of named batches since the snapshot, dropped pieces."""
+        """seq, pieces (data -> [day, level, seq] and the ends of its ids, if they are kept), marks (writer -> last number), ids of named batches since the snapshot, dropped pieces."""
         names = self.names()
         snapshots = [n for n in names if n.startswith("snapshot-")]
         last = snapshots[-1] if snapshots else ""
@@ -80,7 +82,7 @@ class Log:
                 for data in entry["drops"]:
                     state["pieces"].pop(data)
                     state["dropped"].append(data)
-                state["pieces"] |= {data: [day, level, entry["seq"]] for data, day, level in entry["adds"]}
+                state["pieces"] |= {data: [day, level, entry["seq"], *ends] for data, day, level, *ends in entry["adds"]}
                 if entry["number"] is None:
                     state["ids"].append(entry["writer"])
                 else:
@@ -127,12 +129,19 @@ class Store:
     With ``keys`` and ``version`` the table has one row a key, that of the highest version, of equal ones the last that came;
     a batch adds only its own rows, and a reader puts the pieces of a day together. The keys must fix the day.
     A batch is a name, or a writer and its growing number.
+
+    With ``lookup``, columns that name a row, the last of them an integer, the log has the ends of that integer in each piece, and a Bloom
+    filter of the columns' hashes stands beside it: ``holding`` tells which pieces may hold given rows without opening the others.
     """
 
+    #: Bits of a Bloom filter on level 0; a filter has FAN times as many on each further level.
+    BITS = 1 << 19
+
     #: Pieces of one level and day that are merged into one.
     FAN = 8
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, day: str | None = None, defaults: dict[str, str] | None = None, keys: list[str] | None = None, version: str = "updated_at"):
+    def __init__(self, spark: SparkSession, path: str, schema: str, day: str | None = None, defaults: dict[str, str] | None = None, keys: list[str] | None = None, version: str = "updated_at", lookup: list[str] | None = None):
+        self.lookup = lookup
         self.spark, self.path, self.schema, self.defaults = spark, path, schema, defaults or {}
         self.day = F.coalesce(F.expr(day).cast("string"), F.lit("none")) if day else F.lit("all")
         self.keys, self.version, self.log = keys, version, Log(spark, path)
@@ -155,7 +164,7 @@ class Store:
     def pieces(self, days: Iterable[str] | None = None) -> list[str]:
         """The folders that the table, or some days of it, consists of."""
         wanted = None if days is None else {*days}
-        return sorted(data for data, (day, _, _) in self.log.state()["pieces"].items() if wanted is None or day in wanted)
+        return sorted(data for data, (day, *_) in self.log.state()["pieces"].items() if wanted is None or day in wanted)
 
     def _rows(self, pieces: list[str]) -> DataFrame:
         """The rows of pieces, with ``_seq`` where keys are kept."""
@@ -182,7 +191,42 @@ class Store:
     def _write(self, rows: DataFrame, days: list[str], level: int) -> list[tuple[str, str, int]]:
         data = f"data/{uuid.uuid4().hex}"
         rows.withColumn("_day", self.day).write.partitionBy("_day").parquet(f"{self.path}/{data}")
-        return [(f"{data}/_day={day}", day, level) for day in days]
+        pieces = {day: f"{data}/_day={day}" for day in days}
+        if not self.lookup:
+            return [(piece, day, level) for day, piece in pieces.items()]
+        kept = self.spark.read.schema(f"{self.schema}, _day string").parquet(f"{self.path}/{data}")
+        bits = kept.select("_day", *self._slot(level, *map(F.col, self.lookup)))
+        bits = bits.groupBy("_day", "bucket").agg(F.expr("bitmap_construct_agg(place)").alias("bits")).withColumn("level", F.lit(level))
+        bits.write.partitionBy("_day").parquet(f"{self.path}/{data}-bloom")
+        ends = {r[0]: r[1:] for r in kept.groupBy("_day").agg(F.min(self.lookup[-1]), F.max(self.lookup[-1])).collect()}  # a row a day
+        return [(piece, day, level, *ends.get(day, (None, None))) for day, piece in pieces.items()]
+
+    def _slot(self, level: int, *columns) -> list:
+        """Where a row's bit is in a filter of a level: the bucket of 32768 bits, and the place in it."""
+        at = F.pmod(F.xxhash64(*columns), F.lit(self.BITS * self.FAN**level))
+        return [F.floor(at / 32768).alias("bucket"), (at % 32768).alias("place")]
+
+    def holding(self, rows: DataFrame) -> list[str]:
+        """The pieces that may hold one of ``rows`` (columns of ``lookup``), by the ends of their ids, then by their filters."""
+        low, high = rows.agg(F.min(self.lookup[-1]), F.max(self.lookup[-1])).first()
+        if low is None:
+            return []
+        found: dict[int, list[str]] = {}
+        for data, (_, level, _, first, last) in self.log.state()["pieces"].items():
+            if first is not None and first <= high and low <= last:
+                found.setdefault(level, []).append(data)
+        out: list[str] = []
+        for level, pieces in found.items():  # a job a level, over the filters of these pieces alone
+            bits = self.spark.read.schema("bucket long, bits binary, level int").parquet(*(f"{self.path}/{beside(p)}" for p in pieces))
+            bits = bits.select("bucket", "bits", F.regexp_extract("_metadata.file_path", r"data/([^/]+)-bloom/(_day=[^/]+)/", 0).alias("piece"))
+            asked = rows.select(*self._slot(level, *map(F.col, self.lookup))).distinct()
+            there = F.expr("shiftright(cast(conv(hex(substring(bits, cast(place div 8 + 1 as int), 1)), 16, 10) as int), cast(place % 8 as int)) & 1") == 1
+            out += [r[0] for r in bits.join(asked, "bucket").where(there).select(F.regexp_replace(F.regexp_replace("piece", "-bloom/", "/"), "/$", "")).distinct().collect()]
+        return sorted(out)
+
+    def read_pieces(self, pieces: list[str]) -> DataFrame:
+        """The rows of some pieces of a store without keys."""
+        return self._rows(pieces)
 
     def _add(self, batch: Batch, rows: DataFrame, replaced: Callable[[list[str]], list[str]] | None = None) -> bool:
         state = self.log.state()
@@ -203,7 +247,7 @@ class Store:
             while True:
                 state, full = self.log.state(), None
                 by_level: dict[int, list[str]] = {}
-                for data, (own, level, _) in state["pieces"].items():
+                for data, (own, level, *_) in state["pieces"].items():
                     if own == day:
                         by_level.setdefault(level, []).append(data)
                 full = next((level for level in sorted(by_level) if len(by_level[level]) >= self.FAN), None)
@@ -245,6 +289,11 @@ class Store:
             self.log.delete(data)
 
 
+def beside(data: str) -> str:
+    """Where the Bloom filter of a piece is."""
+    return data.replace("/_day=", "-bloom/_day=")
+
+
 def publishable(trades: DataFrame) -> DataFrame:
     """(key, value) of trades for a keyed stream: the symbol, and the trade as JSON."""
     return trades.select(F.col("symbol").alias("key"), F.to_json(F.struct(*trades.columns)).alias("value"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from candlewick.operators import candles, trades
 from candlewick.sources import recovery
 from candlewick.sources.stores import Store, publishable
+from candlewick.streaming.metrics import LiveCounters, observed_messages
 
 TRADE = "symbol string, trade_id long, price double, quantity double, timestamp long"
 CANDLE = "symbol string, window_start long, open double, high double, low double, close double, volume decimal(38,12), trade_count long, updated_at timestamp"
@@ -37,16 +38,16 @@ class ExactCandles:
     from all of their trades, and upserts these candles with a version that grows
     from batch to batch. Messages that are no trades go to a third table, by the day on which they came. All tables take
     a batch once, so a restart or a redelivery changes nothing. A batch reads and writes
-    only the days of its trades, but for ids that come again under
-    another date: there the files' own id ranges tell which of them to open.
+    only the days of its trades, but for ids that may have come before, whatever the date:
+    id ranges and Bloom filters tell which pieces to open for these.
 
     Batches are known by the query's id, which its checkpoint holds, and their number. A query that has lost its
     checkpoint counts from 0 again under a new id: nothing that it brings is taken for known, and trades that are stored already change nothing.
     """
 
-    def __init__(self, spark: SparkSession, path: str, seconds: int = 60):
-        self.seconds, self.path, self.writer = seconds, path, None
-        self.trades = Store(spark, f"{path}/trades", TRADE, "date_from_unix_date(timestamp div 86400000)").create()
+    def __init__(self, spark: SparkSession, path: str, seconds: int = 60, counters: LiveCounters | None = None):
+        self.seconds, self.path, self.writer, self.counters = seconds, path, None, counters
+        self.trades = Store(spark, f"{path}/trades", TRADE, "date_from_unix_date(timestamp div 86400000)", lookup=["symbol", "trade_id"]).create()
         self.candles = Store(spark, f"{path}/candles", CANDLE, "date_from_unix_date(window_start div 86400)", keys=["symbol", "window_start"]).create()
         self.rejects = Store(spark, f"{path}/rejects", "raw string, reason string, came timestamp", "cast(came as date)").create()
 
@@ -56,14 +57,14 @@ class ExactCandles:
         name = (writer, number)
         if self.rejects.done(name):
             return
-        decoded = trades.decode(messages).persist()
+        seen, latest = Observation(), []
+        decoded = trades.decode(messages).observe(seen, *observed_messages()).persist()
         try:
             fresh = trades.trades_of(decoded)
             days = self.trades.days_of(fresh)
             if days and not self.trades.done(name):
-                ends = fresh.agg(F.min("trade_id"), F.max("trade_id")).first()
-                known = self.trades.read().where(F.col("trade_id").between(*ends))
-                clash = trades.conflicts(known.join(fresh, ["symbol", "trade_id"], "left_semi").unionByName(fresh)).first()
+                known = self.trades.read_pieces(self.trades.holding(fresh)).join(fresh.select("symbol", "trade_id").distinct(), ["symbol", "trade_id"], "left_semi")
+                clash = trades.conflicts(known.unionByName(fresh)).first()
                 if clash is not None:
                     raise ValueError(f"conflicting trade {clash['symbol']} {clash['trade_id']}")
                 self.trades.append(name, trades.distinct_trades(fresh).join(known, ["symbol", "trade_id"], "left_anti"))
@@ -72,7 +73,11 @@ class ExactCandles:
                 kept = self.trades.read(days).withColumn("window_start", candles.bucket_start(F.col("timestamp"), self.seconds)).join(buckets, ["symbol", "window_start"], "left_semi").drop("window_start")
                 version = self.candles.log.state()["seq"] + 1  # grows whoever writes
                 self.candles.upsert(name, candles.ohlcv(kept, self.seconds).withColumn("updated_at", F.timestamp_seconds(F.lit(version))), ["symbol", "window_start"])
+                if self.counters:
+                    latest = [tuple(r) for r in buckets.groupBy("symbol").agg(F.max("window_start")).collect()]  # a row a symbol
             self.rejects.append(name, trades.rejects(decoded).withColumn("came", F.current_timestamp()))
+            if self.counters:
+                self.counters.batch(*name, seen.get, latest, self.seconds)
         finally:
             decoded.unpersist()
 

@@ -129,6 +129,23 @@ def test_store(spark, tmp_path):
     assert len(more.pieces(["0"])) <= 3 and sorted(r["k"] for r in more.read(["none"]).collect()) == [9]
 
 
+def test_lookup_names_the_pieces_that_may_hold_an_id(spark, tmp_path):
+    kind = "symbol string, id long, at long"
+    s = Store(spark, str(tmp_path), kind, "cast(at as string)", lookup=["symbol", "id"]).create()
+    s.FAN = 3
+    rows = lambda *r: spark.createDataFrame(list(r), kind)
+    for day in range(5):
+        s.append(f"d{day}", rows(*[("A", 100 * day + i, day) for i in range(60)], *[("B", 100 * day + i + 7, day) for i in range(60)]))
+    s.append("late", rows(("A", 5000, 1), ("A", -3, 1)))  # a piece whose ids span all others
+    days = lambda *r: [p.rpartition("=")[2] for p in s.holding(rows(*r))]
+    assert days(("A", 305, 9)) == ["3"] and sorted(days(("A", 105, 9), ("B", 420, 9))) == ["1", "4"] and days(("A", 5000, 0)) == ["1"] and days(("C", 9999, 0)) == [] and days(("A", 80, 0)) == [] and s.holding(rows()) == []
+    s.append("more", rows(("A", 7000, 1)))  # merges the pieces of day 1
+    assert len(s.pieces(["1"])) == 1 and days(("A", 7000, 0)) == days(("A", 105, 0)) == days(("A", -3, 0)) == ["1"]
+    assert sum(len(s.holding(rows(("X", i, 0)))) for i in range(0, 400, 40)) <= 2
+    files = s.read_pieces(s.holding(rows(("A", 305, 9)))).inputFiles()
+    assert files and all("_day=3" in f for f in files)
+
+
 class Fake(Store):
     """A store whose pieces are only names: a piece's rows are counted, not written."""
 

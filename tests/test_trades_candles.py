@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from candlewick.operators import candles, monitor, trades
 from candlewick.sources import recovery
 from candlewick.sources.stores import Store
+from candlewick.streaming.metrics import LiveCounters
 from candlewick.streaming.candles import CANDLE, ExactCandles, bounded_candles, bounded_conflicts, read_trades_stream, replay_handlers, upsert_candles
 
 T0 = 1757578861000
@@ -258,3 +259,66 @@ def test_bounded_stream(spark, tmp_path):
     q.awaitTermination()
     r = spark.table("bounded").orderBy(F.desc("trade_count")).first()
     assert (r["open"], r["low"], r["close"], r["trade_count"]) == (100, 98, 98, 2)
+
+
+def test_live_counters(spark, tmp_path):
+    from types import SimpleNamespace as N
+
+    (tmp_path / "in").mkdir()
+    counters = LiveCounters()
+    spark.streams.addListener(counters)
+    try:
+        job = ExactCandles(spark, str(tmp_path / "out"), counters=counters)
+        for n, rows in enumerate([[("S", 1, 100.0, T0), ("R", 2, 101.0, T0 + 5)], [("S", 3, 102.0, T0 + 60_000)]]):
+            (tmp_path / "in" / f"{n}.txt").write_text("\n".join([*(message(*r) for r in rows), "not json"]))
+            job.start(read_trades_stream(spark, str(tmp_path / "in")), once=True).awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    finally:
+        spark.streams.removeListener(counters)
+    got = {(r["section"], r["metric"]): r["value"] for r in counters.rows(spark).collect()}
+    stored = monitor.stream_counters(job.trades.read(), job.candles.read()).first()
+    assert got["feed", "trades_total"] == stored["events_total"] == 3 and got["feed", "last_event"] == stored["last_event"] and got["feed", "events_total"] == 5 and got["feed", "invalid_total"] == job.rejects.read().count() == 2
+    assert got["feed", "events_lost"] == 0 and got["feed", "max_latency_S"] > got["feed", "last_latency_S"] > 0 and ("broker", "lag_total") not in got
+    counters.batch("q", 0, {"events": 1, "trades": 1, "last_event": 5}, [("S", 0)], now=100.0)
+    counters.batch("q", 0, {"events": 1, "trades": 1, "last_event": 5}, [("S", 0)], now=100.0)
+    assert counters.events == 6 and counters.latency["S"][0] == 40.0
+    source = N(latestOffset='{"t":{"0":10,"1":7}}', endOffset='{"t":{"0":8,"1":7}}')
+    counters.onQueryProgress(N(progress=N(id="k", sources=[source, N(latestOffset=None, endOffset='{"logOffset":3}')], numInputRows=1)))
+    counters.onQueryTerminated(N(exception="lost"))
+    rows = counters.rows(spark)
+    assert {(r["metric"], r["value"]) for r in rows.where("section in ('broker', 'runs')").collect()} == {("lag_total", 2.0), ("log_end_total", 17.0), ("failed_runs", 1.0)}
+    assert ("failed_runs", "beyond threshold") in {tuple(r) for r in monitor.alerts(rows, monitor.rules(spark)).collect()}
+
+
+def test_resume_by_record(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    trade = lambda i: json.dumps({"kind": "trade", "payload": {"symbol": "S", "trade_id": i, "price": 2, "quantity": 1, "timestamp": T0}})
+    whole = [trade(0), "junk", trade(1), trade(2), trade(3)]
+    (tmp_path / "r" / "a.jsonl").write_text("\n".join(whole) + "\n")
+    (tmp_path / "r" / "b.jsonl").write_text(trade(4) + "\n" + trade(5)[:20])
+    calls, broken = [], {2, 4}
+
+    def handle(rows):
+        for r in rows.collect():
+            i = json.loads(r["payload"])["trade_id"]
+            calls.append(i)
+            if i in broken:
+                broken.discard(i)
+                raise OSError("down")
+
+    run = lambda: recovery.resume(spark, str(tmp_path / "r"), str(tmp_path / "p"), {"trade": handle}, every=1)
+    for _ in range(2):
+        with pytest.raises(OSError):
+            run()
+    assert calls == [0, 1, 2, 2, 3, 4]
+    assert run() == 1 and run() == 0
+    (tmp_path / "r" / "b.jsonl").write_text(trade(4) + "\n" + trade(5) + "\n")
+    assert run() == 1 and calls == [0, 1, 2, 2, 3, 4, 4, 5] and run() == 0
+    (tmp_path / "big").mkdir()
+    (tmp_path / "big" / "x.jsonl").write_text("".join(f"{i}\n" for i in range(4000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert recovery.numbered(spark, str(tmp_path / "big")).where("record <> cast(value as long) or last <> 3999").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
