@@ -94,6 +94,7 @@ def norm(url: str) -> str:
 
 
 CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '[\s\x0B\x85\p{Z}]+', ' ', 'g'), '^ | $', '', 'g')"""
+INSIDE = r"regexp_replace('</item> </entry> ' || coalesce(html, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g')"
 HTML = "replace(replace(html, '&copy;', '©'), '&middot;', '·') || ' é' || chr(160) || 'AB…<i>&amp;lt;©'"
 REPEATED = r"""r0 AS (
   SELECT position, title, url, source, published_at FROM n
@@ -240,6 +241,7 @@ ORACLES = {
     "clean_text": f"SELECT page_id, {CLEAN} AS text FROM pages",
     "page_content": "SELECT page_id, coalesce(nullif(CASE WHEN page_id % 2 = 0 THEN regexp_extract(html, '<p>([^<]*)</p>', 1) END, ''), nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), nullif(url, ''), '') AS content FROM pages",
     "news_from_pages": f"SELECT * FROM (SELECT page_id, {norm('url')} AS url, trim(regexp_extract(html, '<title>([^<]*)</title>', 1), ' ') AS title, {CLEAN} AS content FROM pages) WHERE url <> '' AND title <> ''",
+    "feed_scan": f"SELECT page_id, 'Page <' || page_id || '> & more' AS title, {norm('url')} AS url, {CLEAN.replace('html,', INSIDE + ',')} AS content FROM pages WHERE url IS NOT NULL",
     "feed_sanitize": "SELECT page_id, '<item><link>' || url || '</link></item>' AS feed FROM pages",
     # by the form of a date: to the millisecond, second, minute, day or month; no date; with the hours from UTC that its zone has
     "parse_published": """SELECT event_id, CASE WHEN k = 8 THEN date_trunc('millisecond', ts) WHEN k IN (3, 26, 27) THEN NULL WHEN k < 16 THEN date_trunc('second', ts) WHEN k < 20 THEN date_trunc('minute', ts) WHEN k < 25 THEN date_trunc('day', ts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from candlewick.operators import candles as c
 from candlewick.operators import merge, monitor, quality, ranges
 from candlewick.operators import trades as t
 from candlewick.operators.correlate import near_moves
-from candlewick.session import cut, table
+from candlewick.session import cut, shared_dir, table
 from candlewick.sources import adapters as a
 
 NOW, HOUR = a.NOW, a.HOUR
@@ -454,6 +455,27 @@ def news_from_pages(spark, sf_dir):
     return rows.where((F.col("url") != "") & (F.col("title") != ""))
 
 
+@query
+def feed_scan(spark, sf_dir):
+    """Pages written to RSS and Atom feeds, read back by the feed reader: address, title and cleaned content."""
+    from candlewick.sources.stores import feed_entries
+
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    escaped = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    inside = F.regexp_replace(F.replace(F.concat(F.lit("</item> </entry> "), F.col("html")), F.lit("]]>"), F.lit("]]]]><![CDATA[>")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
+    link, title = escaped(F.col("url")), escaped(F.concat(F.lit("Page <"), F.col("page_id").cast("string"), F.lit("> & more")))
+    rss = F.concat(F.lit("<item><title>"), title, F.lit("</title><media:title>no</media:title><link>"), link, F.lit("</link><content:encoded/><description><![CDATA["), inside, F.lit("]]></description></item>"))
+    atom = F.concat(F.lit("<entry><title>"), title, F.lit('</title><link href="'), F.replace(link, F.lit('"'), F.lit("&quot;")), F.lit('"/><summary><![CDATA['), inside, F.lit("]]></summary></entry>"))
+    path = f"{shared_dir(spark)}/feeds-{uuid.uuid4().hex}"
+    # a hundred pages to a feed, each third one Atom
+    feed = F.floor(F.col("page_id") / 100)
+    items = p.where("url is not null").select(feed.alias("feed"), F.when(feed % 3 == 0, atom).otherwise(rss).alias("item")).groupBy("feed").agg(F.array_join(F.collect_list("item"), "").alias("items"))
+    whole = F.when(F.col("feed") % 3 == 0, F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), "items", F.lit("</feed>"))).otherwise(F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")))
+    items.select("feed", whole.alias("value")).write.partitionBy("feed").text(path)
+    rows = feed_entries(spark, path).where("error is null")
+    return rows.select(F.regexp_extract("title", "[0-9]+", 0).cast("long").alias("page_id"), "title", x.normalized_url(F.col("link")).alias("url"), x.clean_text(F.col("content")).alias("content"))
+
+
 @query
 def feed_sanitize(spark, sf_dir):
     p = table(spark, sf_dir, "pages")

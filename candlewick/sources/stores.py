@@ -180,10 +180,17 @@ class Store:
         rank = F.struct(F.coalesce(F.col(self.version), oldest), F.col("_seq"))
         return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rows.columns), rank).alias("_row")).select("_row.*")
 
-    def read(self, days: Iterable[str] | None = None) -> DataFrame:
-        """The table, or some days of it; columns added to the schema since a file was written have their default, or null."""
+    def read(self, days: Iterable[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+        """The table, or some days of it, or some columns; columns added to the schema since a file was written have their default, or null."""
         rows = self._rows(self.pieces(days))
-        return self._newest(rows).drop("_seq") if self.keys else rows
+        wanted = columns or [c for c in rows.columns if c != "_seq"]
+        if self.keys:
+            rows = self._newest(rows.select(*dict.fromkeys([*self.keys, *wanted, self.version, "_seq"])))
+        return rows.select(*wanted)
+
+    def days(self) -> list[str]:
+        """The days that the table has rows of."""
+        return sorted({day for day, *_ in self.log.state()["pieces"].values()})
 
     def days_of(self, rows: DataFrame) -> list[str]:
         return sorted(r[0] for r in rows.select(self.day.alias("day")).distinct().collect())
@@ -312,21 +319,26 @@ def history_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def feed_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Landed feeds, RSS or Atom, as (source, title, link, published, content, error): one row per item or entry.
+    """Landed feeds, RSS or Atom, as (source, title, link, published, content, error): one row per item or entry; the source is the file's name.
 
-    A file that is no feed gives one row with an error, so that it does not stop the others; an empty feed gives none.
+    Files are split and read by their items, not as a whole. What stands in a CDATA section or carries another prefix is no markup of the feed.
+    A file that is no feed, or whose markup breaks off, gives one row with an error beside the items before that, so it does not stop the others; an empty feed gives none.
     """
-    from candlewick.functions.expressions import first_filled, sanitized_feed
-
-    files = spark.read.option("wholetext", True).text(path).select(F.regexp_extract("_metadata.file_path", r"([^/]+?)(\.[^./]*)?$", 1).alias("source"), sanitized_feed(F.col("value")).alias("xml"))
-    shape = "title string, link string, pubDate string, description string, encoded string, published string, updated string, summary string, content string"
-    texts = F.regexp_extract_all("xml", F.lit(r"(?s)<(item|entry)[ >].*?</\1>"), 0)
-    files = files.withColumn("feed", F.col("xml").rlike(r"<(rss|feed|rdf:RDF)[\s>]"))
-    rows = files.select("source", "feed", F.explode_outer(texts).alias("one")).where("one is not null or not feed")
-    plain = F.regexp_replace(F.col("one"), r"<(/?)[a-z]+:encoded", "<$1encoded")
-    item = rows.withColumn("item", F.from_xml(plain, shape)).withColumn("href", F.regexp_extract("one", r"<link[^>]*\shref=[\"']([^\"']*)", 1))
-    link = first_filled(F.trim("item.link"), F.col("href"))
-    published = first_filled(F.col("item.pubDate"), F.col("item.published"), F.col("item.updated"))
-    content = first_filled(F.col("item.encoded"), F.col("item.content"), F.col("item.description"), F.col("item.summary"))
-    there = F.col("one").isNotNull()
-    return item.select("source", F.col("item.title").alias("title"), F.when(there, link).alias("link"), F.when(there, F.nullif(published, F.lit(""))).alias("published"), F.when(there, content).alias("content"), F.when(~there, "no items").alias("error"))
+    from candlewick.functions.expressions import first_filled
+
+    shape = "title string, link struct<_VALUE string, _href string>, pubDate string, description string, `content:encoded` string, published string, updated string, summary string, content string, broken string"
+    source = F.regexp_extract("_metadata.file_path", r"([^/]+?)(\.[^./]*)?$", 1).alias("source")
+    reader = spark.read.format("xml").schema(shape).option("columnNameOfCorruptRecord", "broken").option("mode", "PERMISSIVE")
+    items = reader.option("rowTag", "item").load(path).select(source, "*").unionByName(reader.option("rowTag", "entry").load(path).select(source, "*"))
+    # Spark reads the broken text only together with a field
+    items = items.withColumn("broken", F.nullif(F.concat_ws("", "broken", F.substring("title", 1, 0)), F.lit("")))
+    link = first_filled(F.trim("link._VALUE"), F.col("link._href"))
+    published = first_filled(F.col("pubDate"), F.col("published"), F.col("updated"))
+    content = first_filled(F.col("content:encoded"), F.col("content"), F.col("description"), F.col("summary"))
+    none = F.lit(None).cast("string")
+    good = items.where("broken is null").select("source", "title", link.alias("link"), F.nullif(published, F.lit("")).alias("published"), content.alias("content"), none.alias("error"))
+    files = spark.read.text(path).groupBy(source).agg(F.max(F.col("value").rlike(r"<(rss|feed|rdf:RDF|item|entry)[\s>]")).alias("feed"))
+    broken = items.groupBy("source").agg(F.max(F.col("broken").isNotNull()).alias("broken"))
+    error = F.when(~F.col("feed"), "no items").when(F.col("broken"), "broken markup")
+    errors = files.join(broken, "source", "left").select("source", *(none.alias(c) for c in ("title", "link", "published", "content")), error.alias("error")).where("error is not null")
+    return good.unionByName(errors)

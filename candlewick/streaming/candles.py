@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ class ExactCandles:
     def __init__(self, spark: SparkSession, path: str, seconds: int = 60, counters: LiveCounters | None = None):
         self.seconds, self.path, self.writer, self.counters = seconds, path, None, counters
         self.trades = Store(spark, f"{path}/trades", TRADE, "date_from_unix_date(timestamp div 86400000)", lookup=["symbol", "trade_id"]).create()
-        self.candles = Store(spark, f"{path}/candles", CANDLE, "date_from_unix_date(window_start div 86400)", keys=["symbol", "window_start"]).create()
+        self.candles = candle_store(spark, f"{path}/candles")
         self.rejects = Store(spark, f"{path}/rejects", "raw string, reason string, came timestamp", "cast(came as date)").create()
 
     def batch(self, messages: DataFrame, number: int) -> None:
@@ -128,7 +129,19 @@ def with_recovery(write: Callable[[DataFrame, int], None], path: str, kind: str,
 
 def upsert_candles(spark: SparkSession, path: str, rows: DataFrame, batch: str) -> bool:
     """Candles (with updated_at) into the store at ``path``."""
-    return Store(spark, path, CANDLE, "date_from_unix_date(window_start div 86400)", keys=["symbol", "window_start"]).create().upsert(batch, rows, ["symbol", "window_start"])
+    return candle_store(spark, path).upsert(batch, rows, ["symbol", "window_start"])
+
+
+def candle_store(spark: SparkSession, path: str) -> Store:
+    """The candles that an exact job keeps under ``path``."""
+    return Store(spark, path, CANDLE, "date_from_unix_date(window_start div 86400)", keys=["symbol", "window_start"]).create()
+
+
+def stored_lookback(store: Store, now: int, minutes: int, columns: list[str]) -> DataFrame:
+    """Some columns of the stored candles after ``now`` minus ``minutes``: only the days since then are read, and of these the row groups and columns asked for."""
+    first = datetime.fromtimestamp((now - minutes * 60) // 86400 * 86400, UTC).date().isoformat()
+    rows = store.read([day for day in store.days() if day >= first], list(dict.fromkeys([*columns, "window_start"])))
+    return rows.where(F.col("window_start") > now - minutes * 60).select(*columns)
 
 
 def replay_handlers(spark: SparkSession, path: str, send: Callable[[DataFrame], None]) -> dict[str, Callable[[DataFrame], None]]:
@@ -144,4 +157,4 @@ def replay_handlers(spark: SparkSession, path: str, send: Callable[[DataFrame],
     return {"trade": trade, "candle": candle}
 
 
-__all__ = ["ExactCandles", "bounded_candles", "bounded_conflicts", "publish", "read_trades_stream", "replay_handlers", "upsert_candles", "with_recovery"]
+__all__ = ["ExactCandles", "bounded_candles", "bounded_conflicts", "candle_store", "publish", "read_trades_stream", "replay_handlers", "stored_lookback", "upsert_candles", "with_recovery"]

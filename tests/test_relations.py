@@ -339,3 +339,7 @@ def test_landed_files(spark, tmp_path):
     rows = {r["source"]: r for r in feed_entries(spark, str(feed)).collect()}
     assert tuple(rows["three"]) == ("three", "A", "https://c/d", "2024-01-02T00:00:00Z", "S", None) and "four" not in rows
     assert (rows["one"]["title"], rows["one"]["content"], rows["one"]["error"]) == ("T", "D", None) and rows["two"]["error"] == "no items"
+    (feed / "cdata.xml").write_text('<rss><item><title>X</title><media:title>no</media:title><link>https://e/f</link><content:encoded/><description><![CDATA[a </item> <b>b</b>]]></description></item></rss>')
+    (feed / "torn.xml").write_text("<rss><channel><item><title>kept</title><link>https://g</link></item><item><title>lost</title><li")
+    rows = [tuple(r) for r in feed_entries(spark, str(feed)).where("source in ('cdata', 'torn')").collect()]
+    assert sorted(rows, key=str) == sorted([("cdata", "X", "https://e/f", None, "a </item> <b>b</b>", None), ("torn", "kept", "https://g", None, "", None), ("torn", None, None, None, None, "broken markup")], key=str)

@@ -8,7 +8,7 @@ from candlewick.operators import candles, monitor, trades
 from candlewick.sources import recovery
 from candlewick.sources.stores import Store
 from candlewick.streaming.metrics import LiveCounters
-from candlewick.streaming.candles import CANDLE, ExactCandles, bounded_candles, bounded_conflicts, read_trades_stream, replay_handlers, upsert_candles
+from candlewick.streaming.candles import CANDLE, ExactCandles, bounded_candles, bounded_conflicts, candle_store, read_trades_stream, replay_handlers, stored_lookback, upsert_candles
 
 T0 = 1757578861000
 FIELDS = "symbol string, trade_id long, price double, quantity double, timestamp long"
@@ -322,3 +322,16 @@ def test_resume_by_record(spark, tmp_path):
         assert recovery.numbered(spark, str(tmp_path / "big")).where("record <> cast(value as long) or last <> 3999").isEmpty()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_lookback_reads_only_its_days(spark, tmp_path):
+    store = candle_store(spark, str(tmp_path))
+    rows = spark.createDataFrame([("S", 86400 * d + 60 * m, float(m), float(d)) for d in range(6) for m in (1, 700)], "symbol string, window_start long, close double, volume double")
+    full = rows.selectExpr("symbol", "window_start", "close AS open", "close AS high", "close AS low", "close", "cast(volume as decimal(38,12)) AS volume", "1L AS trade_count", "timestamp_seconds(1) AS updated_at")
+    store.upsert("a", full, ["symbol", "window_start"])
+    store.upsert("b", full.where("window_start > 400000").withColumn("close", F.col("close") + 1), ["symbol", "window_start"])
+    got = stored_lookback(store, 5 * 86400 + 3600, 24 * 60, ["symbol", "window_start", "close"])
+    assert sorted(tuple(r) for r in got.collect()) == [("S", 4 * 86400 + 42000, 700.0), ("S", 5 * 86400 + 60, 2.0), ("S", 5 * 86400 + 42000, 701.0)]
+    assert {f.split("_day=")[1][:10] for f in got.inputFiles()} == {"1970-01-05", "1970-01-06"}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Filter") and "volume" not in plan.split("Relation")[0]  # the scan has the filter and the columns asked for
