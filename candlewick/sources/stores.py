@@ -178,7 +178,9 @@ class Store:
         """One row a key."""
         oldest = F.lit("1970-01-01").cast("timestamp").cast(rows.schema[self.version].dataType) if "timestamp" in rows.schema[self.version].dataType.simpleString() else F.lit(0)
         rank = F.struct(F.coalesce(F.col(self.version), oldest), F.col("_seq"))
-        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rows.columns), rank).alias("_row")).select("_row.*")
+        rest = [c for c in rows.columns if c not in self.keys]
+        one = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), rank).alias("_row"))
+        return one.select(*(c if c in self.keys else F.col(f"_row.{c}").alias(c) for c in rows.columns))  # keys as they are grouped, so a filter on them reaches the scan
 
     def read(self, days: Iterable[str] | None = None, columns: list[str] | None = None) -> DataFrame:
         """The table, or some days of it, or some columns; columns added to the schema since a file was written have their default, or null."""
