@@ -281,7 +281,9 @@ def bits_apart(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     fit = lambda c, other: F.when(F.size(c) == 2 * F.size(other), folded(c)).otherwise(F.col(c))
     differ = F.aggregate(F.zip_with(fit("_a", "_b"), fit("_b", "_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     same = F.size("_a").between(half("_b"), 2 * F.size("_b"))
-    both = pairs.join(sketches.toDF("p", "_a"), "p").join(sketches.toDF("m", "_b"), "m")
+    # only the sketches that the pairs name are moved
+    own = lambda side, name: sketches.join(few(pairs.select(F.col(side).alias("key")).distinct()), "key", "left_semi").toDF(side, name)
+    both = pairs.join(own("p", "_a"), "p").join(own("m", "_b"), "m")
     return both.withColumn("apart", F.greatest(F.abs(F.col("n") - F.col("np")), F.when(same, differ).otherwise(0)).cast("long")).drop("_a", "_b")
 
 
@@ -298,9 +300,11 @@ def grouped(docs: DataFrame, id_col: str, words: int, percent: int, rows: DataFr
     near_by = -(-(stay + 100 - percent) * 100 // percent) + 100 - percent
     cut = tables.cut
     crowded = cut(spread.join(spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"))
-    weight = crowded.groupBy("key").agg(F.sum("size").alias("weight"))
+    weight = cut(crowded.groupBy("key").agg(F.sum("size").alias("weight")))
     members = cut(crowded.join(weight, "key").select("bucket", "key", "n", "weight"))
-    tables.drop_since(0, crowded, members)
+    tables.drop_since(0, members, weight)
+    if sketches is not None:
+        sketches = cut(sketches.join(few(weight.select("key")), "key", "left_semi"))
     sets = sets_of(docs, id_col, one.join(weight, "key", "left_semi").select("of.id", "of.text_key", "key"), words, cut)
     labels, dealt = None, []
     for _ in range(turns):
