@@ -67,6 +67,8 @@ class Plain:
             return 1 / (len(self.counts[1]) + 1)
         o, h = len(g), g[:-1]
         v = self.counts[o][g]
+        if not self.total[o][h]:
+            return self.p(g[1:])
         return (v - self.d[o][min(v, 3)]) / self.total[o][h] + self.kinds[o][h] / self.total[o][h] * self.p(g[1:])
 
     def log_ppl(self, text):
@@ -123,6 +125,27 @@ def test_rules_against_brute_force(spark):
     assert ngram_perplexity.rule(docs.limit(0)).count() == 0
 
 
+def test_texts_that_were_not_counted(spark):
+    """Unseen n-grams, contexts, symbols and languages; a model counted on nothing; both ways to look n-grams up."""
+    known = [("the sea was calm and then night came", "a"), ("漢字 and the sea", "a"), ("la mer est calme", "b"), ("кот и пёс", None)]
+    asked = [*EDGE, "the sea was calm", "qqq zzz", "кот sea mer 漢", "😀😀 the", "x" * 3000]
+    rows = [(i, t, (None, "a", "b", "elsewhere")[j]) for j in range(4) for i, t in enumerate(asked, 100 * j)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = ngram_perplexity.fit(spark.createDataFrame(known, "text string, lang string"))
+    plain = {k: Plain([t for t, x in known if (x or "und") == k]) for k in ("a", "b", "und")}
+    pooled = Plain([t for t, _ in known])
+    for sent in (ngram_perplexity.SENT, 0):
+        got = {r["doc_id"]: r for r in ngram_perplexity.measure(docs, model, sent).collect()}
+        assert len(got) == len(rows)
+        for i, text, lang in rows:
+            for name, by in (("log_ppl", plain.get(lang or "und", pooled)), ("pooled", pooled)):
+                want = by.log_ppl(text)
+                assert got[i][name] == (want if want is None else pytest.approx(want, rel=1e-9)), (text, lang, name, sent)
+    nothing = ngram_perplexity.fit(docs.limit(0))
+    for sent in (ngram_perplexity.SENT, -1):
+        assert all(r["log_ppl"] is None and r["pooled"] is None for r in ngram_perplexity.measure(docs, nothing, sent).collect())
+
+
 def test_bands_reject_what_is_unlike_the_language(spark):
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(rng.choice(["the", "sea", "was", "calm", "and", "then", "night", "came"], 60)), "en") for i in range(120)]
