@@ -37,6 +37,21 @@ def test_text(spark):
     assert one(spark, x.sanitized_feed, "<a><content:encoded/><content:encoded>b</content:encoded></a>") == "<a><content:encoded>b</content:encoded></a>"
 
 
+def test_entities_cut_off_before_their_semicolon(spark, tmp_path):
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    cut = "ver&amp p &am; &ampx; &amp;lt; &middot;"
+    assert one(spark, clean_text_full, cut) == "ver& p &am; &x; &lt; ·"
+    assert one(spark, lambda c: clean_text_full(c, closed=True), cut) == "ver&amp p &am; &ampx; &lt; ·"
+    pages = spark.createDataFrame([(1, f"<b>{cut}</b>"), (2, None), (3, "&am")], "page_id long, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    sql = oracle_sql()["clean_text_full"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = [tuple(r) for r in queries()["clean_text_full"](spark, str(tmp_path)).orderBy("page_id").collect()]
+    assert got == duckdb.sql(sql).order("page_id").fetchall()
+
+
 def test_dates(spark):
     d = lambda *t: datetime(2024, 9, 2, *t)
     forms = {
