@@ -27,10 +27,19 @@ def _sealed(raw: Column) -> Column:
     return F.concat(F.lit("["), raw, F.lit(',{"_seal":"'), F.xxhash64(raw).cast("string"), F.lit('"}]'))
 
 
+def _read(raw: Column, kind: str) -> Column:
+    """The elements of a sealed text, the first as ``kind``; what can't be read is null."""
+    return F.from_json(_sealed(raw), f"array<{kind}>", STRICT)
+
+
+def _opened(two: Column, raw: Column, seal: Callable[[Column], Column]) -> Column:
+    """The first of the elements read, where the second is the seal of ``raw``."""
+    return F.when((F.size(two) == 2) & (seal(F.get(two, F.lit(1))) == F.xxhash64(raw).cast("string")), F.get(two, F.lit(0)))
+
+
 def _whole(raw: Column, kind: str, seal: Callable[[Column], Column]) -> Column:
     """The object in a JSON text as ``kind``; null where the text is not exactly one object."""
-    read = F.from_json(_sealed(raw), f"array<{kind}>", STRICT)
-    return once(read, lambda two: F.when((F.size(two) == 2) & (seal(F.get(two, F.lit(1))) == F.xxhash64(raw).cast("string")), F.get(two, F.lit(0))))
+    return once(_read(raw, kind), lambda two: _opened(two, raw, seal))
 
 
 def is_json(raw: Column) -> Column:
@@ -47,13 +56,33 @@ def _string(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
 
-def _trade(symbol: Column, trade_id: Column, price: Column, quantity: Column, at: Column) -> Column:
-    """Five JSON values as a struct of FIELDS, or null where they break the contract."""
-    whole = lambda v: F.when((_kind(v) == "BIGINT") | ((_kind(v) == "STRING") & _string(v).rlike(WHOLE)), _string(v)).try_cast("long")
-    number = lambda v: F.when(_kind(v).rlike(r"^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(v, "$", "double")).when((_kind(v) == "STRING") & _string(v).rlike(NUMBER), _string(v).try_cast("double"))
-    own = [F.when(_kind(symbol) == "STRING", F.upper(_string(symbol))), whole(trade_id), number(price), number(quantity), whole(at)]
-    fields = F.struct(*(f.alias(n) for f, n in zip(own, FIELDS, strict=True)))
-    return once(fields, lambda t: F.when(valid_trade(*(t[n] for n in FIELDS)), t))
+def _text(value: Column) -> Column:
+    """The text in a JSON value; null where it is something else."""
+    return F.when(_kind(value) == "STRING", _string(value))
+
+
+def _fields(symbol: Column, trade_id: Column, price: Column, quantity: Column, at: Column) -> Column:
+    """A struct of FIELDS, null where a value has not the form of its field.
+
+    The symbol is a JSON value; the others are texts, of a JSON number as it is written: what else JSON has (true, lists, objects) matches neither pattern.
+    """
+    whole = lambda v: F.when(v.rlike(WHOLE), v).try_cast("long")
+    number = lambda v: F.when(v.rlike(NUMBER), v).try_cast("double")
+    own = [F.upper(_text(symbol)), whole(trade_id), number(price), number(quantity), whole(at)]
+    return F.struct(*(f.alias(n) for f, n in zip(own, FIELDS, strict=True)))
+
+
+def _kept(fields: Column) -> Column:
+    return F.when(valid_trade(*(fields[n] for n in FIELDS)), fields)
+
+
+#: What is read of a message: the symbol's kind counts, the others may be texts.
+SHAPE = "struct<symbol:variant," + ",".join(f"{n}:string" for n in FIELDS[1:]) + ",_seal:string>"
+
+
+def _contract_fields(two: Column, raw: Column) -> Column:
+    whole = _opened(two, raw, lambda s: s["_seal"])
+    return _fields(*(whole[n] for n in FIELDS))
 
 
 def contract(raw: Column) -> Column:
@@ -62,8 +91,17 @@ def contract(raw: Column) -> Column:
     The text is one object and nothing more; of a name that repeats the last counts. The symbol must be a string;
     ids and times integers or texts of digits, never true or false or with a point or exponent; price and quantity numbers or numeric texts.
     """
-    shape = "struct<" + ",".join(f"{n}:variant" for n in FIELDS) + ",_seal:string>"
-    return once(_whole(raw, shape, lambda s: s["_seal"]), lambda o: _trade(*(o[n] for n in FIELDS)))
+    return once(once(_read(raw, SHAPE), lambda two: _contract_fields(two, raw)), _kept)
+
+
+def _computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``name``, computed once a row: a later filter on it is not moved below, which would repeat ``value`` and all that it is made of."""
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
+
+
+#: What is read of an exchange message, and the same by names that differ in more than case.
+MESSAGE = "e:variant,s:variant,t:string,p:string,q:string,T:string"
+RENAMED = "e:variant,s:variant,t:string,p:string,q:string,at:string"
 
 
 def parse_envelope(df: DataFrame, column: str = "value") -> DataFrame:
@@ -71,17 +109,17 @@ def parse_envelope(df: DataFrame, column: str = "value") -> DataFrame:
 
     What has the name ``data`` is wrapped, whatever that holds: null or a text there is no trade. Names are told apart by case.
     """
-    raw = F.col(column).cast("string")
-    seal = lambda m: F.try_element_at(m, F.lit("_seal"))
-    wrapped = F.map_contains_key(_whole(raw, "map<string,string>", seal), F.lit("data"))
-    inner = _whole(raw, "struct<data:map<string,variant>,_seal:string>", lambda s: s["_seal"])["data"]
-    bare = _whole(raw, "map<string,variant>", lambda m: _string(F.try_element_at(m, F.lit("_seal"))))
-
-    def trade(fields: Column) -> Column:
-        named = lambda name: F.try_element_at(F.filter(F.map_entries(fields), lambda e: e["key"] == name), F.lit(-1))["value"]
-        return F.when((_kind(named("e")) == "STRING") & (_string(named("e")) == "trade"), _trade(*(named(n) for n in "stpqT")))
-
-    return df.withColumn("trade", once(F.when(wrapped, inner).when(~wrapped, bare), trade))
+    raw, two, whole, message = (F.col(c) for c in ("_raw", "_two", "_whole", "_message"))
+    read = _read(raw, f"struct<data:struct<{MESSAGE}>,{MESSAGE},_seal:string>").cast(f"array<struct<data:struct<{RENAMED}>,{RENAMED},_seal:string>>")
+    # without data the name may be missing or hold something else; a text that can't spell the name need not be read again
+    named = (raw.contains("data") | raw.contains("\\")) & F.map_contains_key(_whole(raw, "map<string,string>", lambda m: F.try_element_at(m, F.lit("_seal"))), F.lit("data"))
+    bare = F.struct(*(whole[n].alias(n) for n in ("e", "s", "t", "p", "q", "at")))
+    rows = _computed(df, "_raw", F.col(column).cast("string"))
+    rows = _computed(rows, "_two", read)
+    rows = _computed(rows, "_whole", _opened(two, raw, lambda s: s["_seal"]))
+    rows = _computed(rows, "_message", F.when(whole["data"].isNotNull(), whole["data"]).when(whole.isNotNull() & ~named, bare))
+    fields = F.when(_text(message["e"]) == "trade", _fields(*(message[n] for n in ("s", "t", "p", "q", "at"))))
+    return _computed(_computed(rows, "_fields", fields), "trade", _kept(F.col("_fields"))).drop("_raw", "_two", "_whole", "_message", "_fields")
 
 
 def decode(df: DataFrame, column: str = "value") -> DataFrame:

@@ -94,6 +94,23 @@ def test_envelope_and_rejects(spark):
     assert sorted(r for _, r in got) == ["invalid-trade"] * 3 + ["non-json"] and max(n for n, _ in got) == 2000
 
 
+def computed_once(df):
+    """How often the optimised plan reads JSON and builds ``value``."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("from_json("), plan.count("reverse(")
+
+
+def test_an_envelope_is_read_once(spark):
+    inner = {"e": "trade", "t": 123, "s": "BTCUSDT", "p": "112345.12", "q": 0.5, "T": 1757578923123}
+    texts = spark.createDataFrame([(json.dumps(inner)[::-1],)], "value string").select(F.reverse("value").alias("value"))
+    assert computed_once(trades.trades_of(trades.parse_envelope(texts))) == (2, 1)  # the second only where a text can spell data
+    spelt = lambda name, value: "{" + f'"{name}":{value},' + json.dumps(inner)[1:]
+    cases = {spelt("\\u0064ata", "null"): False, spelt("Data", "null"): True, spelt("n", '{"x":1,"x":2}'): True, spelt("note", '"data \\u0064"'): True, spelt("data", "null") + " ": False, "": False, '{"data":' + json.dumps(inner) + ',"data":null}': False}
+    cases |= {json.dumps(inner | odd): False for odd in ({"t": True}, {"t": None}, {"t": [5]}, {"t": 5.0}, {"p": {"x": 1}}, {"s": 7}, {"s": None}, {"e": None}, {"T": "true"})}
+    rows = trades.parse_envelope(spark.createDataFrame(list(cases), "string")).collect()
+    assert {r["value"]: r["trade"] is not None for r in rows} == cases
+
+
 def series(spark, closes, start=0, volume=10.0, symbol="S"):
     rows = [(symbol, start + 60 * i, c, c, c, c, volume if not callable(volume) else volume(i), 1) for i, c in closes]
     return spark.createDataFrame(rows, "symbol string, window_start long, open double, high double, low double, close double, volume double, trade_count long")
