@@ -124,9 +124,11 @@ def parse_envelope(df: DataFrame, column: str = "value") -> DataFrame:
 
 def decode(df: DataFrame, column: str = "value") -> DataFrame:
     """``df`` with ``trade``: messages in the normalised form; bytes that are no UTF-8 are no message."""
-    raw = F.col(column)
-    text = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
-    return df.withColumn("trade", contract(text))
+    raw, text = F.col("_raw"), F.col(column).cast("string")
+    rows = _computed(df, "_raw", F.when(F.is_valid_utf8(text), text))
+    rows = _computed(rows, "_two", _read(raw, SHAPE))
+    rows = _computed(rows, "_fields", _contract_fields(F.col("_two"), raw))
+    return _computed(rows, "trade", _kept(F.col("_fields"))).drop("_raw", "_two", "_fields")
 
 
 def trades_of(decoded: DataFrame) -> DataFrame:

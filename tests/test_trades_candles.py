@@ -111,6 +111,13 @@ def test_an_envelope_is_read_once(spark):
     assert {r["value"]: r["trade"] is not None for r in rows} == cases
 
 
+def test_a_message_is_read_once(spark):
+    good = json.dumps({"symbol": "btc", "trade_id": 7, "price": 1.50, "quantity": "2", "timestamp": T0})
+    texts = spark.createDataFrame([(good[::-1],), (None,)], "value string").select(F.reverse("value").alias("value"))
+    kept = trades.trades_of(trades.decode(texts))
+    assert computed_once(kept) == (1, 1) and [tuple(r) for r in kept.collect()] == [("BTC", 7, 1.5, 2.0, T0)]
+
+
 def series(spark, closes, start=0, volume=10.0, symbol="S"):
     rows = [(symbol, start + 60 * i, c, c, c, c, volume if not callable(volume) else volume(i), 1) for i, c in closes]
     return spark.createDataFrame(rows, "symbol string, window_start long, open double, high double, low double, close double, volume double, trade_count long")
