@@ -27,15 +27,36 @@ def arrival_gaps(trades: DataFrame, position: str) -> DataFrame:
     return rows.where("trade_id > seen + 1").select("symbol", (F.col("seen") + 1).alias("start"), (F.col("trade_id") - 1).alias("end"))
 
 
+def _events(ranges: DataFrame) -> DataFrame:
+    """(symbol, at, n) of ranges: behind id ``at`` one range more is open, or one less."""
+    ends = F.array(F.struct((F.col("start") - 1).alias("at"), F.lit(1).alias("n")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("n")))
+    return ranges.where("start <= end").select("symbol", F.inline(ends))
+
+
+def _runs(events: DataFrame) -> DataFrame:
+    """Closed runs of ids, as long as they can be, at which ranges of ``gap`` and none of ``cut`` are open; of events (symbol, at, gap, cut).
+
+    What is open behind an event is a sum within a block and one row for the blocks before; only events that
+    open or close a run go on. A run within a block is known there, what reaches over its end is paired across blocks, two rows a block at most.
+    """
+    events = events.groupBy("symbol", "at").agg(F.sum("gap").alias("gap"), F.sum("cut").alias("cut")).where("gap <> 0 or cut <> 0").withColumn("block", _block("at"))
+    per = events.groupBy("symbol", "block").agg(F.sum("gap").alias("gap"), F.sum("cut").alias("cut"))
+    earlier = Window.partitionBy("symbol").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("symbol", "block", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}0") for n in ("gap", "cut")))
+    inside = Window.partitionBy("symbol", "block").orderBy("at")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.select("symbol", "block", "at", *(F.sum(n).over(upto).alias(n) for n in ("gap", "cut"))).join(per, ["symbol", "block"])
+    rows = rows.select("symbol", "block", "at", F.expr("gap + gap0 > 0 and cut + cut0 = 0").alias("now"), F.expr("gap0 > 0 and cut0 = 0").alias("carried"))
+    rows = rows.withColumn("was", F.coalesce(F.lag("now").over(inside), "carried")).where("now <> was")
+    rows = rows.select("symbol", "block", "at", "now", F.lag("at").over(inside).alias("since"), F.lead("at").over(inside).alias("until")).where("now or since is null")
+    across = Window.partitionBy("symbol", F.expr("case when now and until is not null then block end")).orderBy("at")
+    rows = rows.withColumn("until", F.coalesce("until", F.lead("at").over(across)))
+    return rows.where("now").select("symbol", (F.col("at") + 1).alias("start"), F.col("until").alias("end"))
+
+
 def merged(ranges: DataFrame) -> DataFrame:
     """Ranges that overlap or touch as one."""
-    rows = ranges.groupBy("symbol", "start").agg(F.max("end").alias("end"))
-    rows = before(rows, ["symbol"], _block("start"), ["start"], F.col("end"), "reached")
-    # what the ranges before one that opens an island reach is the end of the island before; so only opening rows go on
-    opens = rows.where(F.col("reached").isNull() | (F.col("start") > F.col("reached") + 1)).select("symbol", "start", "reached", (-F.col("start")).alias("back"))
-    opens = before(opens, ["symbol"], _block("back"), ["back"], F.struct("back", "reached"), "following")
-    last = ranges.groupBy("symbol").agg(F.max("end").alias("last"))
-    return opens.join(last, "symbol").select("symbol", "start", F.coalesce("following.reached", "last").alias("end"))
+    return _runs(_events(ranges).select("symbol", "at", F.col("n").alias("gap"), F.lit(0).alias("cut")))
 
 
 def subtracted(gaps: DataFrame, done: DataFrame) -> DataFrame:
@@ -44,20 +65,8 @@ def subtracted(gaps: DataFrame, done: DataFrame) -> DataFrame:
     Both are turned into events on the id line; after each event it is known
     how many ranges of either kind are open, so no range meets another in a join.
     """
-    holes, out = merged(gaps), merged(done)
-    events = holes.select("symbol", F.col("start").alias("at"), F.lit(1).alias("gap"), F.lit(0).alias("cut"))
-    for rows, at, gap, cut in ((holes, F.col("end") + 1, -1, 0), (out, F.col("start"), 0, 1), (out, F.col("end") + 1, 0, -1)):
-        events = events.unionByName(rows.select("symbol", at.alias("at"), F.lit(gap).alias("gap"), F.lit(cut).alias("cut")))
-    events = events.groupBy("symbol", "at").agg(F.sum("gap").alias("gap"), F.sum("cut").alias("cut")).withColumn("block", _block("at"))
-    per = events.groupBy("symbol", "block").agg(F.sum("gap").alias("gap"), F.sum("cut").alias("cut"), F.min("at").alias("first"))
-    blocks = Window.partitionBy("symbol").orderBy("block")
-    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("symbol", "block", F.coalesce(F.sum("gap").over(earlier), F.lit(0)).alias("gap0"), F.coalesce(F.sum("cut").over(earlier), F.lit(0)).alias("cut0"), F.lead("first").over(blocks).alias("next"))
-    inside = Window.partitionBy("symbol", "block").orderBy("at")
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    rows = events.withColumn("g", F.sum("gap").over(upto)).withColumn("c", F.sum("cut").over(upto)).withColumn("until", F.lead("at").over(inside)).join(per, ["symbol", "block"])
-    rows = rows.withColumn("until", F.coalesce("until", "next")).where("g + gap0 > 0 and c + cut0 = 0 and until is not null")
-    return merged(rows.select("symbol", F.col("at").alias("start"), (F.col("until") - 1).alias("end")))
+    holes, out = _events(gaps), _events(done)
+    return _runs(holes.select("symbol", "at", F.col("n").alias("gap"), F.lit(0).alias("cut")).unionByName(out.select("symbol", "at", F.lit(0).alias("gap"), F.col("n").alias("cut"))))
 
 
 def pending(gaps: DataFrame, acked: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def contract(raw: Column) -> Column:
     return once(once(_read(raw, SHAPE), lambda two: _contract_fields(two, raw)), _kept)
 
 
-def _computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with ``name``, computed once a row: a later filter on it is not moved below, which would repeat ``value`` and all that it is made of."""
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
 
@@ -114,21 +114,21 @@ def parse_envelope(df: DataFrame, column: str = "value") -> DataFrame:
     # without data the name may be missing or hold something else; a text that can't spell the name need not be read again
     named = (raw.contains("data") | raw.contains("\\")) & F.map_contains_key(_whole(raw, "map<string,string>", lambda m: F.try_element_at(m, F.lit("_seal"))), F.lit("data"))
     bare = F.struct(*(whole[n].alias(n) for n in ("e", "s", "t", "p", "q", "at")))
-    rows = _computed(df, "_raw", F.col(column).cast("string"))
-    rows = _computed(rows, "_two", read)
-    rows = _computed(rows, "_whole", _opened(two, raw, lambda s: s["_seal"]))
-    rows = _computed(rows, "_message", F.when(whole["data"].isNotNull(), whole["data"]).when(whole.isNotNull() & ~named, bare))
+    rows = computed(df, "_raw", F.col(column).cast("string"))
+    rows = computed(rows, "_two", read)
+    rows = computed(rows, "_whole", _opened(two, raw, lambda s: s["_seal"]))
+    rows = computed(rows, "_message", F.when(whole["data"].isNotNull(), whole["data"]).when(whole.isNotNull() & ~named, bare))
     fields = F.when(_text(message["e"]) == "trade", _fields(*(message[n] for n in ("s", "t", "p", "q", "at"))))
-    return _computed(_computed(rows, "_fields", fields), "trade", _kept(F.col("_fields"))).drop("_raw", "_two", "_whole", "_message", "_fields")
+    return computed(computed(rows, "_fields", fields), "trade", _kept(F.col("_fields"))).drop("_raw", "_two", "_whole", "_message", "_fields")
 
 
 def decode(df: DataFrame, column: str = "value") -> DataFrame:
     """``df`` with ``trade``: messages in the normalised form; bytes that are no UTF-8 are no message."""
     raw, text = F.col("_raw"), F.col(column).cast("string")
-    rows = _computed(df, "_raw", F.when(F.is_valid_utf8(text), text))
-    rows = _computed(rows, "_two", _read(raw, SHAPE))
-    rows = _computed(rows, "_fields", _contract_fields(F.col("_two"), raw))
-    return _computed(rows, "trade", _kept(F.col("_fields"))).drop("_raw", "_two", "_fields")
+    rows = computed(df, "_raw", F.when(F.is_valid_utf8(text), text))
+    rows = computed(rows, "_two", _read(raw, SHAPE))
+    rows = computed(rows, "_fields", _contract_fields(F.col("_two"), raw))
+    return computed(rows, "trade", _kept(F.col("_fields"))).drop("_raw", "_two", "_fields")
 
 
 def trades_of(decoded: DataFrame) -> DataFrame:

@@ -29,7 +29,8 @@ def events_as_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.keep_valid(events_as_trades(spark, sf_dir))
+    rows = t.computed(events_as_trades(spark, sf_dir), "quantity", F.col("quantity"))
+    return t.keep_valid(rows).select(*t.FIELDS)
 
 
 def redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from candlewick.functions import vocabulary
 from candlewick.functions.text import clean_text_full
 from candlewick.operators import merge, monitor, quality, ranges
 from candlewick.operators.correlate import near_moves
-from candlewick.sources import recovery
+from candlewick.sources import adapters, recovery
 from candlewick.sources.stores import Store, coin_list, feed_entries, history_pages
 from candlewick.streaming.candles import with_recovery
 
@@ -287,6 +287,19 @@ def test_ranges(spark):
     assert {r["page"]: r["contiguous"] for r in ranges.contiguous_pages(pages).collect()} == {0: True, 1: False, 2: False}
 
 
+def test_ranges_are_read_once_and_run_across_blocks(spark):
+    a, b = closed(spark, [("S", 5, 5 * ranges.SPAN), ("S", 2**63 - 9, 2**63 - 1), ("T", 7, 3)]), closed(spark, [("S", ranges.SPAN - 1, ranges.SPAN + 3), ("T", 0, 9)])
+    assert listed(ranges.subtracted(a, b)) == [("S", 5, ranges.SPAN - 2), ("S", ranges.SPAN + 4, 5 * ranges.SPAN), ("S", 2**63 - 9, 2**63 - 1)]
+    assert listed(ranges.merged(a.where("symbol = 'S'").unionByName(b.where("symbol = 'S'")))) == [("S", 5, 5 * ranges.SPAN), ("S", 2**63 - 9, 2**63 - 1)]
+    plan = ranges.subtracted(a, b)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 4  # each kind once for the events, once for the blocks' sums
+
+
+def test_a_quantity_is_read_once(spark):
+    plan = adapters.trades(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object(") == 1
+
+
 pairs = st.lists(st.tuples(st.integers(0, 60), st.integers(0, 6)), max_size=12)
 
 
