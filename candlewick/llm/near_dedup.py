@@ -278,9 +278,10 @@ def bits_apart(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """
     half = lambda c: (F.size(c) / 2).cast("int")
     folded = lambda c: F.zip_with(F.slice(c, 1, half(c)), F.slice(c, half(c) + 1, half(c)), lambda x, y: x.bitwiseXOR(y))
-    fit = lambda c, other: F.when(F.size(c) == 2 * F.size(other), folded(c)).otherwise(F.col(c))
+    # sketches that differ more than four times in length: the sizes differ by more than half of the two together
+    fit = lambda c, other: F.when(F.size(c) == 2 * F.size(other), folded(c)).when(F.size(c) == 4 * F.size(other), folded(folded(F.col(c)))).otherwise(F.col(c))
     differ = F.aggregate(F.zip_with(fit("_a", "_b"), fit("_b", "_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    same = F.size("_a").between(half("_b"), 2 * F.size("_b"))
+    same = (F.size("_a") <= 4 * F.size("_b")) & (F.size("_b") <= 4 * F.size("_a"))
     # only the sketches that the pairs name are moved
     own = lambda side, name: sketches.join(few(pairs.select(F.col(side).alias("key")).distinct()), "key", "left_semi").toDF(side, name)
     both = pairs.join(own("p", "_a"), "p").join(own("m", "_b"), "m")
