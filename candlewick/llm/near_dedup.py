@@ -179,11 +179,11 @@ def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (p, m and more) with the elements of both, ``sp`` and ``sm``.
 
     Only the sets that the pairs name are moved. The sets of the pivots p, few
-    in most rounds, are sent to the pairs if they are small; else both sides are shuffled.
+    in most rounds, are sent to the pairs if they are small (8 MB, about what Spark sends by default); else both sides are shuffled.
     """
     own = sets.join(few(pairs.select(F.col("m").alias("key")).distinct()), "key", "left_semi").toDF("m", "sm")
     pivots = sets.join(few(pairs.select(F.col("p").alias("key")).distinct()), "key", "left_semi").toDF("p", "sp")
-    return pairs.join(own, "m").join(few(pivots, F.size("sp"), 2_000_000), "p")
+    return pairs.join(own, "m").join(few(pivots, F.size("sp"), 1_000_000), "p")
 
 
 def linked(d: Column | str, n: Column, percent: int) -> Column:
@@ -261,9 +261,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", words: int = 5, percent
     ship(docs.sparkSession)
     tables = Tables(docs.sparkSession)
     whole = tables.cut(classes_of(docs, id_col, words, places))
-    banded = tables.cut(whole.where("n > 0").groupBy("key").agg(named().alias("of"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    banded = tables.cut(whole.where("n > 0").groupBy("key").agg(named().alias("of"), F.first("n").alias("n"), F.first("bands").alias("bands")).withColumn("num", F.monotonically_increasing_id()))
     rows, one = checkpointed(whole.drop("bands")), checkpointed(banded.drop("bands"))
-    return grouped(docs, id_col, words, percent, rows, one, banded.select("key", "n", F.explode("bands").alias("bucket")), tables)
+    tables.drop_since(0, banded)
+    return grouped(docs, id_col, words, percent, rows, one, banded.select("num", F.explode("bands").alias("bucket")), tables)
 
 
 def named() -> Column:
@@ -291,7 +292,8 @@ def bits_apart(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, id_col: str, words: int, percent: int, rows: DataFrame, one: DataFrame, spread: DataFrame, tables: Tables, sketches: DataFrame | None = None, turns: int = TURNS, stay: int | None = None) -> DataFrame:
     """The groups that ``near_groups`` returns, from buckets in which every linked pair meets or is lost.
 
-    rows: (id, text_key, key, n) of every document; one: (key, of, n) of every class; spread: (key, n, bucket).
+    rows: (id, text_key, key, n) of every document; one: (num, key, of, n) of every class; spread: (num, bucket),
+    where num is a class's number: of the long table of buckets only numbers, which compress, are shuffled.
     What ``tables`` holds, ``spread`` is read from it, is deleted once it has been read, as are the tables of the rounds.
     ``sketches`` (key, sketch) may bound differences from below: pairs that they refute are not compared on full sets.
     A member that differs from its pivot in more than ``stay`` / (100 + percent) of its size stays in the bucket for the next of the ``turns``.
@@ -301,8 +303,8 @@ def grouped(docs: DataFrame, id_col: str, words: int, percent: int, rows: DataFr
     near_by = -(-(stay + 100 - percent) * 100 // percent) + 100 - percent
     cut = tables.cut
     crowded = cut(spread.join(spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"))
-    weight = cut(crowded.groupBy("key").agg(F.sum("size").alias("weight")))
-    members = cut(crowded.join(weight, "key").select("bucket", "key", "n", "weight"))
+    weight = cut(crowded.groupBy("num").agg(F.sum("size").alias("weight")).join(one.select("num", "key", "n"), "num"))
+    members = cut(crowded.join(weight, "num").select("bucket", "key", "n", "weight"))
     tables.drop_since(0, members, weight)
     if sketches is not None:
         sketches = cut(sketches.join(few(weight.select("key")), "key", "left_semi"))
@@ -320,24 +322,26 @@ def grouped(docs: DataFrame, id_col: str, words: int, percent: int, rows: DataFr
         if sketches is not None:
             told = cut(bits_apart(pairs, sketches).withColumn("far", (100 + percent) * F.col("apart") > near_by * F.col("n")))
             pairs, far = told.where("not far").select(*pairs.columns), told.where("far").select("p", F.col("m").alias("key"), F.col("apart").alias("d"), F.lit(False).alias("hit"))
-        met = with_sets(pairs, sets).select("p", F.col("m").alias("key"), (F.col("n") + F.col("np") - 2 * F.size(F.array_intersect("sp", "sm"))).cast("long").alias("d"), linked(F.col("n") + F.col("np") - 2 * F.size(F.array_intersect("sp", "sm")), F.col("n") + F.col("np"), percent).alias("hit"))
-        met = cut(met if far is None else met.unionByName(far))
+        # the sets are moved once: what the near ones differ in is kept
+        met = with_sets(pairs, sets).select("p", F.col("m").alias("key"), "n", "np", F.concat(F.array_except("sm", "sp"), F.array_except("sp", "sm")).alias("elements"))
+        met = met.withColumn("d", F.size("elements").cast("long")).select("p", "key", "d", linked("d", F.col("n") + F.col("np"), percent).alias("hit"), F.when((100 + percent) * F.col("d") <= near_by * F.col("n"), F.col("elements")).alias("elements"))
+        met = cut(met if far is None else met.unionByName(far, allowMissingColumns=True))
+        told = met.drop("elements")
         hits = met.where("hit").select(F.col("p").alias("a"), F.col("key").alias("b"))
         labels = relabelled(labels, labelled(labelled(hits.withColumnRenamed("a", "key"), labels).select(F.col("comp").alias("a"), F.col("b").alias("key")), labels).select("a", F.col("comp").alias("b")), cut)
         seated = labelled(seated, labels)
         mixed = seated.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        seated = cut(seated.join(mixed, "bucket").join(met, ["p", "key"]))
+        seated = cut(seated.join(mixed, "bucket").join(told, ["p", "key"]))
         # who is near its pivot is compared there, who is not stays in the bucket, who is between does both
         near = seated.where((100 + percent) * F.col("d") <= near_by * F.col("n")).select("p", "np", "key", "n", "comp", "d", "hit").distinct()
         members = cut(seated.where((100 + percent) * F.col("d") > stay * F.col("n")).select("bucket", "key", "n", "weight"))
         sizes = (100 - percent) * (F.col("n") + F.col("np"))
         apart = F.greatest(F.lit(1), F.ceil(((100 + percent) * F.col("d") - sizes) / 200))
         close = F.floor(((100 + percent) * F.col("d") + (100 - percent) * (F.col("np") - F.col("n"))) / (2 * (100 + percent))) + 1
-        both = with_sets(cut(near).withColumnRenamed("key", "m"), sets)
-        space = both.select(
-            F.col("p").alias("space"), F.col("m").alias("key"), "n", "comp", "d",
+        space = cut(near).join(met.select("p", "key", "elements"), ["p", "key"]).select(
+            F.col("p").alias("space"), "key", "n", "comp", "d",
             F.when(F.col("hit"), close).otherwise(apart).alias("least"),
-            F.concat(F.array_except("sm", "sp"), F.array_except("sp", "sm")).alias("elements"),
+            "elements",
         )
         dealt.append(cut(postings(cut(space), percent, cut)))
         members = cut(members)

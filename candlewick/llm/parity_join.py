@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import Tables, cut, ship, table
+from candlewick.llm.common import Tables, cut, release, ship, table
 from candlewick.llm.near_dedup import grouped, named, set_keys, shingles
 from candlewick.llm.textvec import Texts, blocks, mix
 
@@ -127,10 +127,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", words: int = 5, perc
     tables = Tables(docs.sparkSession)
     whole = tables.cut(sketched(docs, id_col, words, percent))
     rows = cut(whole.select("id", "text_key", "key", "n"))
-    classes = whole.where("n > 0").groupBy("key")
-    one = cut(classes.agg(named().alias("of"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    spread = classes.agg(F.first("n").alias("n"), F.first("buckets").alias("buckets")).select("key", "n", F.explode("buckets").alias("bucket"))
-    return grouped(docs, id_col, words, percent, rows, one.select("key", "of", "n"), spread, tables, one.select("key", "sketch"), TURNS, STAY * (100 - percent) // 10)
+    classes = whole.where("n > 0").groupBy("key").agg(named().alias("of"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"))
+    spread = tables.cut(classes.withColumn("num", F.monotonically_increasing_id()))
+    one = cut(spread.drop("buckets"))
+    tables.drop_since(0, spread)
+    release(docs.sparkSession)
+    return grouped(docs, id_col, words, percent, rows, one.drop("sketch"), spread.select("num", F.explode("buckets").alias("bucket")), tables, one.select("key", "sketch"), TURNS, STAY * (100 - percent) // 10)
 
 
 def op13_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

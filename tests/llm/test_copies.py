@@ -206,3 +206,25 @@ def test_bits_apart_in_spark(spark):
     for r in near_dedup.bits_apart(pairs, sketches).collect():
         true = len(set(sets[r["p"]].tolist()) ^ set(sets[r["m"]].tolist()))
         assert abs(r["n"] - r["np"]) <= r["apart"] <= true and (r["apart"] > 0.5 * true or r["p"] == r["m"])
+
+
+@pytest.mark.parametrize("groups", [near_dedup.near_groups, parity_join.jaccard_groups])
+def test_sets_are_moved_once_a_turn_and_buckets_by_number(spark, monkeypatch, groups):
+    seen = {"turns": 0, "moved": 0}
+    grouped, with_sets, postings = near_dedup.grouped, near_dedup.with_sets, near_dedup.postings
+
+    def watched(docs, id_col, words, percent, rows, one, spread, *more):
+        assert dict(spread.dtypes) == {"num": "bigint", "bucket": "bigint"}
+        return grouped(docs, id_col, words, percent, rows, one, spread, *more)
+
+    def count(name, f):
+        return lambda *a: (seen.update({name: seen[name] + 1}), f(*a))[1]
+
+    monkeypatch.setattr(near_dedup, "grouped", watched)
+    monkeypatch.setattr(parity_join, "grouped", watched)
+    monkeypatch.setattr(near_dedup, "with_sets", count("moved", with_sets))
+    monkeypatch.setattr(near_dedup, "confirmed", lambda pairs, sets, percent: with_sets(pairs, sets).where(near_dedup.linked(near_dedup.F.size(near_dedup.F.array_except("sp", "sm")) + near_dedup.F.size(near_dedup.F.array_except("sm", "sp")), near_dedup.F.col("n") + near_dedup.F.col("np"), percent)).select(*pairs.columns))
+    monkeypatch.setattr(near_dedup, "postings", count("turns", postings))
+    rows = list(enumerate(corpus(12, 5)))
+    assert groups(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", 3, 85).count() == len(rows)
+    assert seen["moved"] <= seen["turns"]
