@@ -9,7 +9,7 @@
    components is compared by its members' differences from the pivot: in a group
    of near copies those are short and seldom shared, so elements that few
    members have in common name the few pairs that can still be linked, and
-   counts refute the rest without listing them. Members too far from their
+   counts and parity bits refute the rest without listing them. Members too far from their
    pivot get a second one, then are compared by their own rarest elements.
    Whatever these lists of rare elements hold is met by pivots in rounds until
    every pair is confirmed, refuted or already connected. Nothing is capped, and
@@ -229,8 +229,15 @@ def reach(members: DataFrame, by: str, percent: int) -> DataFrame:
     return members.join(group, by).where((d + F.col("least_f") <= 0) & (f + F.col("least_d") <= 0)).select(*members.columns)
 
 
+def parity_words(elements: str) -> list[Column]:
+    """``w0`` and ``w1``: 128 parity bits of an array of hashes. Two arrays' words differ in no more bits than the arrays in elements."""
+    bit = lambda e: F.call_function("shiftleft", F.lit(1).cast("long"), e.bitwiseAND(F.lit(63)).cast("int"))
+    word = lambda i: F.aggregate(elements, F.lit(0).cast("long"), lambda x, e: F.when(F.shiftright(e, 6).bitwiseAND(F.lit(1)) == i, x.bitwiseXOR(bit(e))).otherwise(x))
+    return [word(i).alias(f"w{i}") for i in (0, 1)]
+
+
 def postings(members: DataFrame, percent: int, cut) -> DataFrame:
-    """(bucket, key, n, d, f) of ``members`` (space, key, n, comp, d, least, elements), one row per rare element.
+    """(bucket, key, n, d, f, w0, w1) of ``members`` (space, key, n, comp, d, least, elements), one row per rare element.
 
     A space compares its members by the difference of their elements from the
     space's pivot, or by the elements themselves (no pivot): both leave what two
@@ -238,14 +245,17 @@ def postings(members: DataFrame, percent: int, cut) -> DataFrame:
     member and whatever it links to, so of two linked members each holds one of
     the other's d - least + 1 rarest, by any order of rarity that both use.
     Elements that nobody else in the space has are rarest; they fill places and make no bucket.
+    ``w0`` and ``w1`` are parity bits of a member's elements. Spaces of one component are left out; elements are listed once.
     """
-    own = members.select("space", "key", F.explode("elements").alias("e")).select("space", "key", F.xxhash64("space", "e").alias("bucket"))
+    several = members.groupBy("space").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("space")
+    members = members.join(few(several), "space", "left_semi")
+    own = cut(members.select("space", "key", F.explode("elements").alias("e")).select("space", "key", F.xxhash64("space", "e").alias("bucket")))
     often = own.groupBy("bucket").agg(F.count("*").alias("often")).where("often > 1")
     ranked = own.join(often, "bucket").groupBy("space", "key").agg(F.sort_array(F.collect_list(F.struct("often", "bucket"))).alias("shared"))
-    ranked = cut(ranked.join(members.drop("elements"), ["space", "key"]).withColumn("f", F.col("d") - 2 * F.size("shared")))
+    ranked = cut(ranked.join(members.select("*", *parity_words("elements")).drop("elements"), ["space", "key"]).withColumn("f", F.col("d") - 2 * F.size("shared")))
     places = F.col("d") - F.col("least") + 1 - (F.col("d") - F.size("shared"))
     first = F.when(places > 0, F.slice("shared", F.lit(1), F.greatest(places, F.lit(1)).cast("int")))
-    return reach(ranked, "space", percent).select("key", "n", "d", "f", F.explode(first).alias("one")).select(F.col("one.bucket").alias("bucket"), "key", "n", "d", "f")
+    return reach(ranked, "space", percent).select("key", "n", "d", "f", "w0", "w1", F.explode(first).alias("one")).select(F.col("one.bucket").alias("bucket"), "key", "n", "d", "f", "w0", "w1")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", words: int = 5, percent: int = 80, places: int = PLACES) -> DataFrame:
@@ -353,24 +363,27 @@ def grouped(docs: DataFrame, id_col: str, words: int, percent: int, rows: DataFr
         members = members.join(several, "bucket", "left_semi")
     left = labelled(members.groupBy("key").agg(F.first("n").alias("n")), labels)
     own = sets.join(few(left), "key").select(F.lit(b"").alias("space"), "key", "n", "comp", F.col("n").alias("d"), F.ceil(F.col("n") * percent / 100).alias("least"), "elements")
-    dealt.append(postings(own, percent, cut))
+    dealt.append(postings(cut(own), percent, cut))
     members = cut(reduce(DataFrame.union, dealt))
     turn = 0
     while True:
         mark = len(tables.made)
-        members = cut(reach(labelled(members.select("bucket", "key", "n", "d", "f"), labels), "bucket", percent))
+        members = cut(reach(labelled(members.select("bucket", "key", "n", "d", "f", "w0", "w1"), labels), "bucket", percent))
         if members.isEmpty():
             break
         width = PIVOTS[min(turn, len(PIVOTS) - 1)]
         turn += 1
-        pivots = members.groupBy("bucket", F.pmod(F.hash("key"), F.lit(width)).alias("slot")).agg(F.min(F.struct("key", "n", "comp", "d", "f")).alias("p"))
+        pivots = members.groupBy("bucket", F.pmod(F.hash("key"), F.lit(width)).alias("slot")).agg(F.min(F.struct("key", "n", "comp", "d", "f", "w0", "w1")).alias("p"))
         may = (F.col("p.comp") != F.col("comp")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n"))
         may = may & linked(F.col("f") + F.col("p.d"), F.col("n") + F.col("p.n"), percent) & linked(F.col("d") + F.col("p.f"), F.col("n") + F.col("p.n"), percent)
+        # the bits in which two members' words differ refute most pairs before they are listed
+        may = may & linked(sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"p.{w}"))) for w in ("w0", "w1")), F.col("n") + F.col("p.n"), percent)
         met = members.join(pivots.select("bucket", "p"), "bucket").where(may)
         pairs = met.select(F.col("p.key").alias("p"), F.col("key").alias("m"), F.col("p.comp").alias("cp"), F.col("comp").alias("cm"), F.col("p.n").alias("np"), "n").distinct()
+        pairs = cut(pairs)
         if sketches is not None:
-            pairs = bits_apart(pairs, sketches).where(linked("apart", F.col("n") + F.col("np"), percent)).drop("apart")
-        found = confirmed(cut(pairs), sets, percent).select(F.col("cp").alias("a"), F.col("cm").alias("b"))
+            pairs = cut(bits_apart(pairs, sketches).where(linked("apart", F.col("n") + F.col("np"), percent)).drop("apart"))
+        found = confirmed(pairs, sets, percent).select(F.col("cp").alias("a"), F.col("cm").alias("b"))
         labels = relabelled(labels, found, cut)
         members = members.join(pivots.select("bucket", F.col("p.key").alias("key")), ["bucket", "key"], "left_anti")
         members = cut(members)

@@ -228,3 +228,20 @@ def test_sets_are_moved_once_a_turn_and_buckets_by_number(spark, monkeypatch, gr
     rows = list(enumerate(corpus(12, 5)))
     assert groups(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", 3, 85).count() == len(rows)
     assert seen["moved"] <= seen["turns"]
+
+
+def test_pairs_are_refuted_before_they_are_listed(spark, monkeypatch):
+    """Texts that replace three of 38 words of a common one: many share a replaced word, few are linked."""
+    r = random.Random(3)
+    rows = [(i, " ".join(f"w{k}x" if k in own else f"w{k}" for k in range(116))) for i, own in enumerate({3 * x for x in r.sample(range(38), 3)} for _ in range(60))]
+    listed, real = [], near_dedup.bits_apart
+
+    def watched(pairs, sketches):
+        if "cp" in pairs.columns:
+            listed.append(pairs.count())
+        return real(pairs, sketches)
+
+    monkeypatch.setattr(near_dedup, "bits_apart", watched)
+    got = parity_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", 3, 90)
+    assert sorted((x["id"], x["n_shingles"], x["component_id"]) for x in got.collect()) == sorted(brute(rows, 3, 90))
+    assert sum(listed) <= 60, listed
